@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelloom.llm import bpe, minhash, packing
+from pixelloom.llm import bpe, minhash, packing, quality, secrets, suffixes
 from pixelloom.llm.vocabulary import default_vocabulary
 
 
@@ -14,17 +14,29 @@ def op1_minhash(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_quality(spark, sf_dir):
+    return quality.judge(documents(spark, sf_dir))
+
+
 def op3_bpe(spark, sf_dir):
     vocabulary = default_vocabulary()
     return bpe.digests(bpe.encode(documents(spark, sf_dir), vocabulary), vocabulary)
 
 
+def op5_suffixes(spark, sf_dir):
+    return suffixes.digests(documents(spark, sf_dir))
+
+
+def op6_secrets(spark, sf_dir):
+    return secrets.digests(documents(spark, sf_dir))
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), default_vocabulary())
 
 
 def queries():
-    return {f.__name__: f for f in (op1_minhash, op3_bpe, op7_packing)}
+    return {f.__name__: f for f in (op1_minhash, op2_quality, op3_bpe, op5_suffixes, op6_secrets, op7_packing)}
 
 
 def oracle_sql():
