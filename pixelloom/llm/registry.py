@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelloom.llm import bpe, minhash, packing, quality, secrets, suffixes
+from pixelloom.llm import bpe, embeddings, minhash, packing, quality, secrets, suffixes, toxicity
 from pixelloom.llm.vocabulary import default_vocabulary
 
 
@@ -23,6 +23,11 @@ def op3_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(documents(spark, sf_dir), vocabulary), vocabulary)
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_suffixes(spark, sf_dir):
     return suffixes.digests(documents(spark, sf_dir))
 
@@ -35,8 +40,12 @@ def op7_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), default_vocabulary())
 
 
+def op8_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_minhash, op2_quality, op3_bpe, op5_suffixes, op6_secrets, op7_packing)}
+    return {f.__name__: f for f in (op1_minhash, op2_quality, op3_bpe, op4_toxicity, op5_suffixes, op6_secrets, op7_packing, op8_embeddings)}
 
 
 def oracle_sql():
