@@ -132,7 +132,7 @@ def chosen(texts: list[tuple[bool, list[str]]], odds: dict[str, float]) -> list[
         best = max(open_in, key=lambda e: (open_in[e] * odds[e], -len(e), e))
         if open_in.pop(best) < max(LEAST_TEXTS, LEAST_SHARE * len(toxic)):
             break
-        if any(best.startswith(e) for e in taken):
+        if any(best.startswith(e) or e.startswith(best) for e in taken):  # a shorter beginning of a taken word only adds clean words
             continue
         out.append(best)
         taken.add(best)
@@ -148,11 +148,10 @@ def chosen(texts: list[tuple[bool, list[str]]], odds: dict[str, float]) -> list[
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, ...]:
     """Coefficients by Newton steps."""
     beta = np.zeros(x.shape[1])
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * beta)
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
+        step = np.linalg.solve(h, x.T @ (y - p) - ridge * beta)
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
