@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelloom.llm import bpe, embeddings, minhash, packing, quality, secrets, suffixes, toxicity
+from pixelloom.llm import bpe, embeddings, licences, minhash, packing, quality, secrets, suffixes, toxicity, warc
 from pixelloom.llm.vocabulary import default_vocabulary
 
 
@@ -44,8 +44,22 @@ def op8_embeddings(spark, sf_dir):
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_warc(spark, sf_dir):
+    return warc.derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_licences(spark, sf_dir):
+    return licences.scan(documents(spark, sf_dir))
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_minhash, op2_quality, op3_bpe, op4_toxicity, op5_suffixes, op6_secrets, op7_packing, op8_embeddings)}
+    return {f.__name__: f for f in (op1_minhash, op2_quality, op3_bpe, op4_toxicity, op5_suffixes, op6_secrets, op7_packing, op8_embeddings, op9_warc, op10_licences, pipeline)}
 
 
 def oracle_sql():
