@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import columns, connected_components, dropped, written
+from pixelloom.llm.common import columns, connected_components, rows_of, written
 
 WORDS = 5
 #: 128 bins in 32 bands of 4: a pair at similarity 0.75 meets in no band once in 190,000 times.
 BINS, BAND = 128, 4
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
+#: Open buckets of more members than SMALL are compared block by block.
+SMALL, BLOCK = 64, 1024
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 21
 
@@ -144,8 +146,8 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     return both.mapInArrow(compare, "a long, b long")
 
 
-def star_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's centre, the member that shares most buckets with others."""
+def star_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): each member of a bucket with the bucket's centre, the member that shares most buckets with others; and the buckets."""
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = buckets.join(sizes, "key")
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
@@ -159,21 +161,87 @@ def links(docs: DataFrame, heads: DataFrame, percent: int = PERCENT) -> DataFram
     buckets = heads.select(F.col("head").alias("id"), F.explode("bands").alias("key"))
     pairs, weighed = star_pairs(buckets)
     stars = written(pairs, "stars")
+    # The texts that any comparison needs, so that all others are shuffled once.
+    docs = written(rows_of(columns(docs, "doc_id", "text"), weighed.select(F.col("id").alias("doc_id")), "doc_id"), "texts")
     edges = written(verified(stars, docs, percent), "links")
     groups = connected_components(edges)
     placed = weighed.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key", "n")
     rest = written(placed.join(open_keys, "key"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
+    few = rest.where(F.col("n") <= SMALL)
+    x, y = few.alias("x"), few.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
-    across = across.select(F.least("x.id", "y.id").alias("p"), F.greatest("x.id", "y.id").alias("q")).distinct()
-    tried = stars.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-    more = written(verified(across.join(tried, ["p", "q"], "left_anti").select(F.col("p").alias("a"), F.col("q").alias("b")), docs, percent), "links")
+    across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = across.union(across_blocks(rest.where(F.col("n") > SMALL), docs, percent)).distinct().join(tried, ["a", "b"], "left_anti")
+    more = written(verified(across, docs, percent), "links")
     if more.isEmpty():
         return groups
     return connected_components(edges.union(more))
 
 
+def across_blocks(rest: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): of members of a large open bucket that belong to different components, the nearest pair of each two components.
+
+    A bucket is dealt into blocks, and each two blocks meet in a task, which counts the shared shingles of all their members
+    at once. Only pairs that come up to the similarity leave it, one for each two components: no task holds a bucket, and no
+    row is made for a pair of its members.
+    """
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                made = [np.unique(s.astype(np.uint32)).tobytes() for s in shingle_sets(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "s"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                left, right = (batch.column(i)[row].as_py() for i in range(2))
+                right = left if right is None else right  # a block with itself
+                best: dict[tuple[int, int], tuple[float, int, int]] = {}
+                shared, sizes = shared_counts([np.frombuffer(x["s"], np.uint32) for x in left], [np.frombuffer(x["s"], np.uint32) for x in right])
+                similar = 100 * shared / np.maximum(1, sizes - shared)
+                for i, j in zip(*np.nonzero(similar >= percent), strict=True):
+                    p, q = left[i], right[j]
+                    if p["component"] != q["component"]:
+                        (c, a), (d, b) = sorted([(p["component"], p["id"]), (q["component"], q["id"])])
+                        best[c, d] = max(best.get((c, d), (0.0, 0, 0)), (similar[i, j], a, b))
+                found = [(min(a, b), max(a, b)) for _, a, b in best.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    ids = rest.select("id").distinct()
+    sets = columns(docs, "doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("id", "text").mapInArrow(hashes, "id long, s binary")
+    cut = rest.withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    blocks = written(cut.join(sets, "id").groupBy("key", "sub").agg(F.collect_list(F.struct("id", "component", "s")).alias("members")), "blocks")
+    names = blocks.select("key", "sub")
+    met = names.alias("x").join(names.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sub") < F.col("y.sub"))).select("x.key", "x.sub", F.col("y.sub").alias("sub2"))
+    both = met.join(blocks, ["key", "sub"]).withColumnRenamed("members", "left")
+    other = blocks.select("key", F.col("sub").alias("sub2"), F.col("members").alias("right"))
+    both = both.join(other, ["key", "sub2"]).select("left", "right").union(blocks.select("members", F.lit(None).cast(blocks.schema["members"].dataType)))
+    return both.mapInArrow(meet, "a long, b long")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """How many hashes each set of one block shares with each of the other, and the sums of their sizes."""
+    flat = [np.concatenate(side) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(side)), [*map(len, side)]) for side in (left, right)]
+    both = np.intersect1d(*flat)
+    total = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(both), width):
+        some = both[start : start + width]
+        dense = []
+        for values, rows, n in zip(flat, owner, (len(left), len(right)), strict=True):
+            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            hit = some[at] == values
+            m = np.zeros((n, len(some)), np.float32)
+            m[rows[hit], at[hit]] = 1
+            dense.append(m)
+        total += dense[0] @ dense[1].T
+    sizes = np.add.outer(np.array([*map(len, left)]), np.array([*map(len, right)]))
+    return total, sizes
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
