@@ -9,20 +9,25 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import columns, written
+from pixelloom.llm.common import columns, dropped, written
 from pixelloom.llm.vocabulary import byte_bpe, encode_to_array, id_pieces
 
 #: At most so many words, of at most so many letters each, are sent to all tasks.
 COMMON_WORDS, COMMON_LETTERS = 1 << 19, 40
+#: So many of them are sent with a comma and with a full stop at their end too.
+ENDED_WORDS = 1 << 16
 #: Marks a word that stands as it is; other words have a space before them, or begin with a line feed.
 BARE = "\n\n"
 
@@ -83,104 +88,146 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
     return words.mapInArrow(encode, "word string, n long, ids binary")
 
 
-def encode(docs: DataFrame, vocabulary: str, common: int = COMMON_WORDS) -> DataFrame:
-    """(doc_id, skeleton, gaps, answers): the ids of each document as ``assemble`` puts them together.
+def ipc(top: pa.Table, vocabulary: str) -> tuple[bytes, dict[str, bytes]]:
+    """The common words as they are sent to the tasks, and the ids of the ends of words; the driver makes no table of them."""
+    encoding = byte_bpe(vocabulary)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, top.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(top)
+    return sink.getvalue().to_pybytes(), {BARE + c: encode_to_array(encoding, c).astype("<u4").tobytes() for c in ",."}
+
+
+_tables: dict[str, dict[str, bytes]] = {}
+
+
+@dataclass
+class CommonWords:
+    token: str
+    sent: Broadcast
+
+    def table(self) -> dict[str, bytes]:
+        """Ids by word, made once in each Python worker."""
+        if self.token not in _tables:
+            data, ends = self.sent.value
+            table = dict(ends)
+            rows = pa.ipc.open_stream(data).read_all()
+            for k, (word, ids) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
+                table[word] = ids
+                if k < ENDED_WORDS and stem(word + ","):
+                    table |= {word + c: ids + table[BARE + c] for c in ",."}
+            _tables.clear()
+            _tables[self.token] = table
+        return _tables[self.token]
+
+
+@dataclass
+class Encoded:
+    """``rows`` (doc_id, packed, answers): compressed texts with the ids of their words that aren't common, by place."""
+
+    rows: DataFrame
+    common: CommonWords
+    vocabulary: str
+
+
+def look_up(text: str, found: dict[str, bytes]) -> tuple[list, list[tuple[int, str, str]]]:
+    """Ids of each word; and place, word and end of those that aren't common. Ends are commas and full stops."""
+    keys = split_words(text)
+    ids = list(map(found.get, keys))
+    missing = []
+    at = -1
+    for _ in range(ids.count(None)):
+        at = ids.index(None, at + 1)
+        key = keys[at]
+        base = stem(key)
+        end = key[-1] if base else ""
+        known = found.get(base) if base else None
+        if known is None:
+            missing.append((at, base or key, end))
+        else:
+            ids[at] = known + found[BARE + end]
+    return ids, missing
+
+
+def encode(docs: DataFrame, vocabulary: str, common: int = COMMON_WORDS) -> Encoded:
+    """Encodes whole texts through the table of distinct words.
 
     Null texts are empty. Repeated rows give repeated rows; null doc_ids stay. Further columns are ignored.
     """
     words = written(encode_words(distinct_words(docs), vocabulary), "words")
     top = words.where(F.length("word") <= COMMON_LETTERS).orderBy(F.desc("n"), "word").limit(common)
-    encoding = byte_bpe(vocabulary)
-    ends = {c: encode_to_array(encoding, c).astype("<u4").tobytes() for c in ",."}
-    table = {r.word: bytes(r.ids) for r in top.select("word", "ids").toLocalIterator()} if common else {}
-    known = docs.sparkSession.sparkContext.broadcast(table)
-
-    def look_up(text: str, found: dict) -> tuple[list, list[tuple[int, str]]]:
-        """Ids of each word, and the words that aren't common with their places; ends of words count as words."""
-        keys = split_words(text)
-        ids = list(map(found.get, keys))
-        missing = []
-        if None in ids:
-            for i, x in enumerate(ids):
-                if x is None:
-                    if base := stem(keys[i]):
-                        end = ends[keys[i][-1]]
-                        if (x := found.get(base)) is None:
-                            missing.append((i, base))
-                        ids[i] = (x or b"") + end
-                    else:
-                        missing.append((i, keys[i]))
-                        ids[i] = b""
-        return ids, missing
+    known = CommonWords(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(ipc(top.select("word", "ids").toArrow(), vocabulary)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = known.value
+        found = known.table()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            ids, marks, places, asked = [], [], [], []
             for doc_id, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for k, (_, word) in enumerate(look_up(text or "", found)[1]):
-                    for column, value in zip(out, (doc_id, mark, k, word), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "mark", "k", "word"])
-
-    def draft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = known.value
+                missing = look_up(text or "", found)[1]
+                n = len(missing)
+                ids += [doc_id] * n
+                marks += [mark] * n
+                places += range(n)
+                asked += [word for _, word, _ in missing]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, marks, places, asked), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "mark", "k", "word"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            skeleton, gaps = [], []
-            for text in batch.column(2).to_pylist():
-                ids, missing = look_up(text or "", found)
-                at = np.cumsum([0, *map(len, ids)])
-                skeleton.append(zlib.compress(b"".join(ids), 1))
-                gaps.append([int(at[i]) for i, _ in missing])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(skeleton, pa.binary()), pa.array(gaps, pa.list_(pa.int32()))], names=["doc_id", "mark", "skeleton", "gaps"])
+            made = pa.array([compress((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["doc_id", "mark", "packed"])
 
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     asked = marked.mapInArrow(ask, "doc_id long, mark long, k int, word string")
-    answers = asked.join(words.select("word", "ids"), "word").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("k", "ids")).alias("answers"))
-    drafts = marked.mapInArrow(draft, "doc_id long, mark long, skeleton binary, gaps array<int>").alias("d")
-    answers = answers.alias("a")
-    joined = drafts.join(answers, F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.mark") == F.col("a.mark")), "left")
-    return joined.select("d.doc_id", "skeleton", "gaps", "answers")
-
-
-def assemble(skeleton: bytes, gaps: list[int], answers: list[dict] | None) -> bytes:
-    """The ids of one document, with the joined ids put into their gaps."""
-    base = zlib.decompress(skeleton)
-    if not gaps:
-        return base
-    by_place = {x["k"]: x["ids"] for x in answers}
-    parts, at = [], 0
-    for k, gap in enumerate(gaps):
-        parts += [base[at:gap], by_place[k]]
-        at = gap
-    return b"".join([*parts, base[at:]])
-
-
-def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    found_ids = written(asked.join(words.select("word", "ids"), "word").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("k", "ids")).alias("answers")), "answers")
+    dropped(words)
+    answers = found_ids.alias("a")
+    texts = marked.mapInArrow(packed, "doc_id long, mark long, packed binary").alias("d")
+    joined = texts.join(answers, F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.mark") == F.col("a.mark")), "left")
+    return Encoded(joined.select("d.doc_id", "packed", "answers"), known, vocabulary)
+
+
+def assemble(text: str, answers: list[dict] | None, found: dict[str, bytes]) -> bytes:
+    """The ids of one document, the joined ones put in their places."""
+    ids, missing = look_up(text, found)
+    if missing:
+        by_place = {x["k"]: x["ids"] for x in answers}
+        for k, (at, _, end) in enumerate(missing):
+            ids[at] = by_place[k] + found[BARE + end] if end else by_place[k]
+    return b"".join(ids)
+
+
+def assembled(batch: pa.RecordBatch, found: dict[str, bytes]) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [assemble(unpack(t).decode(), a, found) for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+
+
+def decoded(ids: bytes, pieces: list[bytes]) -> str:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
+def digests(encoded: Encoded) -> DataFrame:
     """Counts and hashes of the ids and of the text decoded from them through the table of pieces."""
+    common, vocabulary = encoded.common, encoded.vocabulary
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = id_pieces(vocabulary)
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for skeleton, gaps, answers in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                ids = assemble(skeleton, gaps, answers)
-                text = b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-                for column, value in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), *(pa.array(c, pa.string()) for c in out[1:])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = assembled(batch, common.table())
+            hashes = [[hashlib.sha256(x).hexdigest() for x in column] for column in (rows, (decoded(x, pieces).encode() for x in rows))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in rows], pa.int64()), *map(pa.array, hashes)] if rows else [batch.column(0), pa.array([], pa.int64()), *[pa.array([], pa.string())] * 2], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def texts(encoded: DataFrame, vocabulary: str) -> DataFrame:
+def texts(encoded: Encoded) -> DataFrame:
     """(doc_id, ids, decoded): the ids themselves and the text they stand for."""
+    common, vocabulary = encoded.common, encoded.vocabulary
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = id_pieces(vocabulary)
         for batch in batches:
-            ids = [np.frombuffer(assemble(s, g, a), "<u4").tolist() for s, g, a in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            decoded = [b"".join(map(pieces.__getitem__, x)).decode("utf-8", "replace") for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+            rows = assembled(batch, common.table())
+            ids = pa.array([np.frombuffer(x, "<u4").tolist() for x in rows], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([decoded(x, pieces) for x in rows], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.mapInArrow(full, "doc_id long, ids array<int>, decoded string")
+    return encoded.rows.mapInArrow(full, "doc_id long, ids array<int>, decoded string")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_folder: list[str] = []
 
 
@@ -31,7 +33,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pixelloom-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    held = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for the table goes as soon as it is written
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, held)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -19,8 +19,7 @@ def op2_quality(spark, sf_dir):
 
 
 def op3_bpe(spark, sf_dir):
-    vocabulary = default_vocabulary()
-    return bpe.digests(bpe.encode(documents(spark, sf_dir), vocabulary), vocabulary)
+    return bpe.digests(bpe.encode(documents(spark, sf_dir), default_vocabulary()))
 
 
 def op4_toxicity(spark, sf_dir):
