@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import columns, written
+from pixelloom.llm.common import columns, rows_of, written
 
-#: At most so many candidates for the lexicon, and so many labelled rows of each class to choose and calibrate on.
+#: At most so many candidates for the lexicon, and so many labelled rows of each class are expected in the sample to choose and calibrate on.
 CANDIDATES, SAMPLE = 20_000, 10_000
 #: A toxic text is covered by so many entries, if it has them; an entry must cover so large a share of the sample's toxic texts.
 COVER, LEAST_SHARE = 3, 0.002
@@ -48,6 +48,12 @@ def entries(words: list[str]) -> set[str]:
     return found | {w[: n + 1] for w in found for n in PREFIXES if len(w) > n + 1}
 
 
+def curve_features(total: float, n: int) -> list[float]:
+    """Of the sum of weights and the number of words: a constant, the sum, the sum by root of length and by length."""
+    n = max(1, n)
+    return [1.0, min(total, 60.0) / 10, min(total / math.sqrt(n), 30.0), min(100 * total / n, 300.0) / 30]
+
+
 @dataclass
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
@@ -85,9 +91,7 @@ class Lexicon:
         return {i: w for i, w in place.items() if " ".join(words[max(0, i - 1) : i + 1]) not in self.exceptions and " ".join(words[i : i + 2]) not in self.exceptions}
 
     def features(self, automaton, words: list[str]) -> list[float]:
-        total = sum(self.matches(automaton, words).values())
-        n = max(1, len(words))
-        return [1.0, min(total, 60.0) / 10, min(total / math.sqrt(n), 30.0), min(100 * total / n, 300.0) / 30]
+        return curve_features(sum(self.matches(automaton, words).values()), len(words))
 
     def score(self, automaton, words: list[str]) -> float:
         z = sum(c * f for c, f in zip(self.curve, self.features(automaton, words), strict=True))
@@ -112,14 +116,15 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(row, text, toxic) of the rows to learn from: crc32 of the id mod 5 is not 0; equal texts once per label."""
     learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     marks = labels.where(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = columns(docs, "doc_id", "text").where(learn & F.col("text").isNotNull()).join(marks, "doc_id")
-    return rows.groupBy(F.xxhash64("text").alias("row"), "toxic").agg(F.first("text").alias("text"))
+    texts = columns(docs, "doc_id", "text").where(learn & F.col("text").isNotNull())
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("row")).join(marks, "doc_id")
+    heads = written(hashed.groupBy("row", "toxic").agg(F.min("doc_id").alias("doc_id")), "heads")
+    found = rows_of(texts, heads.select("doc_id"), "doc_id").join(heads, "doc_id")
+    return found.where(F.xxhash64("text") == F.col("row")).select("row", "toxic", "text")
 
 
-def chosen(texts: list[tuple[bool, list[str]]], odds: dict[str, float]) -> list[str]:
-    """Entries that cover the toxic texts of a sample, the one that covers most first; of equals the shorter."""
-    has = [(toxic, entries(words) & odds.keys()) for toxic, words in texts]
-    toxic = [found for mark, found in has if mark]
+def chosen(toxic: list[list[str]], odds: dict[str, float]) -> list[str]:
+    """Entries that cover the toxic texts of a sample, given by their candidates, the one that covers most first; of equals the shorter."""
     where: dict[str, set[int]] = {}
     for i, found in enumerate(toxic):
         for entry in found:
@@ -127,15 +132,13 @@ def chosen(texts: list[tuple[bool, list[str]]], odds: dict[str, float]) -> list[
     need = [COVER] * len(toxic)
     open_in = {e: len(rows) for e, rows in where.items()}
     out: list[str] = []
-    taken: set[str] = set()
     while open_in:
         best = max(open_in, key=lambda e: (open_in[e] * odds[e], -len(e), e))
         if open_in.pop(best) < max(LEAST_TEXTS, LEAST_SHARE * len(toxic)):
             break
-        if any(best.startswith(e) or e.startswith(best) for e in taken):  # a shorter beginning of a taken word only adds clean words
+        if any(best.startswith(e) or e.startswith(best) for e in out):  # a shorter beginning of a taken word only adds clean words
             continue
         out.append(best)
-        taken.add(best)
         for i in where[best]:
             need[i] -= 1
             if need[i] == 0:
@@ -145,6 +148,32 @@ def chosen(texts: list[tuple[bool, list[str]]], odds: dict[str, float]) -> list[
     return out
 
 
+def candidates_in(texts: DataFrame, odds: dict[str, float]) -> list[list[str]]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(entries(folded_words(t)) & odds.keys()) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["found"])
+
+    return [r.found for r in texts.select("text").mapInArrow(find, "found array<string>").collect()]
+
+
+def matched_phrases(texts: DataFrame, lexicon: Lexicon) -> list:
+    """Rows (toxic, n, weights, before, after): length, and weight and phrases of each match."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for words in map(folded_words, batch.column(1).to_pylist()):
+                at = lexicon.matches(automaton, words)
+                for column, value in zip(out, (len(words), list(at.values()), [" ".join(words[max(0, i - 1) : i + 1]) for i in at], [" ".join(words[i : i + 2]) for i in at]), strict=True):
+                    column.append(value)
+            kinds = (pa.int32(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["toxic", "n", "weights", "before", "after"])
+
+    return texts.select("toxic", "text").mapInArrow(find, "toxic int, n int, weights array<double>, before array<string>, after array<string>").collect()
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, ...]:
     """Coefficients by Newton steps."""
     beta = np.zeros(x.shape[1])
@@ -168,18 +197,17 @@ def learn(docs: DataFrame, labels: DataFrame, candidates: int = CANDIDATES, samp
     clean = {r.entry: r.n for r in counted(rows.where("toxic = 0"), toxic).collect()}
     odds = {e: math.log((t + 0.5) / (n[1] + 1)) - math.log((clean.get(e, 0) + 0.5) / (n[0] + 1)) for e, t in toxic.items()}
     odds = {e: o for e, o in odds.items() if o >= LEAST_ODDS}
-    texts = [(r.toxic == 1, folded_words(r.text)) for mark in (1, 0) for r in rows.where(F.col("toxic") == mark).orderBy("row").limit(sample).toLocalIterator()]
-    lexicon = Lexicon({e: odds[e] for e in chosen(texts, odds)})
-    automaton = lexicon.automaton()
+    # Row hashes are spread evenly, so a share of their range is a sample of the expected size, found without a sort.
+    some = [rows.where((F.col("toxic") == mark) & (F.col("row") <= min((1 << 63) - 1, int(min(1.0, sample / n[mark]) * (1 << 64)) - (1 << 63)))) for mark in (0, 1)]
+    lexicon = Lexicon({e: odds[e] for e in chosen(candidates_in(some[1], odds), odds)})
+    matched = matched_phrases(some[0].union(some[1]), lexicon)
     phrases: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    for mark, words in texts:
-        found = set()
-        for i in lexicon.matches(automaton, words):
-            found |= {" ".join(words[max(0, i - 1) : i + 1]), " ".join(words[i : i + 2])}
-        phrases[mark].update(p for p in found if " " in p)
+    for r in matched:
+        phrases[r.toxic].update({p for p in [*r.before, *r.after] if " " in p})
     lexicon.exceptions = {p for p, c in phrases[0].items() if c >= LEAST_TEXTS and c > 9 * phrases[1][p]}
-    x = np.array([lexicon.features(automaton, words) for _, words in texts])
-    lexicon.curve = logistic(x, np.array([float(mark) for mark, _ in texts]))
+    sums = [sum(w for w, p, q in zip(r.weights, r.before, r.after, strict=True) if p not in lexicon.exceptions and q not in lexicon.exceptions) for r in matched]
+    x = np.array([curve_features(total, r.n) for total, r in zip(sums, matched, strict=True)])
+    lexicon.curve = logistic(x, np.array([float(r.toxic) for r in matched]))
     return lexicon
 
 
