@@ -1,19 +1,117 @@
-"""Index of the registered queries and their DuckDB oracles."""
+"""The registered image queries. Each is one relational text: Spark runs it as DataFrame or SQL, DuckDB as its oracle.
+
+``DIV`` is integer division, ``>>`` and ``<<`` are shifts, ``grid(n)`` gives the rows 0 to n - 1. ``duck`` puts them in
+DuckDB's words; the meaning of every expression is the same in both.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import seeds
+from pixelloom.operators import color, dct, geometry, resample
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def duck(sql: str) -> str:
+    sql = sql.replace(" DIV ", " // ")
+    return re.sub(r"\bbround\(", "round_even(", sql)
+
+
+def per_pixel(name: str, where: str = "", **columns: str) -> None:
+    """A projection of the gradient images' pixels: no shuffle, one codegen stage from the scan on."""
+    QUERIES[name] = lambda spark, sf_dir: _filtered(seeds.gradient_pixels(spark, sf_dir), where).select("image_id", "x", "y", *(F.expr(f"CAST({e} AS INT)").alias(c) for c, e in columns.items()))
+    ORACLES[name] = seeds.GRADIENT_SQL + "SELECT image_id, x, y, " + ", ".join(f"CAST({duck(e)} AS INT) AS {c}" for c, e in columns.items()) + " FROM px" + (f" WHERE {duck(where)}" if where else "")
+
+
+def _filtered(df: DataFrame, where: str) -> DataFrame:
+    return df.where(where) if where else df
+
+
+def mapped(name: str, x: str, y: str, where: str = "") -> None:
+    """A map of coordinates: the pixel at (x, y) goes to another place."""
+    QUERIES[name] = lambda spark, sf_dir: _filtered(seeds.gradient_pixels(spark, sf_dir), where).select("image_id", F.expr(f"CAST({x} AS INT)").alias("x"), F.expr(f"CAST({y} AS INT)").alias("y"), "r", "g", "b")
+    ORACLES[name] = seeds.GRADIENT_SQL + f"SELECT image_id, CAST({duck(x)} AS INT) AS x, CAST({duck(y)} AS INT) AS y, r, g, b FROM px" + (f" WHERE {duck(where)}" if where else "")
+
+
+def relational(name: str, sql: str, oracle: str | None = None) -> None:
+    """A query over the relation px, written once for both engines."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql, px=seeds.gradient_pixels(spark, sf_dir))
+
+    QUERIES[name] = run
+    ORACLES[name] = seeds.GRADIENT_SQL + (oracle or duck(sql)).replace("{px}", "px")
+
+
+# Projections.
+for _name, _columns in color.PROJECTIONS.items():
+    per_pixel(_name, **_columns)
+# Geometry.
+for _name, (_x, _y) in geometry.MAPS.items():
+    mapped(_name, _x, _y)
+per_pixel("clip_canvas", "x + 3 < w AND y + 2 < h", dx="x + 3", dy="y + 2", r="r")
+per_pixel("pass_and_block", **geometry.PLACES)
+
+# Filters, aggregates.
+relational("grayscale_mean", f"SELECT image_id, count(*) AS n, CAST(sum({color.GRAY}) AS BIGINT) AS total FROM {{px}} GROUP BY image_id")
+relational("is_gray", "SELECT image_id, bool_and(r = g AND r = b) AS gray FROM {px} GROUP BY image_id")
+relational("has_alpha", "SELECT image_id, bool_or((x + y) % 3 = 0) AS transparent, bool_and(g >= 128) AS opaque FROM {px} GROUP BY image_id")
+relational("channel_means", "SELECT image_id, CAST(sum(r) AS BIGINT) AS sr, CAST(sum(g) AS BIGINT) AS sg, CAST(sum(b) AS BIGINT) AS sb, count(*) AS n FROM {px} GROUP BY image_id")
+relational("image_mse", f"SELECT image_id, CAST(sum((r - {color.GRAY}) * (r - {color.GRAY}) + (b - {color.GRAY}) * (b - {color.GRAY})) AS BIGINT) AS squares, count(*) AS n FROM {{px}} GROUP BY image_id")
+relational("hist_5bit", "SELECT r >> 3 AS r5, g >> 3 AS g5, b >> 3 AS b5, count(*) AS n, CAST(sum(r) AS BIGINT) AS sr, CAST(sum(g) AS BIGINT) AS sg, CAST(sum(b) AS BIGINT) AS sb, CAST(sum(r * r + g * g + b * b) AS BIGINT) AS sq FROM {px} GROUP BY r >> 3, g >> 3, b >> 3")
+relational("wu_moments", """SELECT r5, g5, b5, CAST(sum(n1) OVER (PARTITION BY g5, b5 ORDER BY r5) AS BIGINT) AS n FROM (
+  SELECT r5, g5, b5, CAST(sum(n0) OVER (PARTITION BY r5, b5 ORDER BY g5) AS BIGINT) AS n1 FROM (
+    SELECT r5, g5, b5, CAST(sum(n) OVER (PARTITION BY r5, g5 ORDER BY b5) AS BIGINT) AS n0 FROM (
+      SELECT r >> 5 AS r5, g >> 5 AS g5, b >> 5 AS b5, count(*) AS n FROM {px} GROUP BY r >> 5, g >> 5, b >> 5) h) i) j""")
+relational("adler32", """SELECT image_id, CAST(s2 % 65521 * 65536 + s1 % 65521 AS BIGINT) AS adler FROM (
+  SELECT image_id, 1 + CAST(sum(r) AS BIGINT) AS s1, max(w * h) + CAST(sum(CAST(r AS BIGINT) * (w * h - y * w - x)) AS BIGINT) AS s2 FROM {px} GROUP BY image_id) s""")
+relational("status_counters", "SELECT CASE WHEN image_id % 7 = 0 THEN 'skipped' WHEN w * h > 60 THEN 'large' ELSE 'done' END AS status, count(DISTINCT image_id) AS n FROM {px} GROUP BY 1")
+relational("four_channel_guess", """SELECT image_id, CAST(sum(r) AS BIGINT) DIV count(*) AS m0, CAST(sum(abs(r - 128)) AS BIGINT) AS d0, CAST(sum(abs(g - 128)) AS BIGINT) AS d1 FROM {px} WHERE (y * w + x) % 4 = 0 GROUP BY image_id""")
 
+# Windows.
+relational("png_up_filter", "SELECT image_id, x, y, (r - coalesce(lag(r) OVER (PARTITION BY image_id, x ORDER BY y), 0) + 256) % 256 AS v FROM {px}")
+relational("png_up_unfilter", "SELECT image_id, x, y, CAST(sum(v) OVER (PARTITION BY image_id, x ORDER BY y) % 256 AS INT) AS r FROM (SELECT image_id, x, y, (r - coalesce(lag(r) OVER (PARTITION BY image_id, x ORDER BY y), 0) + 256) % 256 AS v FROM {px}) f")
+relational("png_sub_unfilter", "SELECT image_id, x, y, CAST(sum(v) OVER (PARTITION BY image_id, y ORDER BY x) % 256 AS INT) AS r FROM (SELECT image_id, x, y, (r - coalesce(lag(r) OVER (PARTITION BY image_id, y ORDER BY x), 0) + 256) % 256 AS v FROM {px}) f")
+NEIGHBOURS = """SELECT image_id, x, y, r, a, b, coalesce(lag(b) OVER (PARTITION BY image_id, y ORDER BY x), 0) AS c FROM (
+  SELECT image_id, x, y, r, coalesce(lag(r) OVER (PARTITION BY image_id, y ORDER BY x), 0) AS a, coalesce(lag(r) OVER (PARTITION BY image_id, x ORDER BY y), 0) AS b FROM {px}) n"""
+relational("png_avg_forward", f"SELECT image_id, x, y, CAST((r - (a + b) DIV 2 + 256) % 256 AS INT) AS v FROM ({NEIGHBOURS}) m")
+relational("png_paeth_forward", f"SELECT image_id, x, y, (r - CASE WHEN abs(b - c) <= abs(a - c) AND abs(b - c) <= abs(a + b - 2 * c) THEN a WHEN abs(a - c) <= abs(a + b - 2 * c) THEN b ELSE c END + 256) % 256 AS v FROM ({NEIGHBOURS}) m")
+relational("dc_diff", "SELECT image_id, y, v - coalesce(lag(v) OVER (PARTITION BY image_id ORDER BY y), 0) AS diff FROM (SELECT image_id, y, CAST(sum(r - 128) AS BIGINT) DIV 8 AS v FROM {px} GROUP BY image_id, y) d")
+relational("ac_runs", "SELECT image_id, k, v, k - coalesce(lag(k) OVER (PARTITION BY image_id ORDER BY k), -1) - 1 AS run FROM (SELECT image_id, y * w + x AS k, (r * 7 + g * 3) % 5 - 2 AS v FROM {px}) q WHERE v <> 0")
+relational("first_frame", "SELECT image_id, x, r FROM (SELECT image_id, x, y, r, row_number() OVER (PARTITION BY image_id, x ORDER BY y) AS n FROM {px}) f WHERE n = 1")
+relational("gif_composite_last", "SELECT image_id, x, y, CAST(last_value(v) IGNORE NULLS OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS v FROM (SELECT image_id, x, y, CASE WHEN (x + y) % 3 <> 0 THEN r END AS v FROM {px}) f",
+           "SELECT image_id, x, y, CAST(last_value(v IGNORE NULLS) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS v FROM (SELECT image_id, x, y, CASE WHEN (x + y) % 3 <> 0 THEN r END AS v FROM px) f")
 
-def _grayscale_mean(spark, sf_dir):
-    px = seeds.gradient_pixels(spark, sf_dir).withColumn("v", F.expr("shiftright(77 * r + 150 * g + 29 * b, 8)"))
-    return px.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("v").cast("bigint").alias("total"))
+# Joins.
+PALETTE = "(SELECT DISTINCT image_id, x AS idx, r AS pr, g AS pg, b AS pb FROM {px} WHERE y = 1)"
+relational("palette_join", f"SELECT p.image_id, p.x, p.y, coalesce(pr, 0) AS r, coalesce(pg, 0) AS g, coalesce(pb, 0) AS b FROM (SELECT image_id, x, y, (r + y) % 20 AS idx FROM {{px}}) p LEFT JOIN {PALETTE} q ON p.image_id = q.image_id AND p.idx = q.idx")
+relational("palette_trns", f"SELECT p.image_id, p.x, p.y, coalesce(pr, 255) AS a FROM (SELECT image_id, x, y, (g + x) % 30 AS idx FROM {{px}}) p LEFT JOIN {PALETTE} q ON p.image_id = q.image_id AND p.idx = q.idx")
+relational("nearest_palette", """SELECT r5, g5, b5, CAST(min(d * 64 + i) % 64 AS INT) AS idx FROM (
+  SELECT r5, g5, b5, i, (8 * r5 + 4 - 85 * (i % 4)) * (8 * r5 + 4 - 85 * (i % 4)) + (8 * g5 + 4 - 85 * (i DIV 4 % 4)) * (8 * g5 + 4 - 85 * (i DIV 4 % 4)) + (8 * b5 + 4 - 85 * (i DIV 16)) * (8 * b5 + 4 - 85 * (i DIV 16)) AS d
+  FROM (SELECT DISTINCT r >> 3 AS r5, g >> 3 AS g5, b >> 3 AS b5 FROM {px}) c JOIN (SELECT DISTINCT (x % 8) * 8 + y % 8 AS i FROM {px}) k ON TRUE) t GROUP BY r5, g5, b5""")
+relational("image_compare", "SELECT a.image_id, count(*) AS n, CAST(sum(CASE WHEN a.r <> b.r THEN 1 ELSE 0 END) AS BIGINT) AS differing, max(abs(a.r - b.r)) AS furthest FROM {px} a JOIN (SELECT image_id, w - 1 - x AS x, y, r FROM {px}) b ON a.image_id = b.image_id AND a.x = b.x AND a.y = b.y GROUP BY a.image_id")
+relational("skip_existing", "SELECT a.image_id, a.w FROM (SELECT DISTINCT image_id, w FROM {px}) a LEFT JOIN (SELECT DISTINCT image_id FROM {px} WHERE r = 255 AND h > 5) b ON a.image_id = b.image_id WHERE b.image_id IS NULL")
+relational("frame_names", "SELECT DISTINCT concat('frame_', lpad(CAST(y AS STRING), 3, '0'), '.png') AS name FROM {px}")
 
+# Resampling.
+relational("resize_area", resample.AREA.replace("DST_W", "3").replace("DST_H", "2"))
+relational("resize_bilinear", resample.BILINEAR.replace("DST_W", "9").replace("DST_H", "7"))
+relational("resize_bicubic", resample.BICUBIC.replace("DST_W", "9").replace("DST_H", "7"))
+relational("fit_dims", resample.FIT)
+relational("chroma_down_2x2", "SELECT image_id, CAST(x DIV 2 AS INT) AS x, CAST(y DIV 2 AS INT) AS y, CAST((sum(g * (CASE WHEN x = w - 1 AND x % 2 = 0 THEN 2 ELSE 1 END) * (CASE WHEN y = h - 1 AND y % 2 = 0 THEN 2 ELSE 1 END)) + 2) DIV 4 AS INT) AS v FROM {px} GROUP BY image_id, x DIV 2, y DIV 2")
+relational("chroma_up_nearest", "SELECT a.image_id, a.x, a.y, b.g AS cb FROM {px} a JOIN {px} b ON a.image_id = b.image_id AND b.x = a.x DIV 2 AND b.y = a.y DIV 2")
+relational("chroma_up_linear", resample.CHROMA_LINEAR)
 
-QUERIES = {"grayscale_mean": _grayscale_mean}
-ORACLES = {
-    "grayscale_mean": seeds.GRADIENT_SQL
-    + "SELECT image_id, count(*) AS n, CAST(sum((77 * r + 150 * g + 29 * b) >> 8) AS BIGINT) AS total FROM px GROUP BY image_id"
-}
+# Block transforms.
+relational("jpeg_quant_table", dct.QUANT_TABLE)
+relational("quantize", dct.QUANTIZE)
+relational("dequantize", dct.DEQUANTIZE)
+relational("idct8x8_float", dct.IDCT_FLOAT)
