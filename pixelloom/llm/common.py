@@ -64,16 +64,16 @@ MAP_BITS = 1 << 24
 
 
 def rows_of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Those rows whose ``key`` is in ``ids``, a table of that one column.
+    """Those rows whose ``key`` is in ``ids``, with the further columns of ``ids``.
 
-    The ids grow with the corpus and aren't broadcast. What is, is a bit map of fixed size of their hashes; it lets few
-    other rows into the shuffle as long as the ids are far fewer than its bits, and never keeps a wanted row out.
+    The ids grow with the corpus and aren't broadcast at any size, whatever Spark would choose for a small one. What is, is
+    a bit map of fixed size of their hashes; it lets few other rows into the shuffle as long as the ids are far fewer than
+    its bits, and never keeps a wanted row out.
     """
     place = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
-    ids = ids.distinct()
     bits = ids.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
     some = rows.withColumn("__at", place).join(F.broadcast(bits), F.shiftright("__at", 6) == F.col("word")).where("getbit(bits, CAST(__at & 63 AS INT)) = 1")
-    return some.select(*rows.columns).join(ids, key).select(*rows.columns)
+    return some.select(*rows.columns).join(ids.hint("merge"), key)
 
 
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:

@@ -162,7 +162,7 @@ def links(docs: DataFrame, heads: DataFrame, percent: int = PERCENT) -> DataFram
     pairs, weighed = star_pairs(buckets)
     stars = written(pairs, "stars")
     # The texts that any comparison needs, so that all others are shuffled once.
-    docs = written(rows_of(columns(docs, "doc_id", "text"), weighed.select(F.col("id").alias("doc_id")), "doc_id"), "texts")
+    docs = written(rows_of(columns(docs, "doc_id", "text"), weighed.select(F.col("id").alias("doc_id")).distinct(), "doc_id"), "texts")
     edges = written(verified(stars, docs, percent), "links")
     groups = connected_components(edges)
     placed = weighed.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))

@@ -119,7 +119,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = columns(docs, "doc_id", "text").where(learn & F.col("text").isNotNull())
     hashed = texts.select("doc_id", F.xxhash64("text").alias("row")).join(marks, "doc_id")
     heads = written(hashed.groupBy("row", "toxic").agg(F.min("doc_id").alias("doc_id")), "heads")
-    found = rows_of(texts, heads.select("doc_id"), "doc_id").join(heads, "doc_id")
+    found = rows_of(texts, heads, "doc_id")
     return found.where(F.xxhash64("text") == F.col("row")).select("row", "toxic", "text")
 
 
