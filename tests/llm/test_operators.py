@@ -1,0 +1,205 @@
+"""The operators against brute force, on a small corpus of every odd case, and on empty tables."""
+
+import gzip
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from pixelloom.llm import bpe, embeddings, licences, minhash, packing, quality, secrets, suffixes, toxicity, warc
+from pixelloom.llm.vocabulary import default_vocabulary, reference_tokenizer
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows_by(got, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in got), key=str)
+
+
+def expected(corpus, f):
+    return sorted(((i, *f(t or "")) for i, t, *_ in corpus), key=str)
+
+
+@pytest.fixture
+def empty(docs):
+    return docs.limit(0)
+
+
+def shingles(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
+
+
+@pytest.mark.parametrize("small", [64, 1])
+def test_near_duplicates(docs, corpus, empty, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    sets = {i: shingles(t or "") for i, t, *_ in corpus if i is not None}
+    least = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                shared = len(sets[a] & sets[b])
+                if shared and 100 * shared >= 75 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    want = sorted(((i, len(shingles(t or "")), least.get(i), i is None or least[i] == i) for i, t, *_ in corpus), key=str)
+    assert rows_by(minhash.near_duplicates(docs).collect(), "doc_id", "n_shingles", "component_id", "kept") == want
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_quality_counts(docs, corpus, empty):
+    def count(t):
+        words = WORD.findall(t)
+        windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        repeated = {j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(repeated), len(words) < 10 or 100 * len(repeated) > 20 * len(words)
+
+    got = quality.judge(docs).collect()
+    assert rows_by(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == expected(corpus, count)
+    assert not any(r.kept and r.base_failed for r in got)
+    assert quality.judge(empty).count() == 0
+
+
+def test_quality_outliers(spark):
+    clean = [(i, " ".join(f"word{(i * 7 + k) % 90}" for k in range(80)), "en", "s", 0) for i in range(200)]
+    odd = [(1000 + i, " ".join(f"w{k}###$$$%%%" for k in range(80)), "en", "s", 0) for i in range(5)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(clean + odd, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert all(kept == (i < 1000) for i, kept in got.items())
+
+
+@pytest.mark.parametrize("common", [0, 50, bpe.COMMON_WORDS])
+def test_bpe(docs, corpus, empty, common):
+    vocabulary = default_vocabulary()
+    tokenizer = reference_tokenizer(vocabulary)
+
+    def digest(t):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+    got = bpe.digests(bpe.encode(docs, vocabulary, common)).collect()
+    assert rows_by(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expected(corpus, digest)
+    assert bpe.digests(bpe.encode(empty, vocabulary)).count() == 0
+
+
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_suffixes(docs, corpus, empty, monkeypatch, most):
+    texts = [(i, (t or "").encode()) for i, t, *_ in corpus]
+    seen = Counter(raw[k : k + 200] for _, raw in texts for k in range(len(raw) - 199))
+    want = []
+    for i, raw in texts:
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 199):
+            if seen[raw[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        want.append((i, len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(c for c, g in zip(raw, gone, strict=True) if not g)).hexdigest()))
+    monkeypatch.setattr(suffixes.repeats, "__defaults__", (most,))
+    assert rows_by(suffixes.digests(docs).collect(), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
+    assert suffixes.digests(empty).count() == 0
+
+
+def test_maximal_repeats_have_all_occurrences():
+    right = sorted([b"k" * 32 + b"same" * 50] * 3 + [b"k" * 32 + b"other" * 40])
+    found = list(suffixes.maximal_repeats([b"left"] * 4, right, 200))
+    assert any(length == 232 and len(members) == 3 for _, length, members, _ in found)
+
+
+def test_secrets(docs, corpus, empty):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+    def find(t):
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        said = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        return *(sum(k == i for _, k, _ in spans) for i in range(3)), hashlib.sha256(said.encode()).hexdigest()
+
+    got = secrets.digests(docs).collect()
+    assert rows_by(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == expected(corpus, find)
+    assert any("owned" in r.spans for r in got)
+    assert secrets.digests(empty).count() == 0
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs.select("doc_id", "text", "lang", "source", "n_chars")).collect()}
+    assert not any("Zx9QwErTy12345UiOpAsD" in (t or "") or "AKIAABC" in (t or "") for t in clean.values())
+
+
+def test_packing(docs, corpus, empty):
+    vocabulary = default_vocabulary()
+    tokenizer = reference_tokenizer(vocabulary)
+    got = packing.pack(docs, vocabulary).collect()
+    want = Counter()
+    for i, t, *_ in corpus:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        first = (len(ids) - 1) % 2048 + 1
+        edges = [0, *range(first, len(ids) + 1, 2048)]
+        want.update((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(empty, vocabulary).count() == 0
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((300, 64))
+    x = np.concatenate([base, base[:80] + 0.02 * rng.standard_normal((80, 64)) * np.linalg.norm(base[:80], axis=1, keepdims=True) / 8 * 10, base[:5]])
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(900, None), (901, [0.0] * 64), (902, [float("nan")] * 64), (903, [None] * 64)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    unit = np.array([np.array(v, np.float32) for _, v in rows[: len(x)]], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.95
+    np.fill_diagonal(close, False)
+    found, all_links = sum(got[i].n_links for i in range(len(x))), int(close.sum())
+    assert 0.97 * all_links <= found <= all_links
+    assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_toxicity_held_out(spark, docs, empty):
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.learn(documents, labels)
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [(r.predicted, toxic[r.doc_id]) for r in toxicity.score(documents, lexicon).collect() if r.held_out and r.doc_id in toxic]
+    assert sum(p == t for p, t in held) >= 0.9 * len(held)
+    assert toxicity.folded_words("Tr4sh cl0wn сlоwn 2024") == ["trash", "clown", "clown", "2024"]
+    assert toxicity.score(docs, lexicon).count() == docs.count()
+    assert toxicity.score(empty, toxicity.learn(empty, labels)).count() == 0
+
+
+def test_warc_round_trip(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<html lang=en><title>T</title><script>x='</p>'</script><p>A &amp; b<p title='>'>c"), (2, None, None), (2, None, None)], "page_id long, url string, html string")
+    sources = warc.responses(pages)
+    got = warc.derived(sources).collect()
+    ids = {r.record_id for r in sources.collect()}
+    assert len(got) == 6 and all(r.refers_to in ids for r in got)
+    assert [bytes(r.block).decode() for r in got if r.page_id == 1 and r.warc_type == "conversion"] == ["A & b\nc"]
+    members = b"".join(bytes(r.member) for r in warc.archived(warc.derived(sources)).collect())
+    back = list(warc.parsed(members))
+    assert len(back) == 6 and all(h["warc-block-digest"] == warc.digest(block) for h, block in back)
+    assert gzip.decompress(members).count(b"WARC/1.1") == 6
+
+
+def test_licences(spark, docs, empty):
+    lines = [(0, "prose here\nReleased under the MIT License.", "MIT"), (1, "Licensed under the Apache License, Version 2.0.", "Apache"), (2, "Licensed under CC BY-NC 4.0.", "CC-BY-NC"), (3, "This work is licensed under the GNU General Public License, version 2.", "GPL"), (4, "the driver lost his license on the way to the free library", ""), (5, None, "")]
+    got = {r.doc_id: r.families for r in licences.scan(spark.createDataFrame([x[:2] for x in lines], "doc_id long, text string")).collect()}
+    assert got == {i: family for i, _, family in lines}
+    assert licences.scan(docs).count() == docs.count() and licences.scan(empty).count() == 0
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = docs.select(*names)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, "")
+        assert rows.columns == names
+        rows = spark.createDataFrame(rows.collect(), rows.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() >= rows.count() > 0
