@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import seeds
+from pixelloom.codecs import bmp, gif, png
 from pixelloom.operators import color, dct, geometry, resample
+from pixelloom.sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,3 +117,26 @@ relational("jpeg_quant_table", dct.QUANT_TABLE)
 relational("quantize", dct.QUANTIZE)
 relational("dequantize", dct.DEQUANTIZE)
 relational("idct8x8_float", dct.IDCT_FLOAT)
+
+
+# Codecs: the pixels that come back must be those of the seeds.
+def through_codec(name: str, through: Callable, where: str = "r, g, b") -> None:
+    QUERIES[name] = lambda spark, sf_dir: images.round_trip(seeds.gradient_pixels(spark, sf_dir), through)
+    ORACLES[name] = seeds.GRADIENT_SQL + f"SELECT image_id, x, y, {where} FROM px"
+
+
+through_codec("bmp24_roundtrip", lambda image: bmp.decode(bmp.encode(image)))
+through_codec("bmp8_roundtrip", lambda image: bmp.decode(bmp.encode(image[:, :, 0])), "r, r AS g, r AS b")
+through_codec("png_rgb_roundtrip", lambda image: png.decode(png.encode(image), check=True))
+through_codec("png_gray_roundtrip", lambda image: png.decode(png.encode(image[:, :, 1])), "g AS r, g, g AS b")
+through_codec("gif_rgb_roundtrip", lambda image: gif.decode(gif.encode([image]))[0][0])
+through_codec("gif_anim_roundtrip", lambda image: gif.decode(gif.encode([image[::-1], image], [20, 40]))[1][0])
+
+
+def _sniff_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = seeds.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), F.expr("element_at(array('FFD8FFE0', '89504E470D0A1A0A', '424D00', '524946460000000057454250', '474946383961', '0011', '52494646000000004E4F4E45'), CAST(p_partkey % 7 AS INT) + 1)").alias("head"))
+    return heads.select("image_id", images.sniffed(F.unhex("head")).alias("fmt"))
+
+
+QUERIES["sniff_format"] = _sniff_format
+ORACLES["sniff_format"] = "SELECT p_partkey AS image_id, CASE p_partkey % 7 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'bmp' WHEN 3 THEN 'webp' WHEN 4 THEN 'gif' END AS fmt FROM part"
