@@ -1,4 +1,4 @@
-"""GIF: up to 256 colours out, single images or animations; all frames in, painted on their canvas."""
+"""GIF: palettes of 256 colours out, single images or animations; all frames in, painted on their canvas."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import struct
 
 import numpy as np
 
+from pixelloom.codecs import quantize
+
 #: First rows and steps of the interlace passes.
 PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
 
@@ -79,27 +81,29 @@ def lzw_decode(data: bytes, bits: int, n: int) -> bytes:
     return bytes(out[:n]).ljust(n, b"\0")
 
 
-def indexed(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Palette and indices of an image of at most 256 colours; of four channels, those under half opaque are index 0."""
+def indexed(image: np.ndarray, dither: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Palette and indices; of four channels, pixels under half opaque are index 0. Images of few colours keep them all."""
     h, w = image.shape[:2]
     flat = image.reshape(-1, image.shape[2])
     opaque = flat[:, 3] >= 128 if flat.shape[1] == 4 else np.ones(len(flat), bool)
-    colours, at = np.unique(flat[opaque, :3], axis=0, return_inverse=True)
     first = 0 if opaque.all() else 1
+    colours = np.unique(flat[opaque, :3], axis=0)
     if len(colours) + first > 256:
-        raise ValueError("more colours than a palette holds")
+        colours = quantize.palette(flat[opaque, :3], 256 - first)
     out = np.zeros(len(flat), np.uint8)
-    out[opaque] = at.reshape(-1) + first
+    if opaque.any():
+        found = quantize.dithered(colours, image[:, :, :3]).reshape(-1) if dither else quantize.nearest(colours, flat[:, :3])
+        out[opaque] = found[opaque] + first
     return np.concatenate([np.zeros((first, 3), np.uint8), colours]), out.reshape(h, w)
 
 
-def encode(frames: list[np.ndarray], durations_ms: list[int] | None = None, loops: int = 0) -> bytes:
+def encode(frames: list[np.ndarray], durations_ms: list[int] | None = None, loops: int = 0, dither: bool = False) -> bytes:
     h, w = frames[0].shape[:2]
     out = b"GIF89a" + struct.pack("<HHBBB", w, h, 0, 0, 0)
     if len(frames) > 1:
         out += b"\x21\xff\x0bNETSCAPE2.0\x03\x01" + struct.pack("<H", loops) + b"\0"
     for k, frame in enumerate(frames):
-        palette, index = indexed(frame)
+        palette, index = indexed(frame, dither)
         clear = frame.shape[2] == 4 and bool((frame[:, :, 3] < 128).any())
         delay = (durations_ms[k] + 5) // 10 if durations_ms else 0
         bits = max(2, (len(palette) - 1).bit_length())

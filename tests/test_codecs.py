@@ -84,3 +84,18 @@ def test_gif_animation():
     assert all((a[:, :, :3] == b).all() for (a, _), b in zip(got, frames, strict=True))
     mask = np.concatenate([frames[0], np.where(frames[0][:, :, :1] > 60, 255, 0).astype(np.uint8)], axis=2)
     assert (gif.decode(gif.encode([mask]))[0][0][:, :, 3] == mask[:, :, 3]).all()
+
+
+@pytest.mark.parametrize("dither", [False, True])
+def test_gif_of_many_colours(dither):
+    y, x = np.mgrid[0:40, 0:48]
+    image = np.stack([x * 255 // 47, y * 255 // 39, (x + y) * 255 // 86], axis=2).astype(np.uint8)
+    got = gif.decode(gif.encode([image], dither=dither))[0][0][:, :, :3]
+    assert len(np.unique(got.reshape(-1, 3), axis=0)) <= 256
+    assert ((got.astype(int) - image) ** 2).mean() < 100
+    assert np.abs(got.reshape(-1, 3).mean(axis=0) - image.reshape(-1, 3).mean(axis=0)).max() < 2
+
+
+def test_gif_alpha_with_many_colours():
+    image = rng.integers(0, 256, (20, 30, 4), dtype=np.uint8)
+    assert ((gif.decode(gif.encode([image]))[0][0][:, :, 3] > 0) == (image[:, :, 3] >= 128)).all()
