@@ -140,3 +140,14 @@ def _sniff_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["sniff_format"] = _sniff_format
 ORACLES["sniff_format"] = "SELECT p_partkey AS image_id, CASE p_partkey % 7 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'bmp' WHEN 3 THEN 'webp' WHEN 4 THEN 'gif' END AS fmt FROM part"
+
+
+def _with_alpha(image):
+    import numpy as np
+
+    return np.concatenate([image, image[:, :, :1]], axis=2)
+
+
+through_codec("png_rgba_roundtrip", lambda image: png.decode(png.encode(_with_alpha(image)), alpha=True)[:, :, [3, 1, 2]])
+through_codec("gif_rgba_mask_roundtrip", lambda image: gif.decode(gif.encode([_with_alpha(image)]))[0][0][:, :, [3, 3, 3]], "CASE WHEN r >= 128 THEN 255 ELSE 0 END AS r, CASE WHEN r >= 128 THEN 255 ELSE 0 END AS g, CASE WHEN r >= 128 THEN 255 ELSE 0 END AS b")
+QUERIES["crc32_bytes"] = lambda spark, sf_dir: seeds.table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"), F.length(F.encode("text", "UTF-8")).alias("n_bytes"))

@@ -25,3 +25,41 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/a.bmp").write_bytes(bmp.encode(image))
     convert.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert (png.decode(bytes(spark.read.parquet(str(tmp_path / "out")).first().content)) == image).all()
+
+
+def test_raster_operators():
+    import pytest
+
+    from pixelloom.operators import raster
+
+    checker = np.array([[[100, 110, 120], [200, 210, 220]], [[200, 210, 220], [100, 110, 120]]], np.uint8)
+    assert raster.resize(checker, 1, 1).tolist() == [[[150, 160, 170]]]
+    assert raster.grayscale(np.array([[[10, 200, 50]]], np.uint8)).tolist() == [[[125] * 3]]
+    assert raster.resize_to_fit(np.zeros((200, 400, 3), np.uint8), 320, 240).shape == (160, 320, 3)
+    assert raster.resize_to_fit(np.zeros((400, 200, 3), np.uint8), 320, 240).shape == (240, 120, 3)
+    ramp = raster.resize(np.tile(np.array([[0, 100, 200]], np.uint8)[:, :, None], (3, 1, 3)), 6, 6)
+    assert (np.diff(ramp[:, :, 0].astype(int), axis=1) >= 0).all()
+    from pixelloom.operators.geometry import ORIENTATIONS
+
+    image = np.arange(18, dtype=np.uint8).reshape(3, 2, 3)
+    for n, (fx, fy) in ORIENTATIONS.items():
+        got = raster.oriented(image, n)
+        for y in range(3):
+            for x in range(2):
+                at = {"x": x, "y": y, "w": 2, "h": 3}
+                assert (got[eval(fy, at.copy()), eval(fx, at.copy())] == image[y, x]).all()
+    with pytest.raises(ValueError):
+        raster.operation("resize:axb")
+
+
+def test_convert(spark, tmp_path):
+    from pixelloom.plans.convert import convert
+
+    (tmp_path / "in").mkdir()
+    image = np.arange(96, dtype=np.uint8).reshape(4, 8, 3)
+    (tmp_path / "in/a.png").write_bytes(png.encode(image))
+    (tmp_path / "in/b.bmp").write_bytes(b"BM")
+    out = str(tmp_path / "out")
+    assert {r.status: r.n for r in convert(spark, str(tmp_path / "in"), out, "bmp", ("resizefit:4x4", "grayscale")).collect()} == {"ok": 1, "failed": 1}
+    assert bmp.decode(bytes(spark.read.parquet(out).first().content)).shape == (2, 4, 3)
+    assert {r.status: r.n for r in convert(spark, str(tmp_path / "in"), out, "bmp", skip_existing=True).collect()} == {"failed": 1}
