@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pixelloom.llm.common import SPACES, written
 
 WINDOW = 5
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Of the statistic vector: floor of the standard deviation of each part, so that a part that is constant in a group doesn't make the covariance singular.
 FLOORS = {"x0": 0.25, "x1": 0.25, "x2": 0.25, "x3": 0.25}
 PARTS = list(FLOORS)
@@ -21,6 +22,8 @@ KEPT_SHARE, STEPS, LEAST_ROWS = 0.75, 3, 50
 CONSISTENCY = 0.75 / 0.505
 #: Squared distance beyond which a row goes; far out, as clean documents must stay: chi2 of 4 exceeds it once in 10^11.
 LIMIT = 60.0
+#: In so many slices the rows of each group are joined with what is estimated for it.
+SLICES = 256
 
 
 def held(expression: Column, name: str) -> Column:
@@ -77,16 +80,26 @@ def factors(cov: dict[tuple[int, int], Column]) -> dict[str, Column]:
     return {f"l{i}{j}": c for (i, j), c in low.items()}
 
 
-def measured(rows: DataFrame, model: DataFrame) -> DataFrame:
+def by_group(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their group.
+
+    ``groups`` is a written table, so that Spark knows its size: a small one is sent to the rows, which then needn't be
+    shuffled. Beyond Spark's limit every group is repeated once a slice, so that a group of any share of the rows meets
+    its estimate in as many tasks.
+    """
+    return rows.join(groups.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))), ["g_lang", "g_source", "slice"], how)
+
+
+def measured(rows: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` with d2, the squared Mahalanobis distance from the centre of their group."""
-    joined = rows.join(model, ["g_lang", "g_source"])
+    joined = by_group(rows, model, how)
     z: list[Column] = []
     for i, part in enumerate(PARTS):
         rest = F.col(part) - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * z[k]
         z.append(rest / F.col(f"l{i}{i}"))
-    return joined.select(*rows.columns, sum((c * c for c in z), F.lit(0.0)).alias("d2"))
+    return joined.select(*(rows[c] for c in rows.columns), sum((c * c for c in z), F.lit(0.0)).alias("d2"))
 
 
 def robust_models(rows: DataFrame) -> DataFrame:
@@ -94,13 +107,13 @@ def robust_models(rows: DataFrame) -> DataFrame:
     keys = ["g_lang", "g_source"]
     n = range(len(PARTS))
     centre = rows.groupBy(*keys).agg(*(F.percentile_approx(p, 0.5, 1000).alias(f"m{i}") for i, p in enumerate(PARTS)))
-    spread = rows.join(centre, keys).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in n), *(F.percentile_approx(F.abs(F.col(p) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, p in enumerate(PARTS)))
+    spread = by_group(rows, written(centre, "centre")).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in n), *(F.percentile_approx(F.abs(F.col(p) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, p in enumerate(PARTS)))
     start = {(i, j): F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[PARTS[i]] ** 2 if i == j else F.lit(0.0) for i in n for j in range(i + 1)}
     model = written(spread.select(*keys, *(f"m{i}" for i in n), *(c.alias(k) for k, c in factors(start).items())), "model")
     for _ in range(STEPS):
         far = measured(rows, model)
         edge = far.groupBy(*keys).agg(F.percentile_approx("d2", KEPT_SHARE, 1000).alias("edge"))
-        near = far.join(edge, keys).where("d2 <= edge")
+        near = by_group(far, written(edge, "edge")).where("d2 <= edge")
         sums = near.groupBy(*keys).agg(*(F.avg(p).alias(f"m{i}") for i, p in enumerate(PARTS)), *(F.covar_pop(PARTS[i], PARTS[j]).alias(f"c{i}{j}") for i in n for j in range(i + 1)))
         cov = {(i, j): F.col(f"c{i}{j}") * CONSISTENCY + (FLOORS[PARTS[i]] ** 2 if i == j else 0.0) for i in n for j in range(i + 1)}
         model = written(sums.select(*keys, *(f"m{i}" for i in n), *(c.alias(k) for k, c in factors(cov).items())), "model")
@@ -111,21 +124,20 @@ def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """Per row of ``docs``: the base counts, base_failed, d2 and kept.
 
     Null texts have no words and fail. Null languages or sources are a group like others. Groups of fewer than 50 rows are
-    measured by all rows together. Repeated rows and doc_ids are judged row by row; an empty table gives an empty result.
+    measured by all rows of such groups together; where no estimate can be made, d2 is null and the base rules alone count.
+    Repeated rows and doc_ids are judged row by row; an empty table gives an empty result.
     """
     stats = written(statistics(docs), "statistics")
-    counts = stats.groupBy("lang", "source").agg(F.count("*").alias("n")).select(F.col("lang").alias("c_lang"), F.col("source").alias("c_source"), F.col("n").alias("c_n"))
-    sized = vectors(stats).join(counts, F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source")))
-    enough = F.col("c_n") >= LEAST_ROWS
-    named = lambda c: F.when(enough, F.concat(F.lit("="), F.coalesce(c, F.lit("")))).otherwise("*")
-    rows = written(sized.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *PARTS, named(F.col("lang")).alias("g_lang"), named(F.col("source")).alias("g_source")), "vectors")
+    base = vectors(stats).withColumns({"slice": F.pmod(F.xxhash64("doc_id", *PARTS, F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(SLICES)).cast("int"), "g_lang": coded("lang"), "g_source": coded("source")})
+    counts = written(base.groupBy("g_lang", "g_source").agg(F.count("*").alias("n")), "counts")
+    named = lambda c: F.when(F.col("n") >= LEAST_ROWS, F.col(c)).otherwise("*").alias(c)
+    rows = written(by_group(base, counts).select("doc_id", *COUNTS, *PARTS, "slice", named("g_lang"), named("g_source")), "vectors")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = measured_all(rows, failed)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.coalesce("d2", F.lit(0.0)) <= limit)).alias("kept"), "d2")
+    model = robust_models(rows.where(~failed))
+    out = measured(rows, model, "left")
+    return out.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & (F.coalesce("d2", F.lit(0.0)) <= limit)).alias("kept"), "d2")
 
 
-def measured_all(rows: DataFrame, failed: Column) -> DataFrame:
-    """Rows that pass the base rules make the estimates; all rows are measured, those of groups without an estimate stay."""
-    model = robust_models(rows.where(~failed))
-    joined = measured(rows, model)
-    return joined.union(rows.join(model, ["g_lang", "g_source"], "left_anti").select(*rows.columns, F.lit(None).cast("double").alias("d2")))
+def coded(name: str) -> Column:
+    """A language or source as the key of a group, which is never null."""
+    return F.when(F.col(name).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(name)))
