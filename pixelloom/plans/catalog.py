@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import seeds
-from pixelloom.codecs import bmp, gif, png
+from pixelloom.codecs import bmp, gif, jpeg, png
 from pixelloom.operators import color, dct, geometry, resample
 from pixelloom.sources import images
 
@@ -143,11 +144,27 @@ ORACLES["sniff_format"] = "SELECT p_partkey AS image_id, CASE p_partkey % 7 WHEN
 
 
 def _with_alpha(image):
-    import numpy as np
-
     return np.concatenate([image, image[:, :, :1]], axis=2)
 
 
 through_codec("png_rgba_roundtrip", lambda image: png.decode(png.encode(_with_alpha(image)), alpha=True)[:, :, [3, 1, 2]])
 through_codec("gif_rgba_mask_roundtrip", lambda image: gif.decode(gif.encode([_with_alpha(image)]))[0][0][:, :, [3, 3, 3]], "CASE WHEN r >= 128 THEN 255 ELSE 0 END AS r, CASE WHEN r >= 128 THEN 255 ELSE 0 END AS g, CASE WHEN r >= 128 THEN 255 ELSE 0 END AS b")
 QUERIES["crc32_bytes"] = lambda spark, sf_dir: seeds.table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"), F.length(F.encode("text", "UTF-8")).alias("n_bytes"))
+
+
+# JPEG is lossy: its queries give, per pixel and channel, 1 where the value that comes back is near enough.
+def bounded(name: str, through: Callable, most: int) -> None:
+    through_codec(name, lambda image: (np.abs(through(image).astype(int) - image) <= most).astype(np.uint8), "1 AS r, 1 AS g, 1 AS b")
+
+
+bounded("jpeg_444_bounded", lambda image: jpeg.decode(jpeg.encode(image, 100, subsample=False)), 8)
+bounded("jpeg_gray_bounded", lambda image: jpeg.decode(jpeg.encode(image[:, :, 0], 100)) + (image - image[:, :, :1]), 4)
+
+
+def _turned(image: np.ndarray) -> np.ndarray:
+    """Stored on its side with orientation 6, read upright."""
+    exif = b"II*\0\x08\0\0\0\1\0\x12\1\3\0\1\0\0\0\6\0\0\0\0\0\0\0"
+    return jpeg.decode(jpeg.encode(image.swapaxes(0, 1)[::-1], 100, subsample=False, exif=exif), upright=True)
+
+
+bounded("jpeg_exif_orientation_bounded", _turned, 8)

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.codecs import bmp, gif, png
+from pixelloom.codecs import bmp, gif, jpeg, png
 
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp", "gif")
 #: First bytes by format, in the order in which formats are tried.
 MAGIC = {"jpeg": "FFD8", "png": "89504E470D0A1A0A", "bmp": "424D", "webp": "52494646", "gif": "474946"}
-DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {"png": lambda d: png.decode(d, alpha=True), "bmp": bmp.decode, "gif": lambda d: gif.decode(d, 1)[0][0]}
-ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {"png": png.encode, "bmp": bmp.encode, "gif": lambda image: gif.encode([image])}
+DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {"png": lambda d: png.decode(d, alpha=True), "bmp": bmp.decode, "gif": lambda d: gif.decode(d, 1)[0][0], "jpeg": lambda d: jpeg.decode(d, upright=True)}
+ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {"png": png.encode, "bmp": bmp.encode, "gif": lambda image: gif.encode([image]), "jpeg": jpeg.encode}
 RASTER = "path string, fmt string, width int, height int, channels int, buf binary, status string, error string"
 
 
