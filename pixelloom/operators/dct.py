@@ -27,3 +27,40 @@ IDCT_FLOAT = """SELECT c.image_id, c.y, t.i, CAST(sum(c.v * t.c) AS BIGINT) AS s
   JOIN (SELECT i, u, CAST(floor((CASE WHEN u = 0 THEN sqrt(CAST(0.5 AS DOUBLE)) ELSE CAST(1 AS DOUBLE) END) * cos((2 * i + 1) * u * pi() / 16) * 4096 + 0.5) AS INT) AS c
         FROM (SELECT DISTINCT x AS i FROM {px} WHERE x < 8) a JOIN (SELECT DISTINCT x AS u FROM {px} WHERE x < 8) b ON TRUE) t
   ON c.u = t.u GROUP BY c.image_id, c.y, t.i"""
+
+#: sqrt(2) cos(k pi / 16) in units of 2^-13 with the roundings of the usual whole-number transform; one row per frequency.
+INTEGER_BASIS = (
+    (8192, 8192, 8192, 8192, 8192, 8192, 8192, 8192),
+    (11363, 9633, 6437, 2260, -2260, -6437, -9633, -11363),
+    (10703, 4433, -4433, -10703, -10703, -4433, 4433, 10703),
+    (9633, -2259, -11362, -6436, 6436, 11362, 2259, -9633),
+    (8192, -8192, -8192, 8192, 8192, -8192, -8192, 8192),
+    (6437, -11362, 2261, 9633, -9633, -2261, 11362, -6437),
+    (4433, -10704, 10704, -4433, -4433, 10704, -10704, 4433),
+    (2260, -6436, 9633, -11363, 11363, -9633, 6436, -2260),
+)
+_basis = "(VALUES " + ", ".join(f"({u}, {x}, {c})" for u, row in enumerate(INTEGER_BASIS) for x, c in enumerate(row)) + ") AS t(u, x, c)"
+
+
+def integer_pass(source: str, along: str, frequency: bool, shift: int) -> str:
+    """One pass over (image_id, y, x, v): a join with 64 fixed rows and a sum, rounded, whose index takes the place of ``along``."""
+    across = "y" if along == "x" else "x"
+    at, to = ("u", "x") if frequency else ("x", "u")
+    return f"(SELECT s.image_id, s.{across} AS {across}, t.{to} AS {along}, (CAST(sum(s.v * t.c) AS BIGINT) + {1 << (shift - 1)}) >> {shift} AS v FROM {source} s JOIN {_basis} ON s.{along} = t.{at} GROUP BY s.image_id, s.{across}, t.{to})"
+
+
+def inverse(source: str, first: str = "x") -> str:
+    """Coefficients to samples: rows first, or columns."""
+    return integer_pass(integer_pass(source, first, True, 11), "y" if first == "x" else "x", True, 18)
+
+
+#: The first block of each image, cells beyond its edge taken from the last row and column.
+_block = "(SELECT p.image_id, b.y, b.x, p.g - 128 AS v FROM {px} p JOIN (SELECT u AS y, x FROM " + _basis + ") b ON p.x = least(b.x, p.w - 1) AND p.y = least(b.y, p.h - 1))"
+_forward = integer_pass(integer_pass(_block, "x", False, 11), "y", False, 15)
+_quantised = f"(SELECT image_id, y, x, q * ({_level}) AS v FROM (SELECT image_id, y, x, v, {scaled('75').replace('CASE k', 'CASE y * 8 + x')} AS q FROM {_forward} f) f)"
+_sample = "CAST(greatest(0, least(255, v + 128)) AS INT) AS v"
+FDCT_INTEGER = f"SELECT image_id, y, x, CAST(v AS INT) AS v FROM {_forward} f"
+IDCT_INTEGER = f"SELECT image_id, y, x, {_sample} FROM {inverse(_quantised)} f"
+IDCT_INTEGER_COLUMNS = f"SELECT image_id, y, x, {_sample} FROM {inverse(_quantised, 'y')} f"
+_near = inverse(f"(SELECT image_id, y, x, (v + 4) >> 3 AS v FROM {_forward} f)")
+INTEGER_ROUND_TRIP = f"SELECT a.image_id, count(*) AS n, CAST(max(abs(a.v - b.v)) AS BIGINT) AS furthest FROM {_block} a JOIN {_near} b ON a.image_id = b.image_id AND a.x = b.x AND a.y = b.y GROUP BY a.image_id"

@@ -118,6 +118,10 @@ relational("jpeg_quant_table", dct.QUANT_TABLE)
 relational("quantize", dct.QUANTIZE)
 relational("dequantize", dct.DEQUANTIZE)
 relational("idct8x8_float", dct.IDCT_FLOAT)
+relational("fdct8x8", dct.FDCT_INTEGER)
+relational("idct8x8_int", dct.IDCT_INTEGER)
+relational("idct8x8_columns_first", dct.IDCT_INTEGER_COLUMNS)
+relational("fdct_idct_furthest", dct.INTEGER_ROUND_TRIP)
 
 
 # Codecs: the pixels that come back must be those of the seeds.
