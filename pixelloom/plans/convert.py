@@ -36,11 +36,11 @@ def applied(rasters: DataFrame, operations: list[str]) -> DataFrame:
     return rasters.mapInArrow(run, rasters.schema)
 
 
-def convert(spark: SparkSession, source: str, out: str, fmt: str = "png", operations: tuple[str, ...] = (), recursive: bool = False, skip_existing: bool = False) -> DataFrame:
-    """Writes (path, content) in ``fmt`` to the table ``out`` and returns (status, n). Paths already in ``out`` can be skipped."""
+def convert(spark: SparkSession, source: str, out: str, fmt: str = "png", operations: tuple[str, ...] = (), recursive: bool = False, skip_existing: bool = False, gray: bool = False, **options) -> DataFrame:
+    """Writes (path, content) in ``fmt`` to the table ``out`` and returns (status, n). Paths already in ``out`` can be skipped; ``gray`` and ``options`` are those of ``images.encoded``."""
     files = images.scan(spark, source, recursive)
     if skip_existing:
         files = files.join(spark.read.parquet(out).select("path"), "path", "left_anti")
     rasters = applied(images.decoded(files), list(operations))
-    images.encoded(rasters, fmt).write.mode("append").parquet(out)
+    images.encoded(rasters, fmt, gray, **options).write.mode("append").parquet(out)
     return rasters.groupBy("status").agg(F.count("*").alias("n"))

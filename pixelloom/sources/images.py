@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.codecs import bmp, gif, jpeg, png
+from pixelloom.operators import raster
 
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp", "gif")
 #: First bytes by format, in the order in which formats are tried.
 MAGIC = {"jpeg": "FFD8", "png": "89504E470D0A1A0A", "bmp": "424D", "webp": "52494646", "gif": "474946"}
 DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {"png": lambda d: png.decode(d, alpha=True), "bmp": bmp.decode, "gif": lambda d: gif.decode(d, 1)[0][0], "jpeg": lambda d: jpeg.decode(d, upright=True)}
-ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {"png": png.encode, "bmp": bmp.encode, "gif": lambda image: gif.encode([image]), "jpeg": jpeg.encode}
+ENCODERS: dict[str, Callable[..., bytes]] = {"png": png.encode, "bmp": bmp.encode, "gif": lambda image, **options: gif.encode([image], **options), "jpeg": jpeg.encode}
 RASTER = "path string, fmt string, width int, height int, channels int, buf binary, status string, error string"
 
 
@@ -65,8 +66,38 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.select("path", "content", "fmt").mapInArrow(run, RASTER)
 
 
-def encoded(rasters: DataFrame, fmt: str) -> DataFrame:
-    """(path, content): rasters as files of a format; formats without alpha drop it."""
+def frames(files: DataFrame) -> DataFrame:
+    """One row per frame of (path, content, fmt), disposals applied: a raster and its frame, duration_ms and name.
+
+    Files that aren't animated have one frame. The name is that of the file with the frame's number, of three digits at
+    least. A file that can't be read has one row with an error.
+    """
+    decoders = dict(DECODERS)
+    kinds = [("path", pa.string()), ("fmt", pa.string()), ("frame", pa.int32()), ("duration_ms", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("buf", pa.binary()), ("status", pa.string()), ("error", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content, fmt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    if fmt not in decoders:
+                        raise ValueError("unknown format" if fmt is None else f"no codec for {fmt}")
+                    found = gif.decode(content) if fmt == "gif" else [(decoders[fmt](content), 0)]
+                    rows = [(path, fmt, k, ms, image.shape[1], image.shape[0], image.shape[2], image.astype(np.uint8).tobytes(), "ok", None) for k, (image, ms) in enumerate(found)]
+                except Exception as e:
+                    rows = [(path, fmt, *[None] * 6, "failed", f"{type(e).__name__}: {e}")]
+                yield pa.RecordBatch.from_pylist([dict(zip((n for n, _ in kinds), row, strict=True)) for row in rows], schema=pa.schema(kinds))
+
+    made = files.select("path", "content", "fmt").mapInArrow(run, "path string, fmt string, frame int, duration_ms int, width int, height int, channels int, buf binary, status string, error string")
+    digits = F.when(F.col("frame") < 1000, F.lpad(F.col("frame").cast("string"), 3, "0")).otherwise(F.col("frame").cast("string"))
+    return made.withColumn("name", F.concat(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1), F.lit("_"), digits))
+
+
+def encoded(rasters: DataFrame, fmt: str, gray: bool = False, **options) -> DataFrame:
+    """(path, content): rasters as files of a format; formats without alpha drop it.
+
+    With ``gray`` the gray level is stored, in one channel where the format has that. ``options`` go to the encoder, as
+    ``quality`` and ``subsample`` of JPEG.
+    """
     encoder = ENCODERS[fmt]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +105,12 @@ def encoded(rasters: DataFrame, fmt: str) -> DataFrame:
             out = []
             for w, h, n, buf in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 image = np.frombuffer(buf, np.uint8).reshape(h, w, n)
-                out.append(encoder(image[:, :, :3] if fmt == "bmp" else image))
+                if gray:
+                    image = raster.grayscale(image)
+                    image = image[:, :, 0] if fmt in ("bmp", "png", "jpeg") else image
+                elif fmt == "bmp":
+                    image = image[:, :, :3]
+                out.append(encoder(image, **options))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
 
     return rasters.where("status = 'ok'").select("path", "width", "height", "channels", "buf").mapInArrow(run, "path string, content binary")

@@ -63,3 +63,21 @@ def test_convert(spark, tmp_path):
     assert {r.status: r.n for r in convert(spark, str(tmp_path / "in"), out, "bmp", ("resizefit:4x4", "grayscale")).collect()} == {"ok": 1, "failed": 1}
     assert bmp.decode(bytes(spark.read.parquet(out).first().content)).shape == (2, 4, 3)
     assert {r.status: r.n for r in convert(spark, str(tmp_path / "in"), out, "bmp", skip_existing=True).collect()} == {"failed": 1}
+
+
+def test_frames_and_gray(spark, tmp_path):
+    from pixelloom.codecs import gif, jpeg
+    from pixelloom.plans.convert import convert
+
+    (tmp_path / "in").mkdir()
+    image = np.arange(96, dtype=np.uint8).reshape(4, 8, 3)
+    (tmp_path / "in/a.b.gif").write_bytes(gif.encode([image, image[::-1]], [20, 40]))
+    (tmp_path / "in/c.png").write_bytes(png.encode(image))
+    (tmp_path / "in/d.webp").write_bytes(b"junk")
+    rows = sorted(images.frames(images.scan(spark, str(tmp_path / "in"))).collect(), key=lambda r: (r.path, r.frame))
+    assert [(r.name, r.duration_ms, r.status) for r in rows] == [("a.b_000", 20, "ok"), ("a.b_001", 40, "ok"), ("c_000", 0, "ok"), (None, None, "failed")]
+    assert (np.frombuffer(bytes(rows[1].buf), np.uint8).reshape(4, 8, -1)[:, :, :3] == image[::-1]).all()
+    out = str(tmp_path / "out")
+    assert {r.status: r.n for r in convert(spark, str(tmp_path / "in"), out, "jpeg", gray=True, quality=100).collect()} == {"ok": 2, "failed": 1}
+    stored = [jpeg.parse(bytes(r.content)) for r in spark.read.parquet(out).collect()]
+    assert [(len(h.components), h.width, h.height) for h in stored] == [(1, 8, 4)] * 2
