@@ -128,3 +128,22 @@ def test_we_read_the_jvms(spark, tmp_path, progressive):
     read = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(path)))
     pixels = np.array([[read.getRGB(x, y) & 0xFFFFFF for x in range(53)] for y in range(40)])
     near(np.stack([pixels >> 16, pixels >> 8 & 255, pixels & 255], axis=2), jpeg.decode(data), 60, 2)
+
+
+@pytest.mark.parametrize("adobe", [None, 0, 2])
+@pytest.mark.parametrize("chroma", [128, 0])
+def test_four_inks(adobe, chroma):
+    """Flat blocks of one DC value: the second component 128 or 0, the others 128."""
+    data = b"\xff\xd8" + (jpeg.segment(0xEE, b"Adobe\0\x64\0\0\0\0" + bytes([adobe])) if adobe is not None else b"")
+    data += jpeg.segment(0xDB, b"\0" + bytes([1]) * 64) + jpeg.segment(0xC0, struct.pack(">BHHB", 8, 8, 8, 4) + b"".join(bytes([i, 0x11, 0]) for i in range(1, 5)))
+    data += jpeg.segment(0xC4, b"\0" + bytes([1, 1]) + bytes(14) + b"\0\x0b") + jpeg.segment(0xC4, b"\x10" + bytes([1]) + bytes(15) + b"\0")
+    second = "10" + format(-1024 + 2047, "011b") if chroma == 0 else "0"
+    bits = "00" + second + "0" + "00" + "00"
+    bits += "1" * (-len(bits) % 8)
+    body = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    data += jpeg.segment(0xDA, bytes([4]) + b"".join(bytes([i, 0]) for i in range(1, 5)) + b"\0\x3f\0") + body + b"\xff\xd9"
+    got = jpeg.decode(data)
+    inks = [128, chroma, 128]
+    if adobe == 2:
+        inks = [int(v) for v in jpeg.colours(*(np.array(x) for x in inks))]
+    assert (got == np.array([(x * 128 + 127) // 255 for x in inks])).all()
