@@ -6,24 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import minhash, packing, quality, secrets, suffixes
-from pixelloom.llm.common import written
+from pixelloom.llm.common import rows_of, written
 from pixelloom.llm.vocabulary import default_vocabulary
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return kept_rows(docs, quality.judge(docs))
+#: The column that names a row within a stage.
+ROW = "__row"
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return kept_rows(docs, minhash.near_duplicates(docs))
+def named(docs: DataFrame) -> DataFrame:
+    """``docs`` with a hash of all columns, nulls told apart: only rows that are equal throughout share it."""
+    return docs.withColumn(ROW, F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality rules keep. A verdict depends on text, language and source, so equal rows share theirs."""
+    rows = named(docs)
+    gone = quality.judge(rows.withColumn("doc_id", F.col(ROW)).drop(ROW)).where("not kept").select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
-def kept_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ids are kept; of ids that rows share, all or none. Rows without an id stay."""
-    gone = verdicts.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates, that of the least doc_id; rows without words are alone and stay."""
+    rows = named(docs)
+    found = minhash.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).where("n_shingles > 0")
+    members = written(found.groupBy(F.col("doc_id").alias(ROW), "component_id").agg(F.count("*").alias("copies")), "members")
+    ids = rows.select(ROW, "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW]
+    heads = written(members.join(ids, ROW).groupBy("component_id").agg(first.alias(ROW)).select(ROW), "heads")
+    again = written(members.where("copies > 1").join(heads, ROW, "left_semi").select(ROW), "again")
+    gone = members.select(ROW).join(heads, ROW, "left_anti").union(again)
+    once = written(rows_of(rows, again, ROW), "copies").dropDuplicates([ROW])
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,3 +203,22 @@ def test_pipeline_stages(spark, docs):
         assert rows.columns == names
         rows = spark.createDataFrame(rows.collect(), rows.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() >= rows.count() > 0
+
+
+def test_pipeline_stages_decide_row_by_row(spark):
+    import corpus_pipeline
+
+    clean = {k: " ".join(f"{k}{i * i % 97}word{i}" for i in range(60)) for k in "abcd"}
+    junk = "same words again here " * 20
+    rows = [(1, clean["a"], "en", "s", 1)] * 3  # one row, three times
+    rows += [(2, clean["b"], "en", "s", 1), (2, clean["b"], "de", "s", 1), (None, clean["b"], "en", "s", 1)]  # one text, shared and null ids
+    rows += [(3, clean["c"], "en", "s", 1), (3, junk, "en", "s", 1), (None, junk, "en", "s", 1), (None, clean["d"], "en", None, 1), (None, clean["d"], None, "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    judged = corpus_pipeline.quality_rules(spark, docs, "")
+    assert Counter(map(tuple, judged.collect())) == Counter(r for r in rows if r[1] != junk)
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(judged.collect(), docs.schema), "")
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((i, clean[k]) for i, k in zip((1, 2, 3, 0), "abcd"))
+    whole = corpus_pipeline.suffix_dedup(spark, spark.createDataFrame(got.collect(), docs.schema), "")
+    assert {r.text for r in whole.collect()} == set(clean.values())
+    blank = spark.createDataFrame([(1, "", "en", "s", 0), (1, "", "en", "s", 0), (1, None, "en", "s", 0)], docs.schema)
+    assert corpus_pipeline.near_dedup(spark, blank, "").count() == 3
