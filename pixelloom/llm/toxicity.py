@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm.common import columns, rows_of, written
 
-#: At most so many candidates for the lexicon, and so many labelled rows of each class are expected in the sample to choose and calibrate on.
-CANDIDATES, SAMPLE = 20_000, 10_000
-#: A toxic text is covered by so many entries, if it has them; an entry must cover so large a share of the sample's toxic texts.
+#: So many labelled rows of each class are expected in the sample to choose and calibrate on.
+SAMPLE = 10_000
+#: A toxic text is covered by so many entries, if it has them; an entry must stand in so large a share of the toxic texts, and cover as large a one of the sample's.
 COVER, LEAST_SHARE = 3, 0.002
 LEAST_ODDS, LEAST_TEXTS = 3.0, 3
 PREFIXES = range(3, 8)
@@ -98,18 +98,31 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def counted(texts: DataFrame, wanted: dict[str, int] | None = None) -> DataFrame:
+def counted(texts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(entry, n): in how many texts each entry stands; only those in ``wanted``, if given."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
-                each = entries(folded_words(text))
-                found.update(each if wanted is None else each & wanted.keys())
+                found.update(entries(folded_words(text)))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["entry", "n"])
 
-    return texts.select("text").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    found = texts.select("text").mapInArrow(count, "entry string, n long")
+    if wanted is not None:
+        found = rows_of(found, wanted.select("entry"), "entry")
+    return found.groupBy("entry").agg(F.sum("n").alias("n"))
+
+
+def telling(rows: DataFrame, n: dict[int, int]) -> dict[str, float]:
+    """The odds of every entry that stands in enough toxic texts and in far more of them than of the clean ones.
+
+    Counts of both classes meet in Spark. What comes to the driver is bounded by the share: a text has only so many entries.
+    """
+    toxic = written(counted(rows.where("toxic = 1")).where(F.col("n") >= max(LEAST_TEXTS, LEAST_SHARE * n[1])), "entries")
+    clean = counted(rows.where("toxic = 0"), toxic).withColumnRenamed("n", "clean")
+    odds = F.log((F.col("n") + 0.5) / (n[1] + 1)) - F.log((F.coalesce("clean", F.lit(0)) + 0.5) / (n[0] + 1))
+    return {r.entry: r.odds for r in toxic.join(clean, "entry", "left").select("entry", odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS).collect()}
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -187,16 +200,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
     return tuple(float(b) for b in beta)
 
 
-def learn(docs: DataFrame, labels: DataFrame, candidates: int = CANDIDATES, sample: int = SAMPLE) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """A lexicon from the labelled rows. Counts cover all of them; only the choice of entries and the curve use a bounded sample."""
     rows = written(labelled(docs, labels), "labelled")
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Lexicon()
-    toxic = {r.entry: r.n for r in counted(rows.where("toxic = 1")).where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "entry").limit(candidates).collect()}
-    clean = {r.entry: r.n for r in counted(rows.where("toxic = 0"), toxic).collect()}
-    odds = {e: math.log((t + 0.5) / (n[1] + 1)) - math.log((clean.get(e, 0) + 0.5) / (n[0] + 1)) for e, t in toxic.items()}
-    odds = {e: o for e, o in odds.items() if o >= LEAST_ODDS}
+    odds = telling(rows, n)
     # Row hashes are spread evenly, so a share of their range is a sample of the expected size, found without a sort.
     some = [rows.where((F.col("toxic") == mark) & (F.col("row") <= min((1 << 63) - 1, int(min(1.0, sample / n[mark]) * (1 << 64)) - (1 << 63)))) for mark in (0, 1)]
     lexicon = Lexicon({e: odds[e] for e in chosen(candidates_in(some[1], odds), odds)})

@@ -173,6 +173,17 @@ def test_toxicity_held_out(spark, docs, empty):
     assert toxicity.score(empty, toxicity.learn(empty, labels)).count() == 0
 
 
+def test_toxicity_keeps_rare_entries_among_many(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, x)) for x in rng.integers(97, 123, (5000, 9))]
+    ids = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 5]
+    # Every word stands in twelve texts of each class and gives five entries or so; the toxic one in ten texts of one class.
+    texts = [" ".join(words[(k * 150 + j) % 5000] for j in range(150)) + f" {k}" for k in range(400)]
+    rows = [(ids[k], t + (" zqvileness" if k % 40 == 7 else ""), 1) for k, t in enumerate(texts)] + [(ids[400 + k], "so " + t, 0) for k, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert any("zqvileness".startswith(e.strip()) for e in toxicity.learn(table.drop("toxic"), table.drop("text")).weights)
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<html lang=en><title>T</title><script>x='</p>'</script><p>A &amp; b<p title='>'>c"), (2, None, None), (2, None, None)], "page_id long, url string, html string")
     sources = warc.responses(pages)
