@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership. DataFrame functions only.
 
-Three kinds of patterns give the base spans. Further long, mixed tokens are candidates: over the whole corpus, each
-candidate's hash is counted by distinct owner and repository. One that few owners have looks live and becomes a span of
-kind ``owned``; one that many have is a copied example and doesn't.
+Three kinds of patterns give the base spans. Further long, mixed tokens are candidates. Over the whole corpus, the hash of
+each base span's value and of each candidate, wherever it stands, is counted by distinct owner and repository. One that few
+owners have looks live; one that many have is a copied example. Base spans stay either way and carry the verdict; a live
+candidate outside of them becomes a span of kind ``owned``, a copied one doesn't.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.common import written
+
 #: The patterns of the base kinds.
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"()AKIA[A-Z0-9]{14,}"
@@ -17,7 +20,7 @@ HEX = r"()[0-9a-f]{16,}"
 OWNED = r"()(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: A candidate of more owners than this is a copied example.
+#: A value of more owners than this is a copied example.
 MOST_OWNERS = 2
 
 _span = "struct<start:int,end:int,value:int,text:string>"
@@ -42,7 +45,10 @@ def find_all(text: Column, pattern: str, keep_text: bool = False) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with base (kind number, start, end) and candidates of every whole text; a null text has none."""
+    """``docs`` with marks (hash, start, kind, end) of every whole text; a null text has none.
+
+    Kinds are places in KINDS; those of candidates that touch a base span, which count for owners only, are one higher.
+    """
     none = F.array().cast(f"array<{_span}>")
     low = F.lower("text")
     named = low.contains(WORDS[0])
@@ -50,24 +56,27 @@ def spans(docs: DataFrame) -> DataFrame:
         named = named | low.contains(word)
     found = docs.select(
         "*",
-        F.explode(F.array(F.when(named, find_all(F.col("text"), ASSIGN)).otherwise(none))).alias("a"),
+        F.explode(F.array(F.when(named, find_all(F.col("text"), ASSIGN, True)).otherwise(none))).alias("a"),
     )
-    found = found.select("*", F.explode(F.array(F.when(F.col("text").contains("AKIA"), find_all(F.col("text"), ACCESS)).otherwise(none))).alias("k"))
-    found = found.select("*", F.explode(F.array(F.when(F.col("text").rlike("[0-9a-f]{16}"), find_all(F.col("text"), HEX)).otherwise(none))).alias("x"))
+    found = found.select("*", F.explode(F.array(F.when(F.col("text").contains("AKIA"), find_all(F.col("text"), ACCESS, True)).otherwise(none))).alias("k"))
+    found = found.select("*", F.explode(F.array(F.when(F.col("text").rlike("[0-9a-f]{16}"), find_all(F.col("text"), HEX, True)).otherwise(none))).alias("x"))
     found = found.select("*", F.explode(F.array(F.when(F.col("text").rlike("[A-Za-z0-9+/_-]{20}"), find_all(F.col("text"), OWNED, True)).otherwise(none))).alias("o"))
-    kind = lambda name, i, ok=lambda s: F.lit(True): F.transform(F.filter(name, ok), lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
-    base = F.sort_array(F.concat(kind("a", 0, lambda s: s["value"] >= 12), kind("k", 1), kind("x", 2)))
+    # A full stop after an assigned value belongs to the sentence.
+    said = lambda s: F.when(s["value"] > 0, F.rtrim(F.right(s["text"], s["value"]), F.lit("."))).otherwise(s["text"])
+    made = lambda s, kind: F.struct(F.xxhash64(said(s)).alias("hash"), s["start"].alias("start"), kind.cast("int").alias("kind"), s["end"].alias("end"))
+    kind = lambda name, i, ok=lambda s: F.lit(True): F.transform(F.filter(name, ok), lambda s: made(s, F.lit(i)))
+    base = F.concat(kind("a", 0, lambda s: s["value"] >= 12), kind("k", 1), kind("x", 2))
     live = lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Z]") & s["text"].rlike("[a-z]") & (F.size(F.array_distinct(F.split(s["text"], ""))) >= 10)
     found = found.select(*docs.columns, F.explode(F.array(base)).alias("base"), F.filter("o", live).alias("o"))
-    apart = F.filter("o", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.select(*docs.columns, "base", F.transform(apart, lambda s: F.struct(F.xxhash64(s["text"]).alias("hash"), s["start"].alias("start"), s["end"].alias("end"))).alias("candidates"))
+    touches = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return found.select(*docs.columns, F.concat("base", F.transform("o", lambda s: made(s, F.when(touches(s), 4).otherwise(3)))).alias("marks"))
 
 
 def owned(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """(hash) of the candidates that at most ``most_owners`` owners have: owners are sources, repositories a source's languages."""
-    each = found.select(F.explode("candidates.hash").alias("hash"), "source", "lang").distinct()
+    """(hash, live) of every value: live if at most ``most_owners`` owners have it. Owners are sources, repositories a source's languages."""
+    each = found.select(F.explode("marks.hash").alias("hash"), "source", "lang").distinct()
     counted = each.groupBy("hash").agg(F.countDistinct(F.coalesce("source", F.lit(""))).alias("owners"), F.count("*").alias("repositories"))
-    return counted.where((F.col("owners") <= most_owners) & (F.col("repositories") <= 2 * most_owners)).select("hash")
+    return counted.select("hash", ((F.col("owners") <= most_owners) & (F.col("repositories") <= 2 * most_owners)).alias("live"))
 
 
 def joined(spans: Column) -> Column:
@@ -75,23 +84,24 @@ def joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, *keep: str) -> DataFrame:
-    """Per row of ``docs``: the columns ``keep``, base and all, arrays of (start, kind, end) by start, then kind.
+    """Per row of ``docs``: the columns ``keep``, base and all, arrays of (start, kind, end, live) by start, then kind.
 
     Places count code points, ends are exclusive. Null and empty texts have no spans. Repeated rows and null columns stay;
     a null source is an owner like others. An empty table gives an empty result.
     """
-    needed = dict.fromkeys(["doc_id", "text", "lang", "source", *keep])
-    found = spans(docs.select(*needed))
-    row = F.xxhash64("doc_id", "text")
-    few = found.where(F.size("candidates") > 0).select(row.alias("row"), F.explode("candidates").alias("c")).select("row", "c.*").distinct()
-    live = few.join(owned(found.where(F.size("candidates") > 0)), "hash").groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("more"))
-    out = found.select(*dict.fromkeys(keep), row.alias("row"), "base").join(live, "row", "left")
-    return out.select(*keep, "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("all"))
+    row = F.xxhash64("doc_id", "text").alias("row")
+    found = written(spans(docs.select("doc_id", "text", "lang", "source")).where(F.size("marks") > 0).select(row, "lang", "source", "marks"), "marks")
+    each = found.select("row", F.explode("marks").alias("m")).select("row", "m.*").where("kind < 4").distinct()
+    told = each.join(owned(found), "hash").where("kind < 3 or live").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("all"))
+    out = docs.select(*keep, row).join(told, "row", "left").select(*keep, F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")).alias("all"))
+    return out.select(*keep, F.filter("all", lambda s: s["kind"] < 3).alias("base"), "all")
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """Counts, digest and places of the spans of each row; live and copied are the base spans by their verdict."""
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
-    return scan(docs, "doc_id").select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
+    told = (joined(F.filter("base", lambda s: s["live"])).alias("live"), joined(F.filter("base", lambda s: ~s["live"])).alias("copied"))
+    return scan(docs, "doc_id").select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), *told)
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
