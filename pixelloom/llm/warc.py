@@ -29,7 +29,7 @@ LINES = frozenset("address article aside blockquote br dd div dl dt fieldset fig
 _name = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _blank = re.compile(r"[ \t\r\f\v\xa0]+")
 _link = re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"' >]+)", re.I)
-_language = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_language = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -41,11 +41,11 @@ def record_id(kind: str, *of: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, '|'.join(map(str, (kind, *of))))}>"
 
 
-def plain_text(page: str) -> tuple[str, str]:
-    """Title and text of a page: one pass from tag to tag, so that unclosed elements don't cost more than their length."""
+def plain_text(page: str) -> tuple[str, str, str]:
+    """Title, text and language (of the first html tag that has one) of a page: one pass from tag to tag, so that unclosed elements don't cost more than their length."""
     low = page.lower() if len(page.lower()) == len(page) else "".join(c.lower() if c.isascii() else c for c in page)
     parts: list[str] = []
-    title, at, n = "", 0, len(page)
+    title, language, at, n = "", "", 0, len(page)
     while at < n:
         tag = page.find("<", at)
         if tag < 0:
@@ -66,6 +66,8 @@ def plain_text(page: str) -> tuple[str, str]:
         if not found:
             continue
         name = found[1].lower()
+        if name == "html" and not language and (said := _language.search(page[tag:end])):
+            language = said[1].lower()
         if name in LINES:
             parts.append("\n")
         if name == "title" and page[tag + 1] != "/":
@@ -76,7 +78,7 @@ def plain_text(page: str) -> tuple[str, str]:
             close = low.find("</" + name, at)
             at = n if close < 0 else close
     lines = (_blank.sub(" ", line).strip() for line in html.unescape("".join(parts)).split("\n"))
-    return _blank.sub(" ", html.unescape(title)).strip(), "\n".join(line for line in lines if line)
+    return _blank.sub(" ", html.unescape(title)).strip(), "\n".join(line for line in lines if line), language
 
 
 def tag_end(page: str, tag: int) -> int:
@@ -137,10 +139,9 @@ def derived(records: DataFrame) -> DataFrame:
             for page_id, source, uri, date, source_digest, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 status, sent, payload = http_parts(block)
                 page = payload.decode("utf-8", "replace")
-                title, text = plain_text(page)
-                language = _language.search(page[:4096])
+                title, text, language = plain_text(page)
                 headers = {"status": status} | {k.lower(): v for k, v in sent.items()} | {"warc-payload-digest": source_digest}
-                fields = {"title": title, "language": language[1].lower() if language else "", "outlinks": str(len(_link.findall(page))), "textLength": str(len(text))} | {f"source-{k}": v for k, v in headers.items()}
+                fields = {"title": title, "language": language, "outlinks": str(len(_link.findall(page))), "textLength": str(len(text))} | {f"source-{k}": v for k, v in headers.items()}
                 about = "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode()
                 rows.append(made(page_id, "metadata", uri, source, "application/warc-fields", about, about, headers, date))
                 body = text.encode()

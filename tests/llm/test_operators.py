@@ -206,6 +206,12 @@ def test_warc_round_trip(spark):
     assert gzip.decompress(members).count(b"WARC/1.1") == 6
 
 
+def test_warc_language_stands_anywhere():
+    late = "<!-- <html lang=fr> " + "x" * 5000 + " -->\n<!DOCTYPE html><HTML class='a>b' LANG='De-at'><title>T</title>a"
+    assert warc.plain_text(late) == ("T", "a", "de-at")
+    assert warc.plain_text("<html><p>a")[2] == ""
+
+
 def test_licences(spark, docs, empty):
     lines = [(0, "prose here\nReleased under the MIT License.", "MIT"), (1, "Licensed under the Apache License, Version 2.0.", "Apache"), (2, "Licensed under CC BY-NC 4.0.", "CC-BY-NC"), (3, "This work is licensed under the GNU General Public License, version 2.", "GPL"), (4, "the driver lost his license on the way to the free library", ""), (5, None, "")]
     got = {r.doc_id: r.families for r in licences.scan(spark.createDataFrame([x[:2] for x in lines], "doc_id long, text string")).collect()}
