@@ -28,6 +28,7 @@ LINES = frozenset("address article aside blockquote br dd div dl dt fieldset fig
 
 _name = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _blank = re.compile(r"[ \t\r\f\v\xa0]+")
+_controls = re.compile(r"[\x00-\x20\x7f]")
 _link = re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"' >]+)", re.I)
 _language = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 
@@ -78,7 +79,7 @@ def plain_text(page: str) -> tuple[str, str, str]:
             close = low.find("</" + name, at)
             at = n if close < 0 else close
     lines = (_blank.sub(" ", line).strip() for line in html.unescape("".join(parts)).split("\n"))
-    return _blank.sub(" ", html.unescape(title)).strip(), "\n".join(line for line in lines if line), language
+    return " ".join(html.unescape(title).split()), "\n".join(line for line in lines if line), language
 
 
 def tag_end(page: str, tag: int) -> int:
@@ -97,6 +98,21 @@ def tag_end(page: str, tag: int) -> int:
         at = close + 1
 
 
+def line_of(value: str) -> str:
+    """A value as one header line: each run of white space and control characters is one space, so that none begins a field."""
+    return " ".join(_controls.sub(" ", value).split())
+
+
+def uri_of(url: str | None) -> str:
+    """A URI as WARC wants it: no white space and no control characters, which are escaped."""
+    return _controls.sub(lambda c: f"%{ord(c[0]):02X}", (url or "").strip())
+
+
+def outlinks(page: str) -> list[str]:
+    """The targets of links in order, as they are written."""
+    return [line_of(html.unescape(x)) for x in _link.findall(page)]
+
+
 def made(page_id, kind: str, uri: str, refers_to, content_type: str, block: bytes, payload: bytes, headers: dict, date: str) -> tuple:
     return (page_id, kind, record_id(kind, page_id, uri, refers_to, digest(block)), refers_to, uri, date, content_type, digest(block), digest(payload), len(block), list(headers.items()), block)
 
@@ -106,7 +122,12 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """A response record per row of pages (page_id, url, html): HTTP headers and the page. Null columns count as empty."""
+    """A response record per row of pages (page_id, url, html): HTTP headers and the page.
+
+    Null columns count as empty; white space and control characters within a url are escaped. Repeated rows give repeated
+    records, further columns are ignored, an empty table gives no records. Pages hold no status, headers or date: those are
+    200, type and length, and ``date``. Responses that have them come from ``read``.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,14 +135,14 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
             for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (page or "").encode()
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-                rows.append(made(page_id, "response", url or "", None, "application/http; msgtype=response", head + payload, payload, {}, date))
+                rows.append(made(page_id, "response", uri_of(url), None, "application/http; msgtype=response", head + payload, payload, {}, date))
             yield batch_of(rows)
 
     return columns(pages, "page_id", "url", "html").mapInArrow(build, RECORD)
 
 
-def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    head, _, payload = block.partition(b"\r\n\r\n")
+def http_parts(block: bytes | None) -> tuple[str, dict[str, str], bytes]:
+    head, _, payload = (block or b"").partition(b"\r\n\r\n")
     status, *lines = head.decode("latin-1").split("\r\n")
     return status, {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
 
@@ -129,7 +150,7 @@ def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
 def derived(records: DataFrame) -> DataFrame:
     """For each response its metadata and its conversion record, each with the response's identifier, headers and digest.
 
-    Other records are passed over. Repeated responses give repeated records with equal identifiers. An empty page gives an
+    Other records are passed over, a null block counts as empty. The metadata names title, language and every link. Repeated responses give repeated records with equal identifiers. An empty page gives an
     empty text. An empty table gives no records.
     """
 
@@ -141,8 +162,8 @@ def derived(records: DataFrame) -> DataFrame:
                 page = payload.decode("utf-8", "replace")
                 title, text, language = plain_text(page)
                 headers = {"status": status} | {k.lower(): v for k, v in sent.items()} | {"warc-payload-digest": source_digest}
-                fields = {"title": title, "language": language, "outlinks": str(len(_link.findall(page))), "textLength": str(len(text))} | {f"source-{k}": v for k, v in headers.items()}
-                about = "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode()
+                fields = [("title", title), ("language", language), *(("outlink", x) for x in outlinks(page)), ("textLength", str(len(text))), *((f"source-{k}", v) for k, v in headers.items())]
+                about = "".join(f"{k}: {line_of(v)}\r\n" for k, v in fields).encode()
                 rows.append(made(page_id, "metadata", uri, source, "application/warc-fields", about, about, headers, date))
                 body = text.encode()
                 rows.append(made(page_id, "conversion", uri, source, "text/plain; charset=utf-8", body, body, headers, date))
@@ -154,8 +175,8 @@ def derived(records: DataFrame) -> DataFrame:
 def serialized(fields: dict) -> bytes:
     """One record as WARC 1.1, a gzip member of its own."""
     names = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "warc_date"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
-    said = "".join(f"{name}: {fields[key]}\r\n" for name, key in names if fields[key] is not None)
-    said += "".join(f"X-Source-{k}: {v}\r\n" for k, v in fields["source_headers"])
+    said = "".join(f"{name}: {line_of(str(fields[key]))}\r\n" for name, key in names if fields[key] is not None)
+    said += "".join(f"X-Source-{line_of(k)}: {line_of(v or '')}\r\n" for k, v in fields["source_headers"])
     return gzip.compress(b"WARC/1.1\r\n" + said.encode() + b"\r\n" + fields["block"] + b"\r\n\r\n", mtime=0)
 
 
