@@ -21,8 +21,8 @@ from pixelloom.llm.vocabulary import byte_bpe, encode_to_array
 
 CAPACITY = 2048
 END_ID = 0
-#: Ranks are counted in so many parts a length, as one length may have a third of all pieces.
-SALTS = 64
+#: Ranks are counted in parts of a length, so many that each holds about so many pieces even if one length has all of them.
+PART_ROWS = 50_000
 
 
 def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -87,7 +87,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     Null and empty texts are one end id. Repeated rows and repeated or null doc_ids are packed as rows of their own. An
     empty table gives no rows. Further columns are ignored.
     """
-    cut = written(pieces(docs, vocabulary, capacity), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    cut = written(pieces(docs, vocabulary, capacity), "pieces")
+    salts = 1 + cut.count() // PART_ROWS
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     parts = written(cut.groupBy("length", "salt").count(), "lengths")
     plan = plan_slots({r.length: r.n for r in parts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
     before = parts.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
