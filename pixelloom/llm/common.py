@@ -18,12 +18,12 @@ _own_folder: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests in local mode) a temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset (tests in local mode) a temporary one, on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="pixelloom-"))
     return "file://" + _own_folder[0]
@@ -59,6 +59,17 @@ def columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*names)
 
 
+def aside(docs: DataFrame) -> list:
+    """All columns under names of their place, which clash with none that an operator makes."""
+    return [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)]
+
+
+def with_text(made: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, put aside in ``made``, with the new text ``said`` and its length as n_chars, whatever its type."""
+    new = {"text": F.col("said"), "n_chars": F.length("said").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return made.select(*((new[c] if c in new else F.col(f"__{i}")).alias(c) for i, c in enumerate(docs.columns)))
+
+
 #: Bits of the map that keeps most rows out of a shuffle: 2 MB, as at most 2^18 rows of 64 bits, at any size of corpus.
 MAP_BITS = 1 << 24
 
@@ -76,6 +87,25 @@ def rows_of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return some.select(*rows.columns).join(ids.hint("merge"), key)
 
 
+#: A key is hot from LEAST_HOT rows on, and from this part of all rows on; so there are at most so many hot keys.
+LEAST_HOT, MOST_HOT = 1000, 100_000
+
+
+def matched(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``table``, which is written, has one row a key, and says in ``n`` how many rows have that key.
+
+    Rows of a hot key meet its entry in many tasks: the entry is repeated once a slice, as many slices as hold LEAST_HOT
+    rows or more each. What is broadcast are the hot keys, at most MOST_HOT of them for any size of corpus.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    share = max(LEAST_HOT, total // MOST_HOT)
+    hot = F.broadcast(table.where(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("int").alias("__slices")))
+    dealt = rows.join(hot, keys, "left").select(*rows.columns, F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__slices")), F.lit(0)).cast("int").alias("__slice"))
+    each = table.join(hot, keys, "left").select(*table.columns, F.explode(F.sequence(F.lit(0), F.coalesce("__slices", F.lit(1)) - 1)).alias("__slice"))
+    more = [c for c in table.columns if c not in keys]
+    return dealt.join(each.hint("merge"), [*keys, "__slice"]).select(*rows.columns, *more)
+
+
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(id, component): the smallest id reachable, for every id in the two columns of ``edges``.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import columns, connected_components, rows_of, written
+from pixelloom.llm.common import columns, connected_components, matched, rows_of, written
 
 WORDS = 5
 #: 128 bins in 32 bands of 4: a pair at similarity 0.75 meets in no band once in 190,000 times.
@@ -184,14 +184,15 @@ def across_blocks(rest: DataFrame, docs: DataFrame, percent: int = PERCENT) -> D
     """(a, b): of members of a large open bucket that belong to different components, the nearest pair of each two components.
 
     A bucket is dealt into blocks, and each two blocks meet in a task, which counts the shared shingles of all their members
-    at once. Only pairs that come up to the similarity leave it, one for each two components: no task holds a bucket, and no
-    row is made for a pair of its members.
+    at once, by the same 64-bit hashes as the check of single pairs: a pair that comes up to the similarity here is a link.
+    One for each two components leaves the task: no task holds a bucket, and no row is made for a pair of its members. A
+    component that fills blocks of its own has them to itself, and those don't meet each other.
     """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                made = [np.unique(s.astype(np.uint32)).tobytes() for s in shingle_sets(batch.column(1))]
+                made = [s.tobytes() for s in shingle_sets(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "s"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def across_blocks(rest: DataFrame, docs: DataFrame, percent: int = PERCENT) -> D
                 left, right = (batch.column(i)[row].as_py() for i in range(2))
                 right = left if right is None else right  # a block with itself
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                shared, sizes = shared_counts([np.frombuffer(x["s"], np.uint32) for x in left], [np.frombuffer(x["s"], np.uint32) for x in right])
+                shared, sizes = shared_counts([np.frombuffer(x["s"], np.uint64) for x in left], [np.frombuffer(x["s"], np.uint64) for x in right])
                 similar = 100 * shared / np.maximum(1, sizes - shared)
                 for i, j in zip(*np.nonzero(similar >= percent), strict=True):
                     p, q = left[i], right[j]
@@ -212,13 +213,18 @@ def across_blocks(rest: DataFrame, docs: DataFrame, percent: int = PERCENT) -> D
 
     ids = rest.select("id").distinct()
     sets = columns(docs, "doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("id", "text").mapInArrow(hashes, "id long, s binary")
-    cut = rest.withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    blocks = written(cut.join(sets, "id").groupBy("key", "sub").agg(F.collect_list(F.struct("id", "component", "s")).alias("members")), "blocks")
-    names = blocks.select("key", "sub")
-    met = names.alias("x").join(names.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sub") < F.col("y.sub"))).select("x.key", "x.sub", F.col("y.sub").alias("sub2"))
-    both = met.join(blocks, ["key", "sub"]).withColumnRenamed("members", "left")
+    sizes = written(rest.groupBy("key", "component").agg(F.count("*").alias("size")), "sizes")
+    own = F.when(F.col("size") >= BLOCK, F.col("component"))
+    deal = matched(rest, sizes, ["key", "component"], "size")
+    sub = F.concat_ws(" ", own.cast("string"), F.pmod(F.xxhash64("id"), F.ceil(F.coalesce(F.when(own.isNotNull(), F.col("size")), F.col("n")) / BLOCK)).cast("string"))
+    cut = deal.select("key", "id", "component", own.alias("own"), sub.alias("sub"))
+    blocks = written(cut.join(sets, "id").groupBy("key", "sub").agg(F.first("own").alias("own"), F.collect_list(F.struct("id", "component", "s")).alias("members")), "blocks")
+    names = blocks.select("key", "sub", "own")
+    different = (F.col("x.sub") < F.col("y.sub")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False))
+    met = names.alias("x").join(names.alias("y"), (F.col("x.key") == F.col("y.key")) & different).select("x.key", "x.sub", F.col("y.sub").alias("sub2"))
+    both = met.join(blocks.drop("own"), ["key", "sub"]).withColumnRenamed("members", "left")
     other = blocks.select("key", F.col("sub").alias("sub2"), F.col("members").alias("right"))
-    both = both.join(other, ["key", "sub2"]).select("left", "right").union(blocks.select("members", F.lit(None).cast(blocks.schema["members"].dataType)))
+    both = both.join(other, ["key", "sub2"]).select("left", "right").union(blocks.where("own is null").select("members", F.lit(None).cast(blocks.schema["members"].dataType)))
     return both.mapInArrow(meet, "a long, b long")
 
 
