@@ -4,6 +4,9 @@ Every 200-byte window has an anchor: the 32 bytes within it whose hash is least.
 places, so that all occurrences of a passage meet at its anchors. The suffixes (and prefixes) of one anchor's occurrences
 make up a suffix array of their own; a stack scan over its common-prefix intervals, each split by how far its members agree
 to the left, gives the maximal repeats with all their occurrences. Occurrences with equal surroundings are merged first.
+
+The suffix array of an anchor with very many surroundings is split by the bytes next to the anchor: two suffixes that share
+200 bytes with what precedes them meet in exactly one of the parts, by how many of the bytes stand to the right.
 """
 
 from __future__ import annotations
@@ -15,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from pixelloom.llm.common import columns, written
+from pixelloom.llm.common import aside, columns, dropped, matched, with_text, written
 from pixelloom.llm.minhash import _base, _inverse, _letters, mix, powers
 
 WINDOW, ANCHOR = 200, 32
 CHUNK = 1 << 21
-#: An anchor with more kinds of surroundings than this is counted window by window instead of in one task.
-MOST_IN_TASK = 20_000
+#: A suffix array of more entries than this is split: at first by so many lengths of the bytes to the right, then by each length.
+SPLIT, PARTS = 4096, 8
 
 
 def chunks(raw: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
@@ -119,13 +123,14 @@ def intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, first))
 
 
-def maximal_repeats(left: list[bytes], right: list[bytes], least: int = WINDOW) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def maximal_repeats(left: list[bytes], right: list[bytes], least: int = WINDOW, depths: tuple[int, int] | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Maximal repeats among occurrences of one anchor, of at least ``least`` bytes.
 
     ``left`` holds what precedes each occurrence, read backwards, ``right`` what begins with it, in sorted order. Each
     interval of the right sides is sorted by its left sides. Where neighbours agree far enough, they belong to one repeat;
     where they don't, the interval is left-diverse. Yields: bytes shared to the left by all members and to the right, the
-    members, and how far each agrees to the left with the member nearest to it.
+    members, and how far each agrees to the left with the member nearest to it. ``depths`` bounds the bytes shared to the
+    right, for a part of a suffix array.
     """
     rights, right_n = padded(right)
     lefts, left_n = padded(left)
@@ -133,6 +138,8 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int = WINDOW)
     rank = np.empty(len(left), np.int64)
     rank[order] = np.arange(len(left))
     for length, first, last in intervals(common(rights, right_n)):
+        if depths and not depths[0] <= length < depths[1]:
+            continue
         members = order[np.sort(rank[first : last + 1])] if last - first + 1 < len(left) else order
         agree = common(lefts[members], left_n[members])
         near = np.maximum(np.append(0, agree), np.append(agree, 0))
@@ -145,98 +152,147 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int = WINDOW)
 
 
 def surroundings(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(h, n, kinds, key, m, p1, before, after): the bytes around the anchor of one occurrence of each class."""
-    wanted = classes.groupBy("key").agg(F.collect_list(F.struct("h", "n", "kinds", "p1", "p2", "m")).alias("at"))
-    texts = docs.select(row_key(), "text").join(wanted, "key").select("key", "text", "at")
+    """(h, c, kinds, key, m, before, after): the bytes around the anchor of one occurrence of each class."""
+    wanted = classes.groupBy("key").agg(F.collect_list(F.struct("h", "c", "kinds", "p1", "p2", "m")).alias("at"))
+    texts = docs.select(row_key(), "text").join(wanted, "key").dropDuplicates(["key"]).select("key", "text", "at")
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(7)]
             for key, text, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = text.encode()
                 for x in at:
-                    m, p1 = x["m"], x["p1"]
-                    for column, value in zip(out, (x["h"], x["n"], x["kinds"], key, m, p1, raw[p1:m][::-1], raw[m : x["p2"] + WINDOW]), strict=True):
+                    m = x["m"]
+                    for column, value in zip(out, (x["h"], x["c"], x["kinds"], key, m, raw[x["p1"] : m][::-1], raw[m : x["p2"] + WINDOW]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["h", "n", "kinds", "key", "m", "p1", "before", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["h", "c", "kinds", "key", "m", "before", "after"])
+
+    return texts.mapInArrow(slices, AROUND)
+
+
+AROUND_COLUMNS = ["h", "c", "kinds", "key", "m", "before", "after"]
+AROUND = "h long, c long, kinds long, key long, m int, before binary, after binary"
+
+
+def parted(around: DataFrame, parts: int) -> DataFrame:
+    """``around`` with new (g, low, high): the part of the anchor's suffix array, and which lengths to the right it is for.
+
+    Of two suffixes that share 200 bytes or more, r of them to the right with low <= r < high, each has the same first low
+    bytes to the right and the same 201 - high to the left: they are in one part, and no others need be. Suffixes too short
+    for a part aren't in it.
+    """
+    cuts = [ANCHOR + (WINDOW + 1 - ANCHOR) * i // parts for i in range(parts + 1)]
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("low"), F.lit(b if b <= WINDOW else 1 << 30).alias("high"), F.lit(WINDOW + 1 - b).alias("back")) for a, b in zip(cuts, cuts[1:], strict=False))))
+    within = (F.col("cut.low") >= F.col("low")) & (F.col("cut.low") < F.col("high"))
+    long_enough = around.select("*", each.alias("cut")).where(within & (F.length("after") >= F.col("cut.low")) & (F.length("before") >= F.col("cut.back")))
+    part = F.xxhash64("h", "cut.low", F.expr("substring(after, 1, cut.low)"), F.expr("substring(before, 1, cut.back)"))
+    return long_enough.select(*AROUND_COLUMNS, part.alias("g"), F.col("cut.low").alias("low"), F.col("cut.high").alias("high"))
+
+
+def suffix_arrays(around: DataFrame, split: int) -> tuple[DataFrame, DataFrame]:
+    """Suffix arrays of at most ``split`` entries, as ``parted`` makes them; and what shares 200 bytes at one place in larger groups.
+
+    The latter are intervals of a depth that is known, whose members need no scan.
+    """
+    around = around.select("*", F.col("h").alias("g"), F.lit(ANCHOR).alias("low"), F.lit(1 << 30).alias("high"))
+    every, large = around.where(F.col("kinds") <= split), around.where(F.col("kinds") > split)
+    for parts in (PARTS, WINDOW + 1 - ANCHOR):
+        large = written(parted(large, parts), "parts")
+        sizes = written(large.groupBy("g").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        large = matched(large, sizes, ["g"], "size")
+        if parts == PARTS:
+            every = every.union(large.where(F.col("size") <= split).drop("size"))
+            large = large.where(F.col("size") > split).drop("size")
+    return every, large
+
 
-    return texts.mapInArrow(slices, "h long, n long, kinds long, key long, m int, p1 int, before binary, after binary")
+REPEATS = "repeat long, key long, m int, h long, c long, back int, ahead int, whole int"
 
 
-def groups_of_repeats(around: DataFrame) -> DataFrame:
-    """(h, repeat, key, start, end, whole): the maximal repeats of each anchor with all their occurrences.
+def groups_of_repeats(arrays: DataFrame) -> DataFrame:
+    """(repeat, key, m, h, c, back, ahead, whole): the maximal repeats of each suffix array with all their classes.
 
-    ``start`` and ``end`` bound what an occurrence shares with its nearest fellow, ``whole`` is what all of them share.
+    ``back`` and ``ahead`` bound what an occurrence shares with its nearest fellow, from the anchor at m on; ``whole`` is
+    what all of them share.
     """
+    names = ["repeat", "key", "m", "h", "c", "back", "ahead", "whole"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in names]
 
-        def one_anchor() -> None:
-            for repeat, (shared, length, members, near) in enumerate(maximal_repeats([x[4] for x in held], [x[5] for x in held])):
+        def one_array() -> None:
+            g, low, high = held[0][:3]
+            found = maximal_repeats([x[7] for x in held], [x[8] for x in held], depths=(low, high))
+            for k, (shared, length, members, near) in enumerate(found):
+                repeat = int(mix(np.array([g, k], np.int64).view(np.uint64) * _letters[:2]).sum().view(np.int64))
                 for i, l in zip(members.tolist(), near.tolist(), strict=True):
-                    h, n, key, m = held[i][:4]
-                    for column, value in zip(out, (h, repeat, key, m - l, m + length, shared + length), strict=True):
+                    key, m, h, c = held[i][3:7]
+                    for column, value in zip(out, (repeat, key, m, h, c, l, length, shared + length), strict=True):
                         column.append(value)
 
         def flushed() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["h", "repeat", "key", "start", "end", "whole"])
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
             for column in out:
                 column.clear()
             return made
 
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and held[-1][0] != row[0]:
-                    one_anchor()
-                    held.clear()
-                held.append(row)
-            if len(out[0]) > 10_000:
-                yield flushed()
-        if held:
-            one_anchor()
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                    if held and held[-1][0] != row[0]:
+                        one_array()
+                        held.clear()
+                    held.append(row)
+                if len(out[0]) > 10_000:
+                    yield flushed()
+            if held:
+                one_array()
         yield flushed()
 
-    near = around.select("h", "n", "key", "m", "before", "after").repartition("h").sortWithinPartitions("h", "after", "before")
-    return near.mapInArrow(scan, "h long, repeat int, key long, start int, end int, whole int")
+    near = arrays.select("g", "low", "high", "key", "m", "h", "c", "before", "after").repartition("g").sortWithinPartitions("g", "after", "before")
+    return near.mapInArrow(scan, REPEATS)
 
 
-def repeated_windows(around: DataFrame) -> DataFrame:
-    """(key, start, end) of the windows that stand in two classes or more, by counting; for anchors with very many classes."""
+def classed(docs: DataFrame, split: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Anchors that stand twice or more, with n, how many have the same surroundings; classes of those; groups of classes that repeat each other."""
+    docs = columns(docs, "doc_id", "text")
+    found = written(anchors(docs), "all")
+    met = written(found.groupBy("h").agg(F.count("*").alias("total")).where("total > 1"), "met")
+    rows = written(matched(found, met, ["h"], "total").drop("total"), "anchors")
+    dropped(found)
+    classes = written(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "p1", "p2", "m")).alias("one")), "classes")
+    kinds = written(classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    around = written(surroundings(matched(classes, kinds, ["h"], "kinds").select("h", "c", "kinds", "one.*"), docs), "surroundings")
+    arrays, known = suffix_arrays(around, split)
+    certain = known.select(F.col("g").alias("repeat"), "key", "m", "h", "c", (F.lit(WINDOW) - F.col("low")).alias("back"), F.col("low").alias("ahead"), F.lit(WINDOW).alias("whole"))
+    return rows, classes, written(groups_of_repeats(arrays).union(certain), "repeats")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for key, p1, before, after in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    raw = before[::-1] + after
-                    at = np.arange(len(raw) - WINDOW + 1)
-                    hashes = spans_hash(sums(np.frombuffer(raw, np.uint8)), at, at + WINDOW).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(at + p1, pa.int32()), pa.array(hashes)], names=["key", "start", "w"])
 
-    found = around.select("key", "p1", "before", "after").mapInArrow(windows, "key long, start int, w long")
-    twice = found.groupBy("w").count().where("count > 1").select("w")
-    return found.join(twice, "w").select("key", "start", (F.col("start") + WINDOW).alias("end"))
+def repeated(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Occurrences whose surroundings stand elsewhere just the same."""
+    return matched(rows, written(classes.where("n > 1").select("h", "c", "n"), "alike"), ["h", "c"], "n")
 
 
-def repeats(docs: DataFrame, most_in_task: int = MOST_IN_TASK) -> tuple[DataFrame, DataFrame]:
-    """Spans (key, start, end) of bytes in windows that stand elsewhere too, and the maximal repeats behind those at edges."""
-    docs = columns(docs, "doc_id", "text")
-    found = anchors(docs)
-    met = found.groupBy("h").agg(F.count("*").alias("total"), (F.min("c") == F.max("c")).alias("alike")).where("total > 1").select("h", "alike")
-    rows = written(found.join(met, "h"), "anchors")
-    mixed = rows.where("not alike")
-    classes = written(mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "p1", "p2", "m")).alias("one")), "classes")
-    kinds = classes.groupBy("h").agg(F.count("*").alias("kinds"))
-    around = written(surroundings(classes.join(kinds, "h").select("h", "n", "kinds", "one.*"), docs), "surroundings")
-    groups = written(groups_of_repeats(around.where(F.col("kinds") <= most_in_task)), "repeats")
-    whole = rows.where("alike").select("key", "p1", "p2")
-    whole = whole.union(mixed.join(classes.where("n > 1").select("h", "c"), ["h", "c"]).select("key", "p1", "p2"))
-    spans = whole.select("key", F.col("p1").alias("start"), (F.col("p2") + WINDOW).alias("end")).union(groups.select("key", "start", "end"))
-    many = around.where(F.col("kinds") > most_in_task)
-    if not many.isEmpty():
-        spans = spans.union(repeated_windows(many))
-    return spans, groups
+def repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+    """Spans (key, start, end) of bytes in windows that stand elsewhere too."""
+    rows, classes, groups = classed(docs, split)
+    whole = repeated(rows, classes).select("key", F.col("p1").alias("start"), (F.col("p2") + WINDOW).alias("end"))
+    return whole.union(groups.select("key", F.col("m") - F.col("back"), F.col("m") + F.col("ahead")))
+
+
+def repeat_groups(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(repeat, key, start, end, whole): maximal repeats of 200 bytes or more around each anchor, with all their occurrences.
+
+    ``key`` stands for the row, see ``row_key``; ``whole`` is what all occurrences share. Occurrences with equal
+    surroundings are a group of their own, and belong to the larger groups that their surroundings are in.
+    """
+    rows, classes, groups = classed(docs, split)
+    alike = repeated(rows, classes).select(F.xxhash64("h", "c").alias("repeat"), "key", F.col("p1").alias("start"), (F.col("p2") + WINDOW).alias("end"), (F.col("p2") + WINDOW - F.col("p1")).alias("whole"))
+    sizes = written(classes.select("h", "c", "n"), "counts")
+    members = written(matched(rows, sizes, ["h", "c"], "n").select("h", "c", "key", "m").join(groups.select("h", "c", "repeat", "back", "ahead", "whole"), ["h", "c"]), "members")
+    return alike.union(members.select("repeat", "key", F.col("m") - F.col("back"), F.col("m") + F.col("ahead"), "whole"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -254,15 +310,17 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, *keep: str) -> DataFrame:
-    each = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return docs.select(row_key(), "text", *keep).join(each, "key", "left").drop("key")
+def with_spans(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, put aside, with text and spans, what repeats take from them."""
+    each = repeats(docs).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return docs.select(*aside(docs), row_key(), "text").join(each, "key", "left").drop("key")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """What repeated passages take from each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null and empty texts have no bytes. Repeated rows repeat each other and lose all that is long enough. Null doc_ids stay.
+    Further columns are ignored; an empty table gives no rows.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,18 +333,22 @@ def digests(docs: DataFrame) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs, repeats(docs)[0], "doc_id").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs.select("doc_id", "text")).select("text", "__0", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages taken out of text, and n_chars to match; letters cut in two go as well."""
-    names = docs.columns
+    """``docs`` with repeated passages taken out of text, and n_chars, whatever its type, to match; letters cut in two go as well.
+
+    Null texts stay null. Repeated rows repeat each other. Further columns stay, whatever their names; an empty table gives
+    no rows.
+    """
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if t is None else cut(t.encode(), merged(s)).decode("utf-8", "ignore") if s else t for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "said"])
 
-    kept = [n for n in names if n not in ("text", "n_chars")]
-    return with_spans(docs, repeats(docs)[0], *kept).select("text", "spans", *kept).mapInArrow(strip, docs.schema)
+    rows = with_spans(docs)
+    others = [f"__{i}" for i, c in enumerate(docs.columns) if c not in ("text", "n_chars")]
+    made = rows.select("text", "spans", *others).mapInArrow(strip, StructType([*(rows.schema[c] for c in others), StructField("said", StringType())]))
+    return with_text(made, docs)

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pixelloom.llm import bpe, embeddings, licences, minhash, packing, quality, secrets, suffixes, toxicity, warc
+from pixelloom.llm import bpe, common, embeddings, licences, minhash, packing, quality, secrets, suffixes, toxicity, warc
 from pixelloom.llm.vocabulary import default_vocabulary, reference_tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,7 +85,7 @@ def test_bpe(docs, corpus, empty, common):
     assert bpe.digests(bpe.encode(empty, vocabulary)).count() == 0
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
+@pytest.mark.parametrize("most", [4096, 3, 0])
 def test_suffixes(docs, corpus, empty, monkeypatch, most):
     texts = [(i, (t or "").encode()) for i, t, *_ in corpus]
     seen = Counter(raw[k : k + 200] for _, raw in texts for k in range(len(raw) - 199))
@@ -97,10 +97,37 @@ def test_suffixes(docs, corpus, empty, monkeypatch, most):
                 gone[k : k + 200] = b"\1" * 200
         want.append((i, len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(c for c, g in zip(raw, gone, strict=True) if not g)).hexdigest()))
     monkeypatch.setattr(suffixes.repeats, "__defaults__", (most,))
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
     assert rows_by(suffixes.digests(docs).collect(), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
     assert suffixes.digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [4096, 3, 0])
+def test_repeat_groups_have_all_occurrences(spark, most):
+    """A passage in many surroundings, twice in some of them, in whole copies too; with suffix arrays split at each size."""
+    rng = np.random.default_rng(4)
+    said = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, copied = said(260), said(400)
+    texts = [said(int(rng.integers(0, 60))) + passage[: 260 - k % 3] + said(50) for k in range(30)] + [copied] * 7 + [passage + said(20) + passage]
+    got = suffixes.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most).collect()
+    keys = {r.key: r.text for r in spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(suffixes.row_key(), "text").collect()}
+    groups = defaultdict(set)
+    for r in got:
+        assert 0 <= r.start and r.end <= len(keys[r.key]) and r.end - r.start >= r.whole >= 200
+        groups[r.repeat].add((r.key, r.start, r.end))
+    windows = defaultdict(set)
+    for key, text in keys.items():
+        for k in range(len(text) - 199):
+            windows[text[k : k + 200]].add((key, k))
+    twice = [w for w, at in windows.items() if len(at) > 1]
+    assert any(len({k for k, _ in windows[w]}) == 31 for w in twice)
+    for w in twice:  # some group has every occurrence of the window
+        assert any(all(any(k == key and a <= at and at + 200 <= b for k, a, b in g) for key, at in windows[w]) for g in groups.values())
+    for g in groups.values():  # and every span of a group has a fellow with which it shares 200 bytes
+        for key, a, b in g:
+            assert any(len(windows[keys[key][k : k + 200]]) > 1 for k in range(a, b - 199))
+
+
 def test_maximal_repeats_have_all_occurrences():
     right = sorted([b"k" * 32 + b"same" * 50] * 3 + [b"k" * 32 + b"other" * 40])
     found = list(suffixes.maximal_repeats([b"left"] * 4, right, 200))
@@ -121,6 +148,24 @@ def test_secrets(docs, corpus, empty):
     assert secrets.digests(empty).count() == 0
     clean = {r.doc_id: r.text for r in secrets.redacted(docs.select("doc_id", "text", "lang", "source", "n_chars")).collect()}
     assert not any("Zx9QwErTy12345UiOpAsD" in (t or "") or "AKIAABC" in (t or "") for t in clean.values())
+    by_id = {r.doc_id: r for r in got}
+    for r in secrets.redacted(docs).collect():  # whatever further columns are called
+        t = next(t for i, t, *_ in corpus if i == r.doc_id)
+        covered = sorted(tuple(map(int, x.split(":")[1:])) for x in by_id[r.doc_id].spans.split(",") if x)
+        out, at = "", 0
+        for a, b in covered:
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert r.text == (out + t[at:] if covered else t) and r.n_chars == (len(r.text) if r.text is not None else None) and r.a == 1 and r.base == 1
+
+
+def test_secrets_of_a_text_with_thousands_of_hits(spark):
+    text = " ".join(f"é{i:020x}" for i in range(3000))
+    rows = spark.createDataFrame([(1, text, "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars int")
+    got = secrets.digests(rows).first()
+    assert got.spans == ",".join(f"hex:{22 * i + 1}:{22 * i + 21}" for i in range(3000))
+    assert secrets.redacted(rows).first().text == " ".join(["é[SECRET]"] * 3000)
 
 
 def test_secrets_tell_copied_from_live(spark):
