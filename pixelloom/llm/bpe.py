@@ -1,8 +1,9 @@
 """Byte-pair encoding through a table of distinct words, and decoding through a table of pieces.
 
 Words are cut where no token can cross: before a run of white space that follows something else, and before a comma or
-full stop that ends a word. Every distinct word of the corpus is encoded once. A bounded number of the commonest go to
-all tasks; ids of the others are joined back by document and position, so no size of vocabulary is assumed.
+full stop that ends a word. Every distinct word of the corpus is encoded once, and decoded once: its ids are joined with the
+table of pieces, and the pieces put together by position. A bounded number of the commonest go to all tasks; ids and decoded
+bytes of the others are joined back by document and position, so no size of vocabulary is assumed.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from pixelloom.llm.common import columns, dropped, written
-from pixelloom.llm.vocabulary import byte_bpe, encode_to_array, id_pieces
+from pixelloom.llm.common import columns, dropped, matched, written
+from pixelloom.llm.vocabulary import byte_bpe, encode_to_array, piece_table
 
 #: At most so many words, of at most so many letters each, are sent to all tasks.
 COMMON_WORDS, COMMON_LETTERS = 1 << 19, 40
@@ -31,17 +33,15 @@ ENDED_WORDS = 1 << 16
 #: Marks a word that stands as it is; other words have a space before them, or begin with a line feed.
 BARE = "\n\n"
 
-_two_spaces = re.compile(r"\s\s").search
-_runs = re.compile(r"\s*\S+|\s+").findall
-_separators = re.compile("[\x1c-\x1f]").search
+# \x1c to \x1f are white space for Python, not for the vocabulary.
+_two_spaces = re.compile("[^\\S\x1c-\x1f]{2}").search
+_runs = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+").findall
 
 
 def split_words(text: str) -> list[str]:
     """The words of a text, as keys; ``word_text`` gives their texts, which make up the whole text in order."""
     if not text:
         return []
-    if _separators(text):  # white space for Python, not for the vocabulary
-        return [BARE + text]
     if _two_spaces(text):
         return [BARE + run for run in _runs(text)]
     words = text.replace("\n", " \n").split(" ")
@@ -88,16 +88,55 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
     return words.mapInArrow(encode, "word string, n long, ids binary")
 
 
+def decode_words(words: DataFrame, vocabulary: str) -> DataFrame:
+    """(word, n, ids, decoded): decoded holds the bytes that the ids stand for, null where these are the word's own.
+
+    Ids are joined with the table of pieces, whose size the vocabulary fixes, and pieces put together by position.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x, "<u4").view("<i4") for x in batch.column(1).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, "<i4")])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["word", "ids"])
+
+    pieces = F.broadcast(piece_table(words.sparkSession, vocabulary))
+    said = words.select("word", "ids").mapInArrow(each, "word string, ids array<int>").select("word", F.posexplode("ids").alias("at", "id")).join(pieces, "id")
+    made = said.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
+    text = F.when(F.col("word").startswith(BARE), F.substring("word", 3, 1 << 30)).when(F.col("word").startswith("\n"), F.col("word")).otherwise(F.concat(F.lit(" "), "word"))
+    joined = F.aggregate("pieces", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["piece"]))
+    decoded = made.select("word", joined.alias("decoded")).where(F.col("decoded") != F.encode(text, "utf-8"))
+    return words.join(decoded.hint("merge"), "word", "left")
+
+
 def ipc(top: pa.Table, vocabulary: str) -> tuple[bytes, dict[str, bytes]]:
-    """The common words as they are sent to the tasks, and the ids of the ends of words; the driver makes no table of them."""
+    """The common words, commonest first, as they are sent to the tasks, and the ids of the ends of words; the driver makes no table of them."""
     encoding = byte_bpe(vocabulary)
+    top = top.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids", "decoded"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, top.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
         to.write_table(top)
     return sink.getvalue().to_pybytes(), {BARE + c: encode_to_array(encoding, c).astype("<u4").tobytes() for c in ",."}
 
 
-_tables: dict[str, dict[str, bytes]] = {}
+def commonest(words: DataFrame, most: int) -> DataFrame:
+    """At most about ``most`` of the commonest words of at most COMMON_LETTERS letters, without a sort.
+
+    Words are counted by how often they stand, in steps of a sixteenth of an octave; the steps from the top on that fit are
+    taken whole, and of the next one a share, by ranges of hashes.
+    """
+    short = words.where(F.length("word") <= COMMON_LETTERS).withColumn("step", F.floor(16 * F.log2("n")))
+    steps = {r.step: r["count"] for r in short.groupBy("step").count().collect()}
+    taken, cut, share = 0, min(steps, default=0), 1 << 20
+    for step in sorted(steps, reverse=True):
+        if taken + steps[step] > most:
+            cut, share = step, int((1 << 20) * 0.98 * (most - taken) / steps[step])
+            break
+        taken += steps[step]
+    return short.where((F.col("step") > cut) | (F.col("step") == cut) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share)).drop("step")
+
+
+_tables: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 @dataclass
@@ -105,24 +144,27 @@ class CommonWords:
     token: str
     sent: Broadcast
 
-    def table(self) -> dict[str, bytes]:
-        """Ids by word, made once in each Python worker."""
+    def table(self) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids by word, and bytes by word where these aren't the word's own; made once in each Python worker."""
         if self.token not in _tables:
             data, ends = self.sent.value
             table = dict(ends)
             rows = pa.ipc.open_stream(data).read_all()
-            for k, (word, ids) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
+            other: dict[str, bytes] = {}
+            for k, (word, ids, said) in enumerate(zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True)):
                 table[word] = ids
+                if said is not None:
+                    other[word] = said
                 if k < ENDED_WORDS and stem(word + ","):
                     table |= {word + c: ids + table[BARE + c] for c in ",."}
             _tables.clear()
-            _tables[self.token] = table
+            _tables[self.token] = table, other
         return _tables[self.token]
 
 
 @dataclass
 class Encoded:
-    """``rows`` (doc_id, packed, answers): compressed texts with the ids of their words that aren't common, by place."""
+    """``rows`` (doc_id, packed, answers, other): compressed texts with the ids of their words that aren't common, by place, and the bytes of those that aren't decoded to themselves."""
 
     rows: DataFrame
     common: CommonWords
@@ -153,12 +195,14 @@ def encode(docs: DataFrame, vocabulary: str, common: int = COMMON_WORDS) -> Enco
 
     Null texts are empty. Repeated rows give repeated rows; null doc_ids stay. Further columns are ignored.
     """
-    words = written(encode_words(distinct_words(docs), vocabulary), "words")
-    top = words.where(F.length("word") <= COMMON_LETTERS).orderBy(F.desc("n"), "word").limit(common)
-    known = CommonWords(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(ipc(top.select("word", "ids").toArrow(), vocabulary)))
+    encoded = written(encode_words(distinct_words(docs), vocabulary), "encoded")
+    words = written(decode_words(encoded, vocabulary), "words")
+    dropped(encoded)
+    top = commonest(words, common).select("word", "n", "ids", "decoded").toArrow()
+    known = CommonWords(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(ipc(top, vocabulary)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = known.table()
+        found = known.table()[0]
         for batch in batches:
             ids, marks, places, asked = [], [], [], []
             for doc_id, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -178,56 +222,78 @@ def encode(docs: DataFrame, vocabulary: str, common: int = COMMON_WORDS) -> Enco
 
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     asked = marked.mapInArrow(ask, "doc_id long, mark long, k int, word string")
-    found_ids = written(asked.join(words.select("word", "ids"), "word").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("k", "ids")).alias("answers")), "answers")
+    each = matched(asked, words, ["word"], "n").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("k", "ids")).alias("answers"), F.collect_set(F.when(F.col("decoded").isNotNull(), F.struct("k", "decoded"))).alias("other"))
+    # Places are 0, 1, 2 and so on, so that ids in their order need no places.
+    found_ids = written(each.select("doc_id", "mark", F.transform(F.sort_array("answers"), lambda x: x["ids"]).alias("answers"), F.when(F.size("other") > 0, F.col("other")).alias("other")), "answers")
     dropped(words)
     answers = found_ids.alias("a")
     texts = marked.mapInArrow(packed, "doc_id long, mark long, packed binary").alias("d")
     joined = texts.join(answers, F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.mark") == F.col("a.mark")), "left")
-    return Encoded(joined.select("d.doc_id", "packed", "answers"), known, vocabulary)
+    return Encoded(joined.select("d.doc_id", "packed", "answers", "other"), known, vocabulary)
 
 
-def assemble(text: str, answers: list[dict] | None, found: dict[str, bytes]) -> bytes:
-    """The ids of one document, the joined ones put in their places."""
+def assemble(text: str, answers: list[bytes] | None, decoded: list[dict] | None, known: tuple[dict[str, bytes], dict[str, bytes]]) -> tuple[bytes, bytes]:
+    """The ids of one document and the bytes they stand for, the joined ones put in their places."""
+    found, other = known
     ids, missing = look_up(text, found)
-    if missing:
-        by_place = {x["k"]: x["ids"] for x in answers}
-        for k, (at, _, end) in enumerate(missing):
-            ids[at] = by_place[k] + found[BARE + end] if end else by_place[k]
-    return b"".join(ids)
+    for (at, _, end), answer in zip(missing, answers or (), strict=True):
+        ids[at] = answer + found[BARE + end] if end else answer
+    if not other and not decoded:
+        return b"".join(ids), text.encode()
+    said = [word_text(w).encode() if (base := other.get(stem(w) or w)) is None else base + w[len(stem(w) or w) :].encode() for w in split_words(text)]
+    for x in decoded or ():
+        at, _, end = missing[x["k"]]
+        said[at] = x["decoded"] + end.encode()
+    return b"".join(ids), b"".join(said)
+
+
+def assembled(batch: pa.RecordBatch, known: tuple[dict[str, bytes], dict[str, bytes]]) -> Iterator[tuple[bytes, bytes]]:
+    """Ids and decoded text, in UTF-8, of each document."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for t, a, d in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        ids, said = assemble(unpack(t).decode(), a, d, known)
+        yield ids, said if d is None and not known[1] else said.decode("utf-8", "replace").encode()
 
 
-def assembled(batch: pa.RecordBatch, found: dict[str, bytes]) -> list[bytes]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    return [assemble(unpack(t).decode(), a, found) for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """(key, decoded) of rows (key, ids) with any ids, not only those of this module: the same join, ids taken for a word's.
+
+    Keys are unique; null ids are left out, those that the vocabulary hasn't stand for nothing. Empty or null lists give an
+    empty text.
+    """
+    key, ids = rows.columns
+    said = rows.select(key, F.posexplode(ids).alias("at", "id")).join(F.broadcast(piece_table(rows.sparkSession, vocabulary)), "id")
+    made = said.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b"".join(x["piece"] for x in p or ()).decode("utf-8", "replace") for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "decoded"])
 
-def decoded(ids: bytes, pieces: list[bytes]) -> str:
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    return rows.select(key).join(made, key, "left").select(key, "pieces").mapInArrow(join, StructType([rows.schema[key], StructField("decoded", StringType())]))
 
 
 def digests(encoded: Encoded) -> DataFrame:
-    """Counts and hashes of the ids and of the text decoded from them through the table of pieces."""
-    common, vocabulary = encoded.common, encoded.vocabulary
+    """Counts and hashes of the ids and of the text decoded from them."""
+    common = encoded.common
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = id_pieces(vocabulary)
         for batch in batches:
-            rows = assembled(batch, common.table())
-            hashes = [[hashlib.sha256(x).hexdigest() for x in column] for column in (rows, (decoded(x, pieces).encode() for x in rows))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in rows], pa.int64()), *map(pa.array, hashes)] if rows else [batch.column(0), pa.array([], pa.int64()), *[pa.array([], pa.string())] * 2], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said).hexdigest()) for ids, said in assembled(batch, common.table())]
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def texts(encoded: Encoded) -> DataFrame:
     """(doc_id, ids, decoded): the ids themselves and the text they stand for."""
-    common, vocabulary = encoded.common, encoded.vocabulary
+    common = encoded.common
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = id_pieces(vocabulary)
         for batch in batches:
-            rows = assembled(batch, common.table())
-            ids = pa.array([np.frombuffer(x, "<u4").tolist() for x in rows], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([decoded(x, pieces) for x in rows], pa.string())], names=["doc_id", "ids", "decoded"])
+            rows = list(assembled(batch, common.table()))
+            ids = pa.array([np.frombuffer(x, "<u4").tolist() for x, _ in rows], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([said.decode() for _, said in rows], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.rows.mapInArrow(full, "doc_id long, ids array<int>, decoded string")

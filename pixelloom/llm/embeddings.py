@@ -1,9 +1,12 @@
 """Embedding near-duplicates by counting collisions of one-dimensional projections.
 
-Vectors are cut into blocks along the first projection, whose query-centred window is so wide that it loses next to nothing.
-Blocks within reach of each other are compared in tasks: sorted by that projection, each query meets the run of vectors in
-its window; collisions in the windows of the other projections are counted, and pairs that reach the calibrated count are
-verified in double precision. Link counts and spanning links leave a task, not pairs.
+At a cosine of 0.95 a window on one projection passes a pair at the limit at most 4.5 times as readily as any other pair, so
+windows on single projections alone leave a share of all pairs to be counted, however many there are. Vectors are therefore
+dealt out first: in each of several tables by the cells of a few projections together, as many as keep a cell small at the
+number of vectors there is, and as many tables as find a pair at the limit together. Within a cell vectors are sorted by a
+further projection, each query meets the run in its window, collisions in the windows of many more projections are counted,
+and pairs that reach the calibrated count are verified in double precision. A pair counts in the first table in which it
+meets. Link counts and spanning links leave a task, not pairs.
 """
 
 from __future__ import annotations
@@ -16,14 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import columns, connected_components, written
+from pixelloom.llm.common import columns, connected_components, dropped, matched, written
+from pixelloom.llm.minhash import _letters, mix
 
 COSINE = 0.95
 #: Projections counted, half a window in standard deviations of a projected difference at the limit, recall of the count.
 PROJECTIONS, HALF_WINDOW, RECALL = 24, 1.5, 0.998
-#: The same for the first projection, along which blocks are cut: misses 0.1 % of pairs at the limit.
+#: The same for the projection by which a cell is sorted: misses 0.1 % of pairs at the limit.
 LEAD_WINDOW = 3.3
-BLOCK = 2048
+#: Width of a cell on one projection, in the same unit; vectors that a cell should hold; share of pairs at the limit that meet in some table; tables at most.
+CELL, ROWS, MEET, TABLES = 4.0, 512, 0.98, 128
+#: Projections on which the crowding of cells is measured.
+MEASURED = 8
+#: A cell of more vectors is compared block by block.
+BLOCK = 1024
 TILE = 256
 SEED = 7
 
@@ -57,33 +66,95 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & e.isNotNull() & F.coalesce(sound, F.lit(False)))
 
 
-def cells(distinct: DataFrame) -> DataFrame:
-    """``distinct`` with its dimension and its cell along the first projection, one window wide."""
+def meeting() -> float:
+    """The chance that a pair at the limit shares a cell of one projection, cells being placed at random."""
+    return math.erf(CELL / math.sqrt(2)) - math.sqrt(2 / math.pi) / CELL * (1 - math.exp(-CELL * CELL / 2))
+
+
+def plan(n: int, crowding: float) -> tuple[int, int]:
+    """Projections a table and tables, for ``n`` vectors, if any two share a cell of one projection with the chance ``crowding``."""
+    if n <= ROWS:
+        return 0, 1
+    width = max(1, math.ceil(math.log(n / ROWS) / -math.log(min(crowding, 0.9))))
+    while True:
+        tables = max(1, math.ceil(math.log(1 - MEET) / math.log(1 - meeting() ** width)))
+        if tables <= TABLES:
+            return width, tables
+        width -= 1
+
+
+_directions: dict[tuple[int, int], np.ndarray] = {}
+
+
+def directions_of(dim: int, n: int = PROJECTIONS + 1) -> np.ndarray:
+    if (dim, n) not in _directions:
+        _directions[dim, n] = directions(dim, n)
+    return _directions[dim, n]
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def cells_on(units: np.ndarray, n: int) -> np.ndarray:
+    """The cell of each vector on each of ``n`` projections, whose cells begin at random places."""
+    dim = units.shape[1]
+    shift = np.random.default_rng(SEED + 1).random(n)
+    return np.floor(units @ directions_of(dim, PROJECTIONS + 1 + n)[:, PROJECTIONS + 1 :] / (CELL * deviation(dim)) + shift).astype(np.int64)
+
+
+def by_dimension(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Dimension, places and unit vectors of the rows of a batch."""
+    lists = batch.column(column)
+    sizes, flat, starts = np.diff(lists.offsets.to_numpy()), lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[:-1]
+    for dim in np.unique(sizes):
+        at = np.flatnonzero(sizes == dim)
+        yield int(dim), at, unit(flat[starts[at][:, None] + np.arange(dim)])
+
+
+def crowding(distinct: DataFrame, n: int) -> float:
+    """The chance that two of ``n`` vectors share a cell of one projection: counted over all vectors, the mean of some projections."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, at = [], []
-            for e in batch.column(2):
-                v = e.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                v = v / np.abs(v).max()
-                dims.append(len(v))
-                at.append(math.floor(float(v @ directions_of(len(v))[:, 0]) / float(np.linalg.norm(v)) / (LEAD_WINDOW * deviation(len(v)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int32()), pa.array(at, pa.int32())], names=["head", "copies", "embedding", "dim", "cell"])
+            for dim, _, units in by_dimension(batch, 0):
+                found = cells_on(units, MEASURED)
+                for k in range(MEASURED):
+                    cell, count = np.unique(found[:, k], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), dim), pa.int32()), pa.array(np.full(len(cell), k), pa.int32()), pa.array(cell), pa.array(count, pa.int64())], names=["dim", "k", "cell", "n"])
 
-    return distinct.mapInArrow(place, "head long, copies long, embedding array<double>, dim int, cell int")
+    counted = distinct.select("embedding").mapInArrow(place, "dim int, k int, cell long, n long").groupBy("dim", "k", "cell").agg(F.sum("n").alias("n"))
+    shares = counted.groupBy("k").agg((F.sum(F.col("n") * F.col("n").cast("double")) / float(n) ** 2).alias("p")).collect()
+    return math.exp(sum(math.log(max(r.p, 1e-9)) for r in shares) / len(shares))
 
 
-_directions: dict[int, np.ndarray] = {}
+def placed(distinct: DataFrame, width: int, tables: int) -> DataFrame:
+    """``distinct`` with its dimension and its cell in each table."""
 
-
-def directions_of(dim: int) -> np.ndarray:
-    if dim not in _directions:
-        _directions[dim] = directions(dim, PROJECTIONS + 1)
-    return _directions[dim]
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                dims, codes = np.zeros(batch.num_rows, np.int32), np.zeros((batch.num_rows, tables), np.int32)
+                for dim, at, units in by_dimension(batch, 2):
+                    dims[at] = dim
+                    if width:
+                        found = cells_on(units, width * tables).reshape(len(at), tables, width).astype(np.uint64)
+                        mixed = mix((mix(found) * _letters[:width]).sum(axis=2, dtype=np.uint64))
+                        codes[at] = (mixed & np.uint64(0x7FFFFFFF)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims), lists], names=["head", "copies", "embedding", "dim", "codes"])
+
+    kind = distinct.schema["embedding"].dataType.simpleString()
+    return distinct.mapInArrow(place, f"head long, copies long, embedding {kind}, dim int, codes array<int>")
 
 
 def linked(units_a: np.ndarray, units_b: np.ndarray, same: bool, cosine: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of the rows of two blocks that are found and verified; of one block with itself, each pair once."""
+    """Index pairs of the rows of two blocks that are found and verified; of one block with itself, each pair once.
+
+    Windows of the projection by which a block is sorted bound the rows that meet, collisions in the others are counted.
+    """
     dim = units_a.shape[1]
     sigma, need = deviation(dim, cosine), least_count()
     scale = min(32000.0, 2000.0 / sigma)
@@ -114,53 +185,75 @@ def linked(units_a: np.ndarray, units_b: np.ndarray, same: bool, cosine: float =
             yield x[close], y[close]
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
+def blocks_of(vectors: DataFrame) -> DataFrame:
+    """(dim, t, code, sub, heads, copies, data, codes): the vectors of each cell with two or more, in blocks."""
+    each = vectors.select("dim", F.posexplode("codes").alias("t", "code"), "head", "copies", "embedding", "codes")
+    sizes = written(vectors.select("dim", F.posexplode("codes").alias("t", "code")).groupBy("dim", "t", "code").agg(F.count("*").alias("n")).where("n > 1"), "cells")
+    cut = matched(each, sizes, ["dim", "t", "code"], "n").withColumn("sub", F.pmod(F.xxhash64("head"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    rows = cut.groupBy("dim", "t", "code", "sub").agg(F.collect_list(F.struct("head", "copies", "embedding", "codes")).alias("rows"))
+    return rows.select("dim", "t", "code", "sub", F.col("rows.head").alias("heads"), F.col("rows.copies").alias("copies"), F.flatten("rows.embedding").alias("data"), F.flatten("rows.codes").alias("codes"))
 
-    Null, zero and non-finite vectors and those with null components link with nothing; nor do vectors of different
-    dimensions. Rows with equal vectors count as links of each other. Rows that repeat a vec_id are one vector if they agree,
-    else each is counted and their components are joined. Further columns are ignored; an empty table gives no rows.
-    """
-    vectors = columns(vectors, "vec_id", "embedding").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    sound = usable(vectors).distinct()
-    distinct = written(sound.groupBy("embedding").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies")).select("head", "copies", "embedding"), "distinct")
-    placed = written(cells(distinct), "cells")
-    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("subs"))
-    cut = placed.join(sizes, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("embedding"), F.col("subs")).cast("int"))
-    blocks = written(cut.groupBy("dim", "cell", "sub").agg(F.collect_list("head").alias("heads"), F.collect_list("copies").alias("copies"), F.flatten(F.collect_list("embedding")).alias("data")), "blocks")
-    names = blocks.select("dim", "cell", "sub")
-    mine, other = names.alias("p"), names.select("dim", F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("near"), "cell", "sub").alias("q")
-    met = mine.join(other, (F.col("p.dim") == F.col("q.dim")) & (F.col("p.cell") == F.col("q.near")) & ((F.col("p.cell") != F.col("q.cell")) | (F.col("p.sub") <= F.col("q.sub"))))
-    met = met.select("p.dim", F.col("p.cell").alias("cell"), F.col("p.sub").alias("sub"), F.col("q.cell").alias("cell2"), F.col("q.sub").alias("sub2"))
-    left = met.join(blocks, ["dim", "cell", "sub"])
-    right = blocks.select("dim", F.col("cell").alias("cell2"), F.col("sub").alias("sub2"), *(F.col(c).alias(c + "2") for c in ("heads", "copies", "data")))
-    both = left.join(right, ["dim", "cell2", "sub2"]).select("dim", ((F.col("cell") == F.col("cell2")) & (F.col("sub") == F.col("sub2"))).alias("same"), "heads", "copies", "data", "heads2", "copies2", "data2")
+
+def compared(blocks: DataFrame, tables: int, cosine: float) -> DataFrame:
+    """(head, links, label): links of the vectors of each block, with itself and with others of its cell, and the least id they reach there."""
+    sides = ("heads", "copies", "data", "codes")
+    names = blocks.select("dim", "t", "code", "sub")
+    pairs = names.join(names.withColumnRenamed("sub", "sub2"), ["dim", "t", "code"]).where("sub < sub2")
+    left = pairs.join(blocks, ["dim", "t", "code", "sub"])
+    both = left.join(blocks.select("dim", "t", "code", F.col("sub").alias("sub2"), *(F.col(c).alias(c + "2") for c in sides)), ["dim", "t", "code", "sub2"])
+    alone = blocks.select("dim", "t", *sides, *(F.lit(None).cast(blocks.schema[c].dataType).alias(c + "2") for c in sides))
+    both = alone.union(both.select("dim", "t", *sides, *(c + "2" for c in sides)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
             for k in range(batch.num_rows):
-                dim, same = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                sides = []
-                for at in (2, 5):
-                    heads, copies, data = (batch.column(at + i)[k].values.to_numpy(zero_copy_only=False) for i in range(3))
-                    v = data.reshape(-1, dim)
-                    v = v / np.abs(v).max(axis=1, keepdims=True)
-                    sides.append((heads, copies, v / np.linalg.norm(v, axis=1, keepdims=True)))
-                (ha, ca, ua), (hb, cb, ub) = sides
+                dim, t, same = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), not batch.column(6)[k].is_valid
+                found = []
+                for at in (2, 2 if same else 6):
+                    heads, copies, data, codes = (batch.column(at + i)[k].values.to_numpy(zero_copy_only=False) for i in range(4))
+                    found.append((heads, copies, unit(data.reshape(-1, dim)), codes.reshape(-1, tables)[:, :t]))
+                (ha, ca, ua, ka), (hb, cb, ub, kb) = found
                 na, nb = np.zeros(len(ha), np.int64), np.zeros(len(hb), np.int64)
                 forest = Forest(np.concatenate([ha, hb]))
                 for x, y in linked(ua, ub, same, cosine):
+                    new = ~(ka[x] == kb[y]).any(axis=1)  # a pair that met in an earlier table is counted there
+                    x, y = x[new], y[new]
                     np.add.at(na, x, cb[y])
                     np.add.at(nb, y, ca[x])
                     forest.join(x, y + len(ha))
                 heads, counts, labels = np.concatenate([ha, hb]), np.concatenate([na, nb]), forest.labels()
                 some = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(heads[some]), pa.array(counts[some]), pa.array(labels[some])], names=["head", "links", "label"])
+                out.append((heads[some], counts[some], labels[some]))
+                if len(out) > 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(3)], names=["head", "links", "label"])
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(3)], names=["head", "links", "label"])
+
+    return both.mapInArrow(compare, "head long, links long, label long")
 
-    # One row is two whole blocks, so few at a time go to Python.
-    found = written(both.mapInArrow(compare, "head long, links long, label long"), "links")
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
+
+    Null, zero and non-finite vectors and those with null components link with nothing; nor do vectors of different
+    dimensions. Rows with equal vectors count as links of each other. Rows that repeat a vec_id are one vector if they agree,
+    else their links are counted together and their components joined. Null vec_ids link with nothing.
+    Further columns are ignored; an empty table gives no rows.
+    """
+    floats = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    vectors = columns(vectors, "vec_id", "embedding").withColumn("embedding", F.col("embedding").cast("array<float>" if floats else "array<double>"))
+    sound = usable(vectors).distinct()
+    distinct = written(sound.groupBy("embedding").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies")).select("head", "copies", "embedding"), "distinct")
+    n = distinct.count()
+    width, tables = plan(n, crowding(distinct, n) if n > ROWS else 1.0)
+    dealt = written(placed(distinct, width, tables), "cells")
+    found = written(compared(written(blocks_of(dealt), "blocks"), tables, cosine), "links")
+    dropped(dealt)
     links = found.groupBy("head").agg(F.sum("links").alias("links"))
-    groups = connected_components(found.select("head", "label").union(sound.join(sound.groupBy("vec_id").agg(F.count("*").alias("c")).where("c > 1"), "vec_id").join(distinct, "embedding").select("head", F.col("vec_id").alias("label"))))
+    shared = sound.groupBy("vec_id").agg(F.count("*").alias("c")).where("c > 1")
+    groups = connected_components(found.select("head", "label").union(sound.join(shared, "vec_id").join(distinct, "embedding").select("head", F.col("vec_id").alias("label"))))
     heads = distinct.join(links, "head", "left").join(groups, distinct["head"] == groups["id"], "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "head").alias("component"))
     per_id = sound.join(heads, "embedding").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
     out = vectors.select("vec_id").join(per_id, "vec_id", "left")

@@ -26,7 +26,7 @@ from pixelloom.llm.minhash import _base, _inverse, _letters, mix, powers
 WINDOW, ANCHOR = 200, 32
 CHUNK = 1 << 21
 #: A suffix array of more entries than this is split: at first by so many lengths of the bytes to the right, then by each length.
-SPLIT, PARTS = 4096, 8
+SPLIT, PARTS = 512, 8
 
 
 def chunks(raw: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:

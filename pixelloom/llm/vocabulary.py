@@ -32,6 +32,11 @@ def id_pieces(path: str) -> list[bytes]:
     return [found.get(i, b"") for i in range(max(found) + 1)]
 
 
+def piece_table(spark, path: str):
+    """(id, piece): the pieces of a vocabulary as a table, of as many rows as it has ids."""
+    return spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(id_pieces(path))], "id int, piece binary")
+
+
 @functools.lru_cache(maxsize=2)
 def byte_bpe(path: str):
     """The vocabulary of a tokenizers file as a tiktoken encoding: the same ids, several times faster on one core."""

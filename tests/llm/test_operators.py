@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from pixelloom.llm import bpe, common, embeddings, licences, minhash, packing, quality, secrets, suffixes, toxicity, warc
-from pixelloom.llm.vocabulary import default_vocabulary, reference_tokenizer
+from pixelloom.llm.vocabulary import byte_bpe, default_vocabulary, encode_to_array, reference_tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -85,7 +85,34 @@ def test_bpe(docs, corpus, empty, common):
     assert bpe.digests(bpe.encode(empty, vocabulary)).count() == 0
 
 
-@pytest.mark.parametrize("most", [4096, 3, 0])
+def test_bpe_decodes_any_ids(spark):
+    vocabulary = default_vocabulary()
+    tokenizer = reference_tokenizer(vocabulary)
+    rng = np.random.default_rng(2)
+    lists = [rng.integers(0, 50_000, int(n)).tolist() for n in rng.integers(0, 60, 40)]
+    got = dict(bpe.decode(spark.createDataFrame(list(enumerate(lists)), "k long, ids array<int>"), vocabulary).collect())
+    assert got == {k: tokenizer.decode(ids, skip_special_tokens=False) for k, ids in enumerate(lists)}
+
+
+def test_bpe_puts_together_bytes_that_are_not_the_words_own():
+    known = {bpe.BARE + "a": b"\1\0\0\0", "b": b"\2\0\0\0", bpe.BARE + ",": b"\3\0\0\0"}, {"b": b" B"}
+    assert bpe.assemble("a b, c d,", [b"\4\0\0\0", b"\5\0\0\0"], [{"k": 1, "decoded": b" D"}], known) == (bytes([1, 0, 0, 0, 2, 0, 0, 0, 3, 0, 0, 0, 4, 0, 0, 0, 5, 0, 0, 0, 3, 0, 0, 0]), b"a B, c D,")
+
+
+def test_bpe_words_are_cut_where_tokens_are():
+    vocabulary = default_vocabulary()
+    tokenizer, fast = reference_tokenizer(vocabulary), byte_bpe(vocabulary)
+    rng = np.random.default_rng(9)
+    letters = list("ab,. \n\t\x1c\x1d\x1e\x1f\x85\xa0\u2028é漢1'")
+    for _ in range(3000):
+        text = "".join(rng.choice(letters, int(rng.integers(1, 12))))
+        words = bpe.split_words(text)
+        assert "".join(map(bpe.word_text, words)) == text
+        ids = [int(x) for w in words for part in ([bpe.word_text(w)] if not bpe.stem(w) else [bpe.word_text(bpe.stem(w)), w[-1]]) for x in encode_to_array(fast, part)]
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("most", [512, 3, 0])
 def test_suffixes(docs, corpus, empty, monkeypatch, most):
     texts = [(i, (t or "").encode()) for i, t, *_ in corpus]
     seen = Counter(raw[k : k + 200] for _, raw in texts for k in range(len(raw) - 199))
@@ -102,7 +129,7 @@ def test_suffixes(docs, corpus, empty, monkeypatch, most):
     assert suffixes.digests(empty).count() == 0
 
 
-@pytest.mark.parametrize("most", [4096, 3, 0])
+@pytest.mark.parametrize("most", [512, 3, 0])
 def test_repeat_groups_have_all_occurrences(spark, most):
     """A passage in many surroundings, twice in some of them, in whole copies too; with suffix arrays split at each size."""
     rng = np.random.default_rng(4)
@@ -200,22 +227,58 @@ def test_packing(docs, corpus, empty):
     assert packing.pack(empty, vocabulary).count() == 0
 
 
-def test_embeddings(spark):
+def brute_links(rows, cosine=0.95):
+    """Sets of links by row, of the sound vectors of rows (vec_id, embedding)."""
+    ok = [k for k, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    found = {k: set() for k in range(len(rows))}
+    for dim in {len(rows[k][1]) for k in ok}:
+        some = [k for k in ok if len(rows[k][1]) == dim]
+        unit = np.array([np.array(rows[k][1], np.float32) for k in some], float)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        for x, y in np.argwhere(unit @ unit.T >= cosine):
+            if x != y:
+                found[some[x]].add(some[y])
+    return found
+
+
+@pytest.mark.parametrize(("rows_a_cell", "block"), [(512, 1024), (16, 7)])
+def test_embeddings(spark, monkeypatch, rows_a_cell, block):
+    monkeypatch.setattr(embeddings, "ROWS", rows_a_cell)
+    monkeypatch.setattr(embeddings, "BLOCK", block)
     rng = np.random.default_rng(3)
-    base = rng.standard_normal((300, 64))
-    x = np.concatenate([base, base[:80] + 0.02 * rng.standard_normal((80, 64)) * np.linalg.norm(base[:80], axis=1, keepdims=True) / 8 * 10, base[:5]])
-    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(900, None), (901, [0.0] * 64), (902, [float("nan")] * 64), (903, [None] * 64)]
-    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
-    unit = np.array([np.array(v, np.float32) for _, v in rows[: len(x)]], float)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    close = unit @ unit.T >= 0.95
-    np.fill_diagonal(close, False)
-    found, all_links = sum(got[i].n_links for i in range(len(x))), int(close.sum())
-    assert 0.97 * all_links <= found <= all_links
-    assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
+    base = rng.standard_normal((600, 64))
+    x = np.concatenate([base, base[:80] + 0.2 * rng.standard_normal((80, 64)), base[:5], base[90] + 0.1 * rng.standard_normal((60, 64))])
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(900, None), (901, [0.0] * 64), (902, [float("nan")] * 64), (903, [None] * 64), (904, [1.0, 2.0]), (905, [2.0, 4.0]), (906, []), (907, [float("inf")] * 64), (None, [1.0, 2.0])]
+    rows += [rows[3], rows[3]]  # repeated rows are one vector
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<float>, head int, t int, dim int")).collect()}
+    links = brute_links(rows[:-2])
+    total, found = 0, 0
+    for k, at in links.items():
+        i = rows[k][0]
+        total, found = total + len(at), found + got[i].n_links
+        assert got[i].n_links <= len(at)
+    assert found >= 0.97 * total > 3000
+    assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903, 906, 907, None))
+    assert (got[904].n_links, got[905].n_links, got[905].component_id) == (1, 1, 904)
+    least = {i: i for i, _ in rows}
+    for _ in range(5):
+        for k, at in links.items():
+            for j in at:
+                least[rows[k][0]] = min(least[rows[k][0]], least[rows[j][0]])
+    assert all(got[i].component_id == least[i] and got[i].kept == (i is None or least[i] == i) for i in least)
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_repeat_ids_and_ties(spark):
+    half = [1.0, 0.0]
+    at_limit = [0.95, float(np.sqrt(1 - 0.95**2))]
+    rows = [(1, half), (2, at_limit), (1, [0.0, -1.0]), (3, [0.0, -2.0])]
+    got = sorted(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    close = float(np.array(half) @ np.array(at_limit) / np.linalg.norm(at_limit)) >= 0.95
+    assert [(r.vec_id, r.n_links) for r in got] == [(1, 1 + close), (1, 1 + close), (2, int(close)), (3, 1)]
+    assert [r.component_id for r in got] == [1, 1, 1 if close else 2, 1]
+
+
 def test_toxicity_held_out(spark, docs, empty):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     lexicon = toxicity.learn(documents, labels)
