@@ -320,13 +320,66 @@ def test_warc_language_stands_anywhere():
     assert warc.plain_text("<html><p>a")[2] == ""
 
 
+def wrapped(text, width=64):
+    lines, now = [], ""
+    for w in text.split():
+        if len(now) + len(w) > width:
+            lines.append(now)
+            now = ""
+        now = f"{now} {w}".strip()
+    return "\n".join([*lines, now])
+
+
+LICENCES = [
+    ("prose here\nReleased under the MIT License.", "MIT"),
+    ("Licensed under the Apache License, Version 2.0.", "Apache"),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL"),
+    ("Our tool is distributed under the GNU Affero General Public License, version 3, or any later one.", "AGPL"),
+    ("the driver lost his license on the way to the free library", ""),
+    ("Dual-licensed under the MIT License and the Apache License, Version 2.0, at your option.", "Apache,MIT"),
+    (wrapped(licences.TEMPLATES["MIT"][3]), "MIT"),
+    (wrapped("* " + " ".join(licences.TEMPLATES["GPL"][2:4])), "GPL"),
+    (wrapped(licences.TEMPLATES["ISC"][1], 40), "ISC"),
+    (wrapped("Copyright (c) 2020, the authors. All rights reserved. " + " ".join(licences.TEMPLATES["BSD"][2:4])), "BSD"),
+    ("Some words about a cat that sat.\n\nThis Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. If a copy of the MPL was not distributed with\nthis file, you can get one.\n\nMore words.", "MPL"),
+    ("", ""), (None, ""), ("\n\n\n", ""),
+]
+
+
 def test_licences(spark, docs, empty):
-    lines = [(0, "prose here\nReleased under the MIT License.", "MIT"), (1, "Licensed under the Apache License, Version 2.0.", "Apache"), (2, "Licensed under CC BY-NC 4.0.", "CC-BY-NC"), (3, "This work is licensed under the GNU General Public License, version 2.", "GPL"), (4, "the driver lost his license on the way to the free library", ""), (5, None, "")]
-    got = {r.doc_id: r.families for r in licences.scan(spark.createDataFrame([x[:2] for x in lines], "doc_id long, text string")).collect()}
-    assert got == {i: family for i, _, family in lines}
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LICENCES)], "doc_id long, text string")).collect()}
+    assert {i: r.families for i, r in got.items()} == {i: f for i, (_, f) in enumerate(LICENCES)}
+    assert got[11].n_licence == 1 and got[5].n_licence == got[5].n_unknown == 0
+    unknown = licences.scan(spark.createDataFrame([(1, "Licensed under the Foobar Commercial License, version 9.", 1, 2, 3)], "doc_id long, text string, row int, gram int, line int")).first()
+    assert (unknown.families, unknown.n_licence, unknown.n_unknown) == ("", 0, 1)
     assert licences.scan(docs).count() == docs.count() and licences.scan(empty).count() == 0
 
 
+def test_licences_by_brute_force(spark):
+    """The same counts from the model's own tables in Python, on the corpus of the smallest scale and the texts above."""
+    weights, constants, calibration = licences.model()
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    table = table.union(spark.createDataFrame([(10**6 + i, t) for i, (t, _) in enumerate(LICENCES)], table.schema))
+    want = {}
+    for r in table.collect():
+        families, sure, unsure = set(), 0, 0
+        for said in re.split(r"\n[ \t\r\f\x0B]*\n", (r.text or "").lower()):
+            here, likely = set(), 0.0
+            for part in [said.replace("\n", " "), *said.split("\n")]:
+                found = set(licences.grams(part)) & weights.keys()
+                if len(found) < 2:
+                    continue
+                z = [sum(weights[g][k] for g in found) / len(found) ** 0.5 + constants[k] for k in range(len(licences.CLASSES))]
+                p = [1 / (1 + np.exp(-(a * x + c))) for x, (a, c) in zip(z, calibration, strict=True)]
+                likely = max(likely, p[0])
+                here |= {f for f, parts in licences.templates() if sum(parts[g] for g in parts.keys() & found) >= 0.6 and p[licences.CLASSES.index(f)] >= 0.5}
+            families |= here
+            sure, unsure = sure + bool(here), unsure + (not here and likely >= 0.5)
+        want[r.doc_id] = (",".join(sorted(families)), sure, unsure)
+    assert {r.doc_id: (r.families, r.n_licence, r.n_unknown) for r in licences.scan(table).collect()} == want
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
