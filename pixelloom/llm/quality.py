@@ -1,8 +1,11 @@
 """Quality rules: plain limits, then robust multivariate outliers per language and source. DataFrame functions only.
 
-The outliers come from a minimum-covariance-determinant estimate: start from medians and absolute deviations, then
-concentrate: keep the three quarters of a group's rows nearest to its centre, estimate centre and covariance from them,
-measure all rows anew. Each step is a quantile and a set of sums per group, which are summed up before the shuffle.
+The outliers come from a minimum-covariance-determinant estimate. Each group has four deterministic starts around its
+medians: absolute deviations alone, covariances of signs and of bounded scores, and that of the half nearest to the medians.
+Each is concentrated: keep the three quarters of a group's rows nearest to its centre, estimate centre and covariance from
+them, measure all rows anew. The one of least determinant goes on until its determinant falls no more. Covariances are
+regularised by a fixed floor, as parts may be constant in a group. Each step is a quantile and a set of sums per group and
+start, which are summed up before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +20,11 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Of the statistic vector: floor of the standard deviation of each part, so that a part that is constant in a group doesn't make the covariance singular.
 FLOORS = {"x0": 0.25, "x1": 0.25, "x2": 0.25, "x3": 0.25}
 PARTS = list(FLOORS)
-KEPT_SHARE, STEPS, LEAST_ROWS = 0.75, 3, 50
+KEPT_SHARE, LEAST_ROWS = 0.75, 50
+#: Of quantiles: ranks are right to one in so many.
+ACCURACY = 10_000
+#: Starts of each group, steps of each before the best is chosen, and steps of that one at most.
+STARTS, FIRST_STEPS, LAST_STEPS = 4, 2, 6
 #: What the covariance of the nearest three quarters of a normal cloud in four dimensions lacks: 0.75 / P(chi2 of 6 <= 5.385).
 CONSISTENCY = 0.75 / 0.505
 #: Squared distance beyond which a row goes; far out, as clean documents must stay: chi2 of 4 exceeds it once in 10^11.
@@ -87,7 +94,8 @@ def by_group(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFram
     shuffled. Beyond Spark's limit every group is repeated once a slice, so that a group of any share of the rows meets
     its estimate in as many tasks.
     """
-    return rows.join(groups.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))), ["g_lang", "g_source", "slice"], how)
+    keys = ["g_lang", "g_source", *({"start"} & set(groups.columns)), "slice"]
+    return rows.join(groups.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))), keys, how)
 
 
 def measured(rows: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame:
@@ -102,21 +110,62 @@ def measured(rows: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame
     return joined.select(*(rows[c] for c in rows.columns), sum((c * c for c in z), F.lit(0.0)).alias("d2"))
 
 
-def robust_models(rows: DataFrame) -> DataFrame:
-    """(g_lang, g_source, m0.., l00..): centre and Cholesky factor of each group."""
+def model_of(sums: DataFrame, keys: list[str], cov: dict[tuple[int, int], Column]) -> DataFrame:
+    """The keys, centre m0.., Cholesky factor l00.. and logarithm of the determinant of each group, written."""
+    n = range(len(PARTS))
+    made = sums.select(*keys, *(f"m{i}" for i in n), *(c.alias(k) for k, c in factors(cov).items()))
+    return written(made.withColumn("det", sum((2 * F.log(F.col(f"l{i}{i}")) for i in n), F.lit(0.0))), "model")
+
+
+def concentrated(rows: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """The model that the rows nearest to ``model`` give."""
+    n = range(len(PARTS))
+    far = measured(rows, model)
+    edge = far.groupBy(*keys).agg(F.percentile_approx("d2", KEPT_SHARE, ACCURACY).alias("edge"))
+    near = by_group(far, written(edge, "edge")).where("d2 <= edge")
+    sums = near.groupBy(*keys).agg(*(F.avg(p).alias(f"m{i}") for i, p in enumerate(PARTS)), *(F.covar_pop(PARTS[i], PARTS[j]).alias(f"c{i}{j}") for i in n for j in range(i + 1)))
+    return model_of(sums, keys, {(i, j): F.col(f"c{i}{j}") * CONSISTENCY + (FLOORS[PARTS[i]] ** 2 if i == j else 0.0) for i in n for j in range(i + 1)})
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """(g_lang, g_source, start, ...): the models from which each group's estimates start; all are centred on the medians."""
     keys = ["g_lang", "g_source"]
     n = range(len(PARTS))
-    centre = rows.groupBy(*keys).agg(*(F.percentile_approx(p, 0.5, 1000).alias(f"m{i}") for i, p in enumerate(PARTS)))
-    spread = by_group(rows, written(centre, "centre")).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in n), *(F.percentile_approx(F.abs(F.col(p) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, p in enumerate(PARTS)))
-    start = {(i, j): F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[PARTS[i]] ** 2 if i == j else F.lit(0.0) for i in n for j in range(i + 1)}
-    model = written(spread.select(*keys, *(f"m{i}" for i in n), *(c.alias(k) for k, c in factors(start).items())), "model")
-    for _ in range(STEPS):
-        far = measured(rows, model)
-        edge = far.groupBy(*keys).agg(F.percentile_approx("d2", KEPT_SHARE, 1000).alias("edge"))
-        near = by_group(far, written(edge, "edge")).where("d2 <= edge")
-        sums = near.groupBy(*keys).agg(*(F.avg(p).alias(f"m{i}") for i, p in enumerate(PARTS)), *(F.covar_pop(PARTS[i], PARTS[j]).alias(f"c{i}{j}") for i in n for j in range(i + 1)))
-        cov = {(i, j): F.col(f"c{i}{j}") * CONSISTENCY + (FLOORS[PARTS[i]] ** 2 if i == j else 0.0) for i in n for j in range(i + 1)}
-        model = written(sums.select(*keys, *(f"m{i}" for i in n), *(c.alias(k) for k, c in factors(cov).items())), "model")
+    centre = rows.groupBy(*keys).agg(*(F.percentile_approx(p, 0.5, ACCURACY).alias(f"m{i}") for i, p in enumerate(PARTS)))
+    spread = by_group(rows, written(centre, "centre")).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in n), *(F.percentile_approx(F.abs(F.col(p) - F.col(f"m{i}")), 0.5, ACCURACY).alias(f"s{i}") for i, p in enumerate(PARTS)))
+    scale = written(spread.select(*keys, *(f"m{i}" for i in n), *(F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[PARTS[i]] ** 2).alias(f"s{i}") for i in n)), "scale")
+    placed = by_group(rows, scale).withColumns({f"z{i}": (F.col(p) - F.col(f"m{i}")) / F.col(f"s{i}") for i, p in enumerate(PARTS)})
+    placed = placed.withColumn("size", F.sqrt(sum((F.col(f"z{i}") ** 2 for i in n), F.lit(0.0))))
+    half = by_group(placed, written(placed.groupBy(*keys).agg(F.percentile_approx("size", 0.5, ACCURACY).alias("half")), "half"))
+    bounded = {1: lambda i: F.col(f"z{i}") / F.greatest("size", F.lit(1e-9)), 2: lambda i: F.tanh(f"z{i}"), 3: lambda i: F.when(F.col("size") <= F.col("half"), F.col(f"z{i}"))}
+    sums = half.groupBy(*keys).agg(*(F.first(f"{x}{i}").alias(f"{x}{i}") for x in "ms" for i in n), *(F.covar_pop(f(i), f(j)).alias(f"c{k}{i}{j}") for k, f in bounded.items() for i in n for j in range(i + 1)))
+    shape = lambda k, i, j: (F.lit(1.0 if i == j else 0.0) if k == 0 else F.col(f"c{k}{i}{j}") + (0.05 if i == j else 0.0)) * F.col(f"s{i}") * F.col(f"s{j}")
+    each = sums.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    cov = {}
+    for i in n:
+        for j in range(i + 1):
+            chosen = shape(0, i, j)
+            for k in bounded:
+                chosen = F.when(F.col("start") == k, shape(k, i, j)).otherwise(chosen)
+            cov[i, j] = chosen
+    return model_of(each, [*keys, "start"], cov)
+
+
+def robust_models(rows: DataFrame) -> DataFrame:
+    """(g_lang, g_source, m0.., l00.., det): centre and Cholesky factor of each group, of the least determinant found."""
+    keys = ["g_lang", "g_source"]
+    each = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    model = starts(rows)
+    for _ in range(FIRST_STEPS):
+        model = concentrated(each, model, [*keys, "start"])
+    best = model.groupBy(*keys).agg(F.min(F.struct("det", "start", *(c for c in model.columns if c[0] in "ml"))).alias("best"))
+    model = written(best.select(*keys, "best.*").drop("start"), "model")
+    for _ in range(LAST_STEPS):
+        after = concentrated(rows, model, keys)
+        falls = after.join(model.select(*keys, F.col("det").alias("before")), keys).where("det < before - 1e-9").limit(1).count()
+        model = written(model.withColumn("old", F.lit(1)).unionByName(after.withColumn("old", F.lit(0))).groupBy(*keys).agg(F.min(F.struct("det", "old", *(c for c in model.columns if c[0] in "ml"))).alias("best")).select(*keys, "best.*").drop("old"), "model")
+        if not falls:
+            break
     return model
 
 

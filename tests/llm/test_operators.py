@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelloom.llm import bpe, common, embeddings, licences, minhash, packing, quality, secrets, suffixes, toxicity, warc
 from pixelloom.llm.vocabulary import byte_bpe, default_vocabulary, encode_to_array, reference_tokenizer
@@ -71,6 +72,54 @@ def test_quality_outliers(spark):
     assert all(kept == (i < 1000) for i, kept in got.items())
 
 
+def mcd(x):
+    """Squared distances by the same estimate in numpy: starts, concentration, least determinant."""
+    floors = np.diag([f**2 for f in quality.FLOORS.values()])
+    quantile = lambda v, q: np.sort(v, axis=0)[int(np.ceil(q * len(v))) - 1]
+    centre = quantile(x, 0.5)
+    scale = np.sqrt((1.4826 * quantile(abs(x - centre), 0.5)) ** 2 + np.diag(floors))
+    z = (x - centre) / scale
+    size = np.sqrt((z**2).sum(axis=1))
+    shapes = [np.eye(4)] + [np.cov(v.T, bias=True) + 0.05 * np.eye(4) for v in (z / np.maximum(size, 1e-9)[:, None], np.tanh(z), z[size <= quantile(size, 0.5)])]
+    distances = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def step(m, c):
+        d = distances(m, c)
+        near = x[d <= quantile(d, quality.KEPT_SHARE)]
+        return near.mean(axis=0), np.cov(near.T, bias=True) * quality.CONSISTENCY + floors
+
+    found = []
+    for shape in shapes:
+        m, c = centre, shape * np.outer(scale, scale)
+        for _ in range(quality.FIRST_STEPS):
+            m, c = step(m, c)
+        found.append((np.linalg.slogdet(c)[1], m, c))
+    best = min(found, key=lambda f: f[0])
+    for _ in range(quality.LAST_STEPS):
+        m, c = step(*best[1:])
+        after = (np.linalg.slogdet(c)[1], m, c)
+        if after[0] >= best[0] - 1e-9:
+            break
+        best = after
+    return distances(*best[1:])
+
+
+def test_quality_distances_by_brute_force(spark):
+    """The verdicts and distances of each language and source from the same estimate in numpy."""
+    got = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "source", "text", F.lit(1).alias("start"), F.lit(1).alias("x0"))
+    stats = quality.judge(got).join(got.select("doc_id", "lang", "source"), "doc_id").toPandas()
+    sizes = Counter(zip(stats.lang, stats.source))
+    stats["group"] = [(x, y) if sizes[x, y] >= quality.LEAST_ROWS else "*" for x, y in zip(stats.lang, stats.source)]
+    checked = 0
+    for _, rows in stats[~stats.base_failed].groupby("group"):
+        more = rows.n_words + 40.0
+        x = np.column_stack([(rows.word_chars + 200) / more, np.arcsinh(20 * rows.n_symbols / more), np.arcsinh(20 * rows.n_dup_lines / more), np.arcsinh(10 * rows.n_repeat_words / more)])
+        assert np.allclose(mcd(x), rows.d2, rtol=1e-6, atol=1e-9)
+        assert (rows.kept == (rows.d2 <= quality.LIMIT)).all()
+        checked += len(rows)
+    assert checked > 500
+
+
 @pytest.mark.parametrize("common", [0, 50, bpe.COMMON_WORDS])
 def test_bpe(docs, corpus, empty, common):
     vocabulary = default_vocabulary()
