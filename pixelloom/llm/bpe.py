@@ -9,6 +9,7 @@ bytes of the others are joined back by document and position, so no size of voca
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import uuid
 from collections import Counter
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -30,19 +32,29 @@ from pixelloom.llm.vocabulary import byte_bpe, encode_to_array, piece_table
 COMMON_WORDS, COMMON_LETTERS = 1 << 19, 40
 #: So many of them are sent with a comma and with a full stop at their end too.
 ENDED_WORDS = 1 << 16
+#: Letters whose words are counted at a time.
+COUNTED = 1 << 23
 #: Marks a word that stands as it is; other words have a space before them, or begin with a line feed.
 BARE = "\n\n"
 
 # \x1c to \x1f are white space for Python, not for the vocabulary.
 _two_spaces = re.compile("[^\\S\x1c-\x1f]{2}").search
+_doubles, _odd_spaces = ("  ", "\n\n", " \n", "\n "), "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n\x1c\x1d\x1e\x1f")
 _runs = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+").findall
 
 
+def single_spaced(text: str) -> bool:
+    """Whether no white space follows other white space; searches for fixed strings, as most texts have no odd ones."""
+    if any(map(text.__contains__, _doubles)):
+        return False
+    return not any(map(text.__contains__, _odd_spaces)) or not _two_spaces(text)
+
+
 def split_words(text: str) -> list[str]:
     """The words of a text, as keys; ``word_text`` gives their texts, which make up the whole text in order."""
     if not text:
         return []
-    if _two_spaces(text):
+    if not single_spaced(text):
         return [BARE + run for run in _runs(text)]
     words = text.replace("\n", " \n").split(" ")
     words[0] = BARE + words[0]
@@ -63,15 +75,35 @@ def stem(key: str) -> str | None:
 def distinct_words(docs: DataFrame) -> DataFrame:
     """(word, n): every distinct word and how often it stands in the corpus; counted within tasks first."""
 
+    def counted(texts: list[str]) -> pa.RecordBatch:
+        plain, other = [], []
+        for text in texts:
+            if text:
+                (plain if single_spaced(text) else other).append(text)
+        lists = pc.split_pattern(pc.replace_substring(pa.array(plain, pa.large_string()), "\n", " \n"), " ")
+        first = lists.offsets.to_numpy()[:-1]
+        rest = np.ones(len(lists.values), bool)
+        rest[first] = False
+        raw: Counter[str] = Counter(BARE + w for w in lists.values.take(pa.array(first)).to_pylist())
+        for text in other:
+            raw.update(split_words(text))
+        found: Counter[str] = Counter()
+        some = pc.value_counts(lists.values.filter(pa.array(rest)))
+        for key, n in itertools.chain(raw.items(), zip(some.field(0).to_pylist(), some.field(1).to_pylist(), strict=True)):
+            found[stem(key) or key] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        size = 0
         for batch in batches:
-            raw: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
-                raw.update(split_words(text or ""))
-            found: Counter[str] = Counter()
-            for key, n in raw.items():
-                found[stem(key) or key] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+                held.append(text or "")
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+        yield counted(held)
 
     return columns(docs, "text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -204,15 +236,14 @@ def encode(docs: DataFrame, vocabulary: str, common: int = COMMON_WORDS) -> Enco
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = known.table()[0]
         for batch in batches:
-            ids, marks, places, asked = [], [], [], []
-            for doc_id, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            counts, asked = [], []
+            for text in batch.column(2).to_pylist():
                 missing = look_up(text or "", found)[1]
-                n = len(missing)
-                ids += [doc_id] * n
-                marks += [mark] * n
-                places += range(n)
+                counts.append(len(missing))
                 asked += [word for _, word, _ in missing]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, marks, places, asked), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "mark", "k", "word"])
+            row = np.repeat(np.arange(len(counts)), counts)
+            place = np.arange(len(row)) - np.repeat(np.cumsum([0, *counts])[:-1], counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place, pa.int32()), pa.array(asked, pa.string())], names=["doc_id", "mark", "k", "word"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: what was shuffled for it goes as soon as it is there, and few texts at a time go to Python.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 _own_folder: list[str] = []
 
@@ -33,12 +34,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pixelloom-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    held = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # what was shuffled for the table goes as soon as it is written
+    held = {key: spark.conf.get(key) for key in WRITING}
     try:
+        for key, value in WRITING.items():
+            spark.conf.set(key, value)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, held)
+        for key, value in held.items():
+            spark.conf.set(key, value)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)

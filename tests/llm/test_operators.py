@@ -156,6 +156,7 @@ def test_bpe_words_are_cut_where_tokens_are():
     for _ in range(3000):
         text = "".join(rng.choice(letters, int(rng.integers(1, 12))))
         words = bpe.split_words(text)
+        assert bpe.single_spaced(text) == (not re.search("[^\\S\x1c-\x1f]{2}", text))
         assert "".join(map(bpe.word_text, words)) == text
         ids = [int(x) for w in words for part in ([bpe.word_text(w)] if not bpe.stem(w) else [bpe.word_text(bpe.stem(w)), w[-1]]) for x in encode_to_array(fast, part)]
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
