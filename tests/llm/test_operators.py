@@ -51,6 +51,29 @@ def test_near_duplicates(docs, corpus, empty, monkeypatch, small):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_in_large_open_buckets(spark, monkeypatch):
+    """Many components in one bucket, with pairs at exactly the limit; blocks of few members and few bytes, against brute force."""
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2000)
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(32)]  # of 28 shingles two texts share 24 if four words at the end differ: 24 / 32 is the limit
+        texts.append(" ".join(words))
+        for n in (5, 4, 3):
+            texts.append(" ".join([*words[:-n], *(f"y{k}z{i}" for i in range(n))]))
+    ids = rng.permutation(len(texts))
+    docs = spark.createDataFrame([(int(i), t) for i, t in zip(ids, texts)], "doc_id long, text string")
+    rest = spark.createDataFrame([(7, int(i), int(i) if i % 3 else 0, len(texts)) for i in ids], "key long, id long, component long, n long")
+    got = {(r.a, r.b) for r in minhash.across_blocks(rest, docs).collect()}
+    sets = {int(i): shingles(t) for i, t in zip(ids, texts)}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    component = lambda i: i if i % 3 else 0
+    want = {(component(a), component(b)) for a in sets for b in sets if near(a, b) and component(a) < component(b)}
+    assert all(near(a, b) for a, b in got)
+    assert {tuple(sorted((component(a), component(b)))) for a, b in got} == want and len(want) > 5
+
+
 def test_quality_counts(docs, corpus, empty):
     def count(t):
         words = WORD.findall(t)
@@ -430,16 +453,123 @@ def test_licences_by_brute_force(spark):
     assert {r.doc_id: (r.families, r.n_licence, r.n_unknown) for r in licences.scan(table).collect()} == want
 
 
-def test_pipeline_stages(spark, docs):
+def brute_quality(rows):
+    """Rows that the quality rules keep; groups of few rows are judged together."""
+    sizes = Counter((r[2], r[3]) for r in rows)
+    groups = defaultdict(list)
+    for k, r in enumerate(rows):
+        words = WORD.findall(r[1] or "")
+        windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        again = {j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+        if len(words) >= 10 and 100 * len(again) <= 20 * len(words):
+            lines = [x for x in r[1].split("\n") if WORD.search(x)]
+            more = len(words) + 40
+            x = (sum(map(len, words)) + 200) / more, np.arcsinh(20 * sum(c in "#*$%&|<>" for c in r[1]) / more), np.arcsinh(20 * (len(lines) - len(set(lines))) / more), np.arcsinh(10 * len(again) / more)
+            groups[(r[2], r[3]) if sizes[r[2], r[3]] >= quality.LEAST_ROWS else "*"].append((k, x))
+    kept = []
+    for some in groups.values():
+        kept += [k for (k, _), d in zip(some, mcd(np.array([x for _, x in some])), strict=True) if d <= quality.LIMIT]
+    return [rows[k] for k in kept]
+
+
+def brute_near_dedup(rows):
+    sets = [shingles(r[1] or "") for r in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                shared = len(sets[i] & sets[j])
+                if shared and 100 * shared >= 75 * len(sets[i] | sets[j]):
+                    group[i] = group[j] = min(group[i], group[j])
+    return [(group[i], rows[i], not sets[i]) for i in range(len(rows))]
+
+
+def brute_suffixes(rows):
+    raw = [(r[1] or "").encode() for r in rows]
+    seen = Counter(x[k : k + 200] for x in raw for k in range(len(x) - 199))
+    out = []
+    for r, x in zip(rows, raw, strict=True):
+        gone = bytearray(len(x))
+        for k in range(len(x) - 199):
+            if seen[x[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        text = None if r[1] is None else bytes(c for c, g in zip(x, gone, strict=True) if not g).decode("utf-8", "ignore")
+        out.append((r[0], text, *r[2:4], None if text is None else len(text) if any(gone) else r[4]))
+    return out
+
+
+def test_pipeline_by_brute_force(spark, corpus, tmp_path):
+    """Every stage on what the one before kept, by brute force; and run() over a folder gives what the stages give."""
+    import corpus_pipeline
+
+    extra = ("key", "row", "id", "n", "spans", "base", "all", "a", "o", "hash", "said", "component_id", "d2")
+    clean = [(500 + i, " ".join(f"v{(i * 31 + k * k) % 997}q{k % 7}" for k in range(60 + i)) + (f" token = AbCdEf123456GhIjKl{i} AKIAABCDEFGHIJKLMN{i} end" if i % 4 == 0 else ""), "en", "s0", 5) for i in range(30)]
+    docs = spark.createDataFrame([*corpus, *clean], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in extra})
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    plain = lambda df: [tuple(r)[:5] for r in df.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, rows):
+        path = str(tmp_path / name)
+        stages[name](spark, rows, str(tmp_path)).write.parquet(path)
+        got = spark.read.parquet(path)
+        assert got.columns == docs.columns
+        return got
+
+    judged = after("quality_rules", rows)
+    assert Counter(plain(judged)) == Counter(brute_quality(plain(rows)))
+    once = after("near_dedup", judged)
+    groups = defaultdict(list)
+    for g, r, alone in brute_near_dedup(plain(judged)):
+        groups[g if not alone else object()].append(r)
+    left = Counter(plain(once))
+    assert sum(left.values()) == len(groups)
+    for some in groups.values():  # one row of each group, of the least id
+        least = min((r[0] is None, r[0] or 0) for r in some)
+        assert sum(left[r] for r in set(some) if (r[0] is None, r[0] or 0) == least) >= 1
+    cut = after("suffix_dedup", once)
+    text_of = lambda rows: Counter((r[0], r[1]) for r in rows)
+    assert text_of(plain(cut)) == text_of(brute_suffixes(plain(once)))
+    clean = after("secret_redaction", cut)
+    spans = {(r.doc_id, r.n): r.spans for r in secrets.digests(cut).join(cut.select(F.col("doc_id").alias("d"), "n"), F.col("doc_id").eqNullSafe(F.col("d"))).collect()}
+    want = Counter()
+    for r in plain(cut):
+        out, at = "", 0
+        for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in spans[r[0], 1].split(",") if x):
+            if a >= at:
+                out += r[1][at:a] + "[SECRET]"
+            at = max(at, b)
+        want[r[0], out + r[1][at:] if at else r[1]] += 1
+    assert text_of(plain(clean)) == want and any("[SECRET]" in (t or "") for _, t in want)
+    tokenizer = reference_tokenizer(default_vocabulary())
+    pieces = Counter()
+    for r in plain(clean):
+        ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
+        edges = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
+        pieces.update((r[0], k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == pieces
+    used = defaultdict(int)
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048 and len(used) == -(-sum(used.values()) // 2048)
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
     import corpus_pipeline
 
-    names = ["doc_id", "text", "lang", "source", "n_chars"]
-    rows = docs.select(*names)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        rows = stage(spark, rows, "")
-        assert rows.columns == names
-        rows = spark.createDataFrame(rows.collect(), rows.schema)
-    assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() >= rows.count() > 0
+    schema = "text string, doc_id long, n_chars int, lang string, source string"
+    rng = np.random.default_rng(6)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 150_000))  # over 1 MB
+    for name, rows in (("empty", []), ("nulls", [(None, None, None, None, None)] * 3), ("long", [(long, 1, 7, "en", "s"), ("short " + long[:900_000], 2, 8, "en", None), ("", 3, 0, None, None)])):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            made = stage(spark, docs, "")
+            assert made.schema.simpleString() == docs.schema.simpleString() and made.count() <= docs.count()
+        assert (corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 100) == (name == "long")
 
 
 def test_pipeline_stages_decide_row_by_row(spark):
