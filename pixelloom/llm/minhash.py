@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ BINS, BAND = 128, 4
 PERCENT = 75
 #: Open buckets of more members than SMALL are compared block by block.
 SMALL, BLOCK = 64, 1024
+#: A block holds at most so many bytes of hashes, or one set.
+BLOCK_BYTES = 1 << 23
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 21
 
@@ -195,21 +198,40 @@ def across_blocks(rest: DataFrame, docs: DataFrame, percent: int = PERCENT) -> D
                 made = [s.tobytes() for s in shingle_sets(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "s"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at, part, size = None, 0, 0
+
+        def block() -> pa.RecordBatch:
+            _, ids, components, sets = zip(*held, strict=True)
+            head = np.array([len(held), *ids, *components, *map(len, sets)], np.int64)
+            blob = zstandard.compress(head.tobytes() + b"".join(sets))
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.string()), pa.array([part], pa.int32()), pa.array([held[0][0]], pa.int64()), pa.array([blob], pa.binary())], names=["key", "sub", "part", "own", "blob"])
+
+        for batch in batches:
+            for key, sub, own, i, component, s in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if held and (at != (key, sub) or size > BLOCK_BYTES):
+                    yield block()
+                    part = part + 1 if at == (key, sub) else 0
+                    held, size = [], 0
+                at = key, sub
+                held.append((own, i, component, s))
+                size += len(s)
+        if held:
+            yield block()
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                left, right = (batch.column(i)[row].as_py() for i in range(2))
-                right = left if right is None else right  # a block with itself
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                shared, sizes = shared_counts([np.frombuffer(x["s"], np.uint64) for x in left], [np.frombuffer(x["s"], np.uint64) for x in right])
-                similar = 100 * shared / np.maximum(1, sizes - shared)
-                for i, j in zip(*np.nonzero(similar >= percent), strict=True):
-                    p, q = left[i], right[j]
-                    if p["component"] != q["component"]:
-                        (c, a), (d, b) = sorted([(p["component"], p["id"]), (q["component"], q["id"])])
-                        best[c, d] = max(best.get((c, d), (0.0, 0, 0)), (similar[i, j], a, b))
-                found = [(min(a, b), max(a, b)) for _, a, b in best.values()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+                sides = [unpacked(batch.column(i)[row].as_py()) for i in range(2) if batch.column(i)[row].is_valid]
+                (ids, components, *left), (others, theirs, *right) = sides[0], sides[-1]  # a block may meet itself
+                shared, sizes = shared_counts(left, right)
+                i, j = np.nonzero(100 * shared >= percent * np.maximum(1, sizes - shared))
+                i, j = (x[components[i] != theirs[j]] for x in (i, j))
+                low, high = np.minimum(components[i], theirs[j]), np.maximum(components[i], theirs[j])
+                _, one = np.unique(np.stack([low, high]), axis=1, return_index=True)
+                a, b = ids[i[one]], others[j[one]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     ids = rest.select("id").distinct()
     sets = columns(docs, "doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("id", "text").mapInArrow(hashes, "id long, s binary")
@@ -217,35 +239,47 @@ def across_blocks(rest: DataFrame, docs: DataFrame, percent: int = PERCENT) -> D
     own = F.when(F.col("size") >= BLOCK, F.col("component"))
     deal = matched(rest, sizes, ["key", "component"], "size")
     sub = F.concat_ws(" ", own.cast("string"), F.pmod(F.xxhash64("id"), F.ceil(F.coalesce(F.when(own.isNotNull(), F.col("size")), F.col("n")) / BLOCK)).cast("string"))
-    cut = deal.select("key", "id", "component", own.alias("own"), sub.alias("sub"))
-    blocks = written(cut.join(sets, "id").groupBy("key", "sub").agg(F.first("own").alias("own"), F.collect_list(F.struct("id", "component", "s")).alias("members")), "blocks")
-    names = blocks.select("key", "sub", "own")
-    different = (F.col("x.sub") < F.col("y.sub")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False))
-    met = names.alias("x").join(names.alias("y"), (F.col("x.key") == F.col("y.key")) & different).select("x.key", "x.sub", F.col("y.sub").alias("sub2"))
-    both = met.join(blocks.drop("own"), ["key", "sub"]).withColumnRenamed("members", "left")
-    other = blocks.select("key", F.col("sub").alias("sub2"), F.col("members").alias("right"))
-    both = both.join(other, ["key", "sub2"]).select("left", "right").union(blocks.where("own is null").select("members", F.lit(None).cast(blocks.schema["members"].dataType)))
+    cut = deal.select("key", "id", "component", own.alias("own"), sub.alias("sub")).join(sets, "id").select("key", "sub", "own", "id", "component", "s")
+    blocks = cut.repartition("key", "sub").sortWithinPartitions("key", "sub", "id").mapInArrow(pack, "key long, sub string, part int, own long, blob binary")
+    blocks = written(blocks, "blocks")
+    names = blocks.select("key", "sub", "part", "own")
+    different = ((F.col("x.sub") < F.col("y.sub")) | (F.col("x.sub") == F.col("y.sub")) & (F.col("x.part") < F.col("y.part"))) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False))
+    met = names.alias("x").join(names.alias("y"), (F.col("x.key") == F.col("y.key")) & different).select("x.key", "x.sub", "x.part", F.col("y.sub").alias("sub2"), F.col("y.part").alias("part2"))
+    both = met.join(blocks.drop("own"), ["key", "sub", "part"]).withColumnRenamed("blob", "left")
+    other = blocks.select("key", F.col("sub").alias("sub2"), F.col("part").alias("part2"), F.col("blob").alias("right"))
+    both = both.join(other, ["key", "sub2", "part2"]).select("left", "right").union(blocks.where("own is null").select("blob", F.lit(None).cast("binary")))
     return both.mapInArrow(meet, "a long, b long")
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Ids, components, all hashes one after another and sizes of the sets of a block."""
+    data = zstandard.decompress(blob)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    ids, components, sizes = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n)
+    return ids, components, np.frombuffer(data, np.uint64, -1, 8 + 24 * n), sizes // 8
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
     """How many hashes each set of one block shares with each of the other, and the sums of their sizes."""
-    flat = [np.concatenate(side) for side in (left, right)]
-    owner = [np.repeat(np.arange(len(side)), [*map(len, side)]) for side in (left, right)]
-    both = np.intersect1d(*flat)
-    total = np.zeros((len(left), len(right)), np.float32)
+    flat, lengths = zip(left, right, strict=True)
+    owner = [np.repeat(np.arange(len(n)), n) for n in lengths]
+    both = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    places = []
+    for values in flat:
+        at = np.minimum(np.searchsorted(both, values), max(0, len(both) - 1))
+        hit = np.flatnonzero(both[at] == values) if len(both) else at[:0]
+        order = hit[np.argsort(at[hit], kind="stable")]
+        places.append((at[order], order))
+    total = np.zeros((len(lengths[0]), len(lengths[1])), np.float32)
     for start in range(0, len(both), width):
-        some = both[start : start + width]
         dense = []
-        for values, rows, n in zip(flat, owner, (len(left), len(right)), strict=True):
-            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
-            hit = some[at] == values
-            m = np.zeros((n, len(some)), np.float32)
-            m[rows[hit], at[hit]] = 1
+        for (at, order), rows, n in zip(places, owner, lengths, strict=True):
+            some = slice(*np.searchsorted(at, [start, start + width]))
+            m = np.zeros((len(n), min(width, len(both) - start)), np.float32)
+            m[rows[order[some]], at[some] - start] = 1
             dense.append(m)
         total += dense[0] @ dense[1].T
-    sizes = np.add.outer(np.array([*map(len, left)]), np.array([*map(len, right)]))
-    return total, sizes
+    return total, np.add.outer(*lengths)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
