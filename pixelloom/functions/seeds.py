@@ -28,17 +28,34 @@ def gradient_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Alpha by image: none, the left half transparent, a diagonal pattern of two levels.
+ALPHA = "CASE image_id % 3 WHEN 0 THEN 255 WHEN 1 THEN CASE WHEN x < w DIV 2 THEN 0 ELSE 255 END ELSE CASE WHEN (x + y) % 3 = 0 THEN 100 ELSE 200 END END"
+
+
 def gradient_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient fixture: red along x, green along y, blue their mean."""
+    """Gradient fixture: red along x, green along y, blue their mean; alpha as ALPHA says."""
     p = explode_grid(gradient_images(spark, sf_dir))
     p = p.withColumns({"r": F.expr("CAST(x * 255 DIV (w - 1) AS INT)"), "g": F.expr("CAST(y * 255 DIV (h - 1) AS INT)")})
-    return p.withColumn("b", F.expr("CAST((r + g) DIV 2 AS INT)"))
+    return p.withColumns({"b": F.expr("CAST((r + g) DIV 2 AS INT)"), "a": F.expr(ALPHA)})
+
+
+def gradient_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels by channel: c from 0 to 2, v."""
+    return gradient_pixels(spark, sf_dir).select("image_id", "w", "h", "x", "y", F.posexplode(F.array("r", "g", "b")).alias("c", "v"))
+
+
+def gradient_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Animations of one to four frames: red moves on by 20 a frame, and a pattern of pixels that moves along is transparent."""
+    p = gradient_pixels(spark, sf_dir).withColumn("frame", F.explode(F.expr("sequence(0, CAST(image_id % 4 AS INT))")))
+    return p.select("image_id", "frame", "w", "h", "x", "y", F.expr("(r + 20 * frame) % 256").alias("r"), "g", "b", F.expr("(x + y + frame) % 3 <> 0").alias("visible"))
 
 
-GRADIENT_SQL = """
-WITH im AS (SELECT p_partkey AS image_id, CAST(4 + p_size % 13 AS INT) AS w, CAST(3 + p_size % 7 AS INT) AS h FROM part),
+GRADIENT_SQL = f"""
+WITH im AS MATERIALIZED (SELECT p_partkey AS image_id, CAST(4 + p_size % 13 AS INT) AS w, CAST(3 + p_size % 7 AS INT) AS h FROM part),
 xy AS (SELECT image_id, w, h, CAST(x AS INT) AS x, CAST(y AS INT) AS y
        FROM im, LATERAL (SELECT unnest(range(w)) AS x), LATERAL (SELECT unnest(range(h)) AS y)),
 rg AS (SELECT *, CAST(x * 255 // (w - 1) AS INT) AS r, CAST(y * 255 // (h - 1) AS INT) AS g FROM xy),
-px AS (SELECT *, CAST((r + g) // 2 AS INT) AS b FROM rg)
+px AS MATERIALIZED (SELECT *, CAST((r + g) // 2 AS INT) AS b, CAST({ALPHA.replace(" DIV ", " // ")} AS INT) AS a FROM rg),
+pc AS (SELECT image_id, w, h, x, y, 0 AS c, r AS v FROM px UNION ALL SELECT image_id, w, h, x, y, 1, g FROM px UNION ALL SELECT image_id, w, h, x, y, 2, b FROM px),
+fr AS (SELECT image_id, CAST(f AS INT) AS frame, w, h, x, y, CAST((r + 20 * f) % 256 AS INT) AS r, g, b, (x + y + f) % 3 <> 0 AS visible FROM px, LATERAL (SELECT unnest(range(CAST(image_id % 4 AS INT) + 1)) AS f))
 """

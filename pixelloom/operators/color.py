@@ -52,6 +52,7 @@ PROJECTIONS = {
     "cmyk_to_rgb_fast": {c + "2": ink(c, K) for c in "rgb"},
     "cmyk_to_rgb_float": {c + "2": ink_float(c, K) for c in "rgb"},
     "ycck_to_rgb_fast": {k: f"(({e}) * (255 - {K}) + 127) DIV 255" for k, e in ycc("r", "g", "b").items()},
+    "ycck_to_rgb_float": {k: f"CAST(bround(CAST(({e}) AS DOUBLE) * (255 - {K}) / 255.0E0, 0) AS INT)" for k, e in ycc_float("r", "g", "b").items()},
     "cmyk_invert": {c + "2": f"255 - {c}" for c in "rgb"},
     "clamp_byte": {"v": clamp("r + g - 128")},
     "png_depth_scale": {"v1": "(r >> 7) * 255", "v2": "(r >> 6) * 85", "v4": "(r >> 4) * 17"},
@@ -61,8 +62,8 @@ PROJECTIONS = {
     "bmp555_expand": {"r2": f"((({V16} >> 10) & 31) << 3) | ((({V16} >> 10) & 31) >> 2)", "g2": f"((({V16} >> 5) & 31) << 3) | ((({V16} >> 5) & 31) >> 2)", "b2": f"(({V16} & 31) << 3) | (({V16} & 31) >> 2)"},
     "bmp_mask_extract": {"r2": masked(V16, 11, 31), "g2": masked(V16, 5, 63), "b2": masked(V16, 0, 31)},
     "bmp_bgr_swap": {"r2": "b", "g2": "g", "b2": "r"},
-    "alpha_threshold": {"opaque": "CASE WHEN g >= 128 THEN 1 ELSE 0 END"},
+    "alpha_threshold": {"opaque": "CASE WHEN a >= 128 THEN 1 ELSE 0 END"},
     "jpeg_level_shift": {"down": "r - 128", "up": clamp("g - 128 + 128")},
-    "magnitude_bits": {"category": "CASE WHEN r = 128 THEN 0 ELSE CAST(floor(log2(CAST(abs(r - 128) AS DOUBLE))) AS INT) + 1 END"},
+    "magnitude_bits": {"category": "CASE WHEN r = 128 THEN 0 ELSE CAST(floor(log2(CAST(abs(r - 128) AS DOUBLE))) AS INT) + 1 END", "bits": "CASE WHEN r < 128 THEN r - 129 + (1 << (CAST(floor(log2(CAST(abs(r - 128) AS DOUBLE))) AS INT) + 1)) ELSE r - 128 END"},
     "zlib_header": {"ok": "CASE WHEN (r & 15) = 8 AND (g & 32) = 0 AND (r * 256 + g) % 31 = 0 THEN 1 ELSE 0 END"},
 }

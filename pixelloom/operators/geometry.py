@@ -13,8 +13,6 @@ ORIENTATIONS = {
 }
 MAPS = {f"orient_{n}": xy for n, xy in ORIENTATIONS.items()} | {
     "bottom_up_flip": ("x", "h - 1 - y"),
-    "edge_replicate": ("least(x + 2, w - 1)", "least(y + 2, h - 1)"),
-    "sub_rectangle": ("x + 5", "y + 4"),
 }
 
 #: The interlace pass of a pixel in PNG (Adam7) and GIF, its 8x8 block and its place in it.

@@ -1,15 +1,19 @@
 """The registered image queries. Each is one relational text: Spark runs it as DataFrame or SQL, DuckDB as its oracle.
 
-``DIV`` is integer division, ``>>`` and ``<<`` are shifts, ``grid(n)`` gives the rows 0 to n - 1. ``duck`` puts them in
-DuckDB's words; the meaning of every expression is the same in both.
+``DIV`` is integer division, ``>>`` and ``<<`` are shifts, ``EACH[a; b]`` gives a row for each whole number from a to b. ``duck``
+puts them in DuckDB's words; the meaning of every expression is the same in both. Relations are ``im``, the images, ``px``,
+their pixels, ``pc``, those by channel, and ``fr``, the pixels of animations by frame.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +28,7 @@ ORACLES: dict[str, str] = {}
 
 
 def duck(sql: str) -> str:
-    sql = sql.replace(" DIV ", " // ")
+    sql = re.sub(r"EACH\[(.+?); (.+?)\]", r"CAST(unnest(range(\1, \2 + 1)) AS INT)", sql).replace(" DIV ", " // ")
     return re.sub(r"\bbround\(", "round_even(", sql)
 
 
@@ -44,14 +48,18 @@ def mapped(name: str, x: str, y: str, where: str = "") -> None:
     ORACLES[name] = seeds.GRADIENT_SQL + f"SELECT image_id, CAST({duck(x)} AS INT) AS x, CAST({duck(y)} AS INT) AS y, r, g, b FROM px" + (f" WHERE {duck(where)}" if where else "")
 
 
+RELATIONS = {"im": seeds.gradient_images, "px": seeds.gradient_pixels, "pc": seeds.gradient_channels, "fr": seeds.gradient_frames}
+
+
 def relational(name: str, sql: str, oracle: str | None = None) -> None:
-    """A query over the relation px, written once for both engines."""
+    """A query over the relations, written once for both engines."""
+    text = re.sub(r"EACH\[(.+?); (.+?)\]", r"explode(sequence(\1, \2))", sql)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, px=seeds.gradient_pixels(spark, sf_dir))
+        return spark.sql(text, **{r: made(spark, sf_dir) for r, made in RELATIONS.items() if f"{{{r}}}" in text})
 
     QUERIES[name] = run
-    ORACLES[name] = seeds.GRADIENT_SQL + (oracle or duck(sql)).replace("{px}", "px")
+    ORACLES[name] = seeds.GRADIENT_SQL + re.sub(r"\{(\w\w)\}", r"\1", oracle or duck(sql))
 
 
 # Projections.
@@ -66,51 +74,69 @@ per_pixel("pass_and_block", **geometry.PLACES)
 # Filters, aggregates.
 relational("grayscale_mean", f"SELECT image_id, count(*) AS n, CAST(sum({color.GRAY}) AS BIGINT) AS total FROM {{px}} GROUP BY image_id")
 relational("is_gray", "SELECT image_id, bool_and(r = g AND r = b) AS gray FROM {px} GROUP BY image_id")
-relational("has_alpha", "SELECT image_id, bool_or((x + y) % 3 = 0) AS transparent, bool_and(g >= 128) AS opaque FROM {px} GROUP BY image_id")
+relational("is_gray_rgba", "SELECT image_id, bool_and(r = g AND r = b AND a = 255) AS gray FROM {px} GROUP BY image_id")
+relational("has_alpha", "SELECT image_id, bool_or(a < 128) AS transparent, bool_and(a = 255) AS opaque FROM {px} GROUP BY image_id")
 relational("channel_means", "SELECT image_id, CAST(sum(r) AS BIGINT) AS sr, CAST(sum(g) AS BIGINT) AS sg, CAST(sum(b) AS BIGINT) AS sb, count(*) AS n FROM {px} GROUP BY image_id")
-relational("image_mse", f"SELECT image_id, CAST(sum((r - {color.GRAY}) * (r - {color.GRAY}) + (b - {color.GRAY}) * (b - {color.GRAY})) AS BIGINT) AS squares, count(*) AS n FROM {{px}} GROUP BY image_id")
-relational("hist_5bit", "SELECT r >> 3 AS r5, g >> 3 AS g5, b >> 3 AS b5, count(*) AS n, CAST(sum(r) AS BIGINT) AS sr, CAST(sum(g) AS BIGINT) AS sg, CAST(sum(b) AS BIGINT) AS sb, CAST(sum(r * r + g * g + b * b) AS BIGINT) AS sq FROM {px} GROUP BY r >> 3, g >> 3, b >> 3")
-relational("wu_moments", """SELECT r5, g5, b5, CAST(sum(n1) OVER (PARTITION BY g5, b5 ORDER BY r5) AS BIGINT) AS n FROM (
-  SELECT r5, g5, b5, CAST(sum(n0) OVER (PARTITION BY r5, b5 ORDER BY g5) AS BIGINT) AS n1 FROM (
-    SELECT r5, g5, b5, CAST(sum(n) OVER (PARTITION BY r5, g5 ORDER BY b5) AS BIGINT) AS n0 FROM (
-      SELECT r >> 5 AS r5, g >> 5 AS g5, b >> 5 AS b5, count(*) AS n FROM {px} GROUP BY r >> 5, g >> 5, b >> 5) h) i) j""")
+relational("image_mse", f"SELECT image_id, CAST(sum((r - {color.GRAY}) * (r - {color.GRAY}) + (g - {color.GRAY}) * (g - {color.GRAY}) + (b - {color.GRAY}) * (b - {color.GRAY})) AS BIGINT) AS squares, count(*) AS n FROM {{px}} GROUP BY image_id")
+CELLS = "SELECT image_id, r >> 3 AS r5, g >> 3 AS g5, b >> 3 AS b5, count(*) AS n, CAST(sum(r) AS BIGINT) AS sr, CAST(sum(g) AS BIGINT) AS sg, CAST(sum(b) AS BIGINT) AS sb, CAST(sum(r * r + g * g + b * b) AS BIGINT) AS sq FROM {px} GROUP BY image_id, r >> 3, g >> 3, b >> 3"
+relational("hist_5bit", CELLS)
+# The cumulative moments of a cell are those of all cells of its image that are no further along any channel: a join of an image's
+# few occupied cells, not of the cube.
+relational("wu_moments", f"""SELECT a.image_id, a.r5, a.g5, a.b5, {", ".join(f"CAST(sum(b.{c}) AS BIGINT) AS {c}" for c in ("n", "sr", "sg", "sb", "sq"))} FROM ({CELLS}) a JOIN ({CELLS}) b
+  ON a.image_id = b.image_id AND b.r5 <= a.r5 AND b.g5 <= a.g5 AND b.b5 <= a.b5 GROUP BY a.image_id, a.r5, a.g5, a.b5""")
 relational("adler32", """SELECT image_id, CAST(s2 % 65521 * 65536 + s1 % 65521 AS BIGINT) AS adler FROM (
-  SELECT image_id, 1 + CAST(sum(r) AS BIGINT) AS s1, max(w * h) + CAST(sum(CAST(r AS BIGINT) * (w * h - y * w - x)) AS BIGINT) AS s2 FROM {px} GROUP BY image_id) s""")
+  SELECT image_id, 1 + CAST(sum(v) AS BIGINT) AS s1, max(3 * w * h) + CAST(sum(CAST(v AS BIGINT) * (3 * w * h - 3 * (y * w + x) - c)) AS BIGINT) AS s2 FROM {pc} GROUP BY image_id) s""")
 relational("status_counters", "SELECT CASE WHEN image_id % 7 = 0 THEN 'skipped' WHEN w * h > 60 THEN 'large' ELSE 'done' END AS status, count(DISTINCT image_id) AS n FROM {px} GROUP BY 1")
-relational("four_channel_guess", """SELECT image_id, CAST(sum(r) AS BIGINT) DIV count(*) AS m0, CAST(sum(abs(r - 128)) AS BIGINT) AS d0, CAST(sum(abs(g - 128)) AS BIGINT) AS d1 FROM {px} WHERE (y * w + x) % 4 = 0 GROUP BY image_id""")
+# Four channels of unknown meaning, here r, g, b and a: at most 4096 samples, their means and mean deviations, and what they say.
+SAMPLED = "(SELECT image_id, r, g, b, a FROM (SELECT image_id, y * w + x AS i, w * h DIV least(w * h, 4096) AS step, r, g, b, a FROM {px}) f WHERE i % step = 0 AND i DIV step < 4096)"
+_mean = lambda v: f"CAST((CAST(sum({v}) AS BIGINT) + count(*) DIV 2) DIV count(*) AS INT)"
+relational("four_channel_guess", f"""SELECT image_id, m0, m1, m2, m3, d1, d2, ycck, CASE WHEN ycck THEN m0 < 96 ELSE (m0 + m1 + m2) DIV 3 > 160 AND m3 > 160 END AS inverted FROM (
+  SELECT image_id, m0, m1, m2, m3, d1, d2, abs(m1 - 128) <= 20 AND abs(m2 - 128) <= 20 AND d1 <= 55 AND d2 <= 55 AS ycck FROM (
+    SELECT s.image_id, m0, m1, m2, m3, {_mean("abs(s.g - m1)")} AS d1, {_mean("abs(s.b - m2)")} AS d2 FROM {SAMPLED} s JOIN (
+      SELECT image_id, {_mean("r")} AS m0, {_mean("g")} AS m1, {_mean("b")} AS m2, {_mean("a")} AS m3 FROM {SAMPLED} t GROUP BY image_id) m ON s.image_id = m.image_id GROUP BY s.image_id, m0, m1, m2, m3) d) e""")
 
 # Windows.
-relational("png_up_filter", "SELECT image_id, x, y, (r - coalesce(lag(r) OVER (PARTITION BY image_id, x ORDER BY y), 0) + 256) % 256 AS v FROM {px}")
-relational("png_up_unfilter", "SELECT image_id, x, y, CAST(sum(v) OVER (PARTITION BY image_id, x ORDER BY y) % 256 AS INT) AS r FROM (SELECT image_id, x, y, (r - coalesce(lag(r) OVER (PARTITION BY image_id, x ORDER BY y), 0) + 256) % 256 AS v FROM {px}) f")
-relational("png_sub_unfilter", "SELECT image_id, x, y, CAST(sum(v) OVER (PARTITION BY image_id, y ORDER BY x) % 256 AS INT) AS r FROM (SELECT image_id, x, y, (r - coalesce(lag(r) OVER (PARTITION BY image_id, y ORDER BY x), 0) + 256) % 256 AS v FROM {px}) f")
-NEIGHBOURS = """SELECT image_id, x, y, r, a, b, coalesce(lag(b) OVER (PARTITION BY image_id, y ORDER BY x), 0) AS c FROM (
-  SELECT image_id, x, y, r, coalesce(lag(r) OVER (PARTITION BY image_id, y ORDER BY x), 0) AS a, coalesce(lag(r) OVER (PARTITION BY image_id, x ORDER BY y), 0) AS b FROM {px}) n"""
-relational("png_avg_forward", f"SELECT image_id, x, y, CAST((r - (a + b) DIV 2 + 256) % 256 AS INT) AS v FROM ({NEIGHBOURS}) m")
-relational("png_paeth_forward", f"SELECT image_id, x, y, (r - CASE WHEN abs(b - c) <= abs(a - c) AND abs(b - c) <= abs(a + b - 2 * c) THEN a WHEN abs(a - c) <= abs(a + b - 2 * c) THEN b ELSE c END + 256) % 256 AS v FROM ({NEIGHBOURS}) m")
-relational("dc_diff", "SELECT image_id, y, v - coalesce(lag(v) OVER (PARTITION BY image_id ORDER BY y), 0) AS diff FROM (SELECT image_id, y, CAST(sum(r - 128) AS BIGINT) DIV 8 AS v FROM {px} GROUP BY image_id, y) d")
-relational("ac_runs", "SELECT image_id, k, v, k - coalesce(lag(k) OVER (PARTITION BY image_id ORDER BY k), -1) - 1 AS run FROM (SELECT image_id, y * w + x AS k, (r * 7 + g * 3) % 5 - 2 AS v FROM {px}) q WHERE v <> 0")
-relational("first_frame", "SELECT image_id, x, r FROM (SELECT image_id, x, y, r, row_number() OVER (PARTITION BY image_id, x ORDER BY y) AS n FROM {px}) f WHERE n = 1")
-relational("gif_composite_last", "SELECT image_id, x, y, CAST(last_value(v) IGNORE NULLS OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS v FROM (SELECT image_id, x, y, CASE WHEN (x + y) % 3 <> 0 THEN r END AS v FROM {px}) f",
-           "SELECT image_id, x, y, CAST(last_value(v IGNORE NULLS) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS v FROM (SELECT image_id, x, y, CASE WHEN (x + y) % 3 <> 0 THEN r END AS v FROM px) f")
+UP, LEFT = "coalesce(lag(v) OVER (PARTITION BY image_id, c, x ORDER BY y), 0)", "coalesce(lag(v) OVER (PARTITION BY image_id, c, y ORDER BY x), 0)"
+relational("png_up_filter", f"SELECT image_id, c, x, y, (v - {UP} + 256) % 256 AS f FROM {{pc}}")
+relational("png_up_unfilter", f"SELECT image_id, c, x, y, CAST(sum(f) OVER (PARTITION BY image_id, c, x ORDER BY y) % 256 AS INT) AS v FROM (SELECT image_id, c, x, y, (v - {UP} + 256) % 256 AS f FROM {{pc}}) q")
+relational("png_sub_unfilter", f"SELECT image_id, c, x, y, CAST(sum(f) OVER (PARTITION BY image_id, c, y ORDER BY x) % 256 AS INT) AS v FROM (SELECT image_id, c, x, y, (v - {LEFT} + 256) % 256 AS f FROM {{pc}}) q")
+NEIGHBOURS = f"""SELECT image_id, k, x, y, v, a, b, coalesce(lag(b) OVER (PARTITION BY image_id, k, y ORDER BY x), 0) AS c FROM (
+  SELECT image_id, c AS k, x, y, v, {LEFT} AS a, {UP} AS b FROM {{pc}}) n"""
+relational("png_avg_forward", f"SELECT image_id, k, x, y, CAST((v - (a + b) DIV 2 + 256) % 256 AS INT) AS f FROM ({NEIGHBOURS}) m")
+relational("png_paeth_forward", f"SELECT image_id, k, x, y, (v - CASE WHEN abs(b - c) <= abs(a - c) AND abs(b - c) <= abs(a + b - 2 * c) THEN a WHEN abs(a - c) <= abs(a + b - 2 * c) THEN b ELSE c END + 256) % 256 AS f FROM ({NEIGHBOURS}) m")
+relational("dc_diff", dct.DC_DIFF)
+relational("ac_symbols", dct.AC_SYMBOLS)
+relational("zigzag_order", dct.ZIGZAG_ORDER)
+relational("first_frame", "SELECT image_id, x, y, r, g, b FROM (SELECT image_id, x, y, r, g, b, row_number() OVER (PARTITION BY image_id, x, y ORDER BY frame) AS n FROM {fr}) f WHERE n = 1")
+COMPOSITE = "SELECT image_id, frame, x, y, " + ", ".join(f"CAST(coalesce(last_value({c}) IGNORE NULLS OVER (PARTITION BY image_id, x, y ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS INT) AS {c}" for c in "rgb") + " FROM (SELECT image_id, frame, x, y, " + ", ".join(f"CASE WHEN visible THEN {c} END AS {c}" for c in "rgb") + " FROM {fr}) f"
+relational("gif_composite", COMPOSITE, re.sub(r"last_value\((\w)\) IGNORE NULLS", r"last_value(\1 IGNORE NULLS)", COMPOSITE))
 
 # Joins.
-PALETTE = "(SELECT DISTINCT image_id, x AS idx, r AS pr, g AS pg, b AS pb FROM {px} WHERE y = 1)"
+PALETTE = "(SELECT DISTINCT image_id, x AS idx, r AS pr, g AS pg, b AS pb, a AS pa FROM {px} WHERE y = 1)"
 relational("palette_join", f"SELECT p.image_id, p.x, p.y, coalesce(pr, 0) AS r, coalesce(pg, 0) AS g, coalesce(pb, 0) AS b FROM (SELECT image_id, x, y, (r + y) % 20 AS idx FROM {{px}}) p LEFT JOIN {PALETTE} q ON p.image_id = q.image_id AND p.idx = q.idx")
-relational("palette_trns", f"SELECT p.image_id, p.x, p.y, coalesce(pr, 255) AS a FROM (SELECT image_id, x, y, (g + x) % 30 AS idx FROM {{px}}) p LEFT JOIN {PALETTE} q ON p.image_id = q.image_id AND p.idx = q.idx")
-relational("nearest_palette", """SELECT r5, g5, b5, CAST(min(d * 64 + i) % 64 AS INT) AS idx FROM (
+relational("palette_trns", f"SELECT p.image_id, p.x, p.y, coalesce(pa, 255) AS a FROM (SELECT image_id, x, y, (g + x) % 30 AS idx FROM {{px}}) p LEFT JOIN {PALETTE} q ON p.image_id = q.image_id AND p.idx = q.idx")
+NEAREST = """SELECT r5, g5, b5, CAST(min(d * 64 + i) % 64 AS INT) AS idx FROM (
   SELECT r5, g5, b5, i, (8 * r5 + 4 - 85 * (i % 4)) * (8 * r5 + 4 - 85 * (i % 4)) + (8 * g5 + 4 - 85 * (i DIV 4 % 4)) * (8 * g5 + 4 - 85 * (i DIV 4 % 4)) + (8 * b5 + 4 - 85 * (i DIV 16)) * (8 * b5 + 4 - 85 * (i DIV 16)) AS d
-  FROM (SELECT DISTINCT r >> 3 AS r5, g >> 3 AS g5, b >> 3 AS b5 FROM {px}) c JOIN (SELECT DISTINCT (x % 8) * 8 + y % 8 AS i FROM {px}) k ON TRUE) t GROUP BY r5, g5, b5""")
-relational("image_compare", "SELECT a.image_id, count(*) AS n, CAST(sum(CASE WHEN a.r <> b.r THEN 1 ELSE 0 END) AS BIGINT) AS differing, max(abs(a.r - b.r)) AS furthest FROM {px} a JOIN (SELECT image_id, w - 1 - x AS x, y, r FROM {px}) b ON a.image_id = b.image_id AND a.x = b.x AND a.y = b.y GROUP BY a.image_id")
+  FROM (SELECT r5, g5, b5, EACH[0; 63] AS i FROM (SELECT DISTINCT r >> 3 AS r5, g >> 3 AS g5, b >> 3 AS b5 FROM {px}) c) e) t GROUP BY r5, g5, b5"""
+relational("nearest_palette", NEAREST)
+relational("lut_apply", f"SELECT p.image_id, p.x, p.y, q.idx, CAST(85 * (q.idx % 4) AS INT) AS r, CAST(85 * (q.idx DIV 4 % 4) AS INT) AS g, CAST(85 * (q.idx DIV 16) AS INT) AS b FROM {{px}} p JOIN ({NEAREST}) q ON p.r >> 3 = q.r5 AND p.g >> 3 = q.g5 AND p.b >> 3 = q.b5")
+relational("edge_replicate", dct.EDGE_REPLICATE)
+# The image as a frame at (3, 2) of a canvas two larger each way: what lies beyond is cut off, what isn't painted is background.
+relational("sub_rectangle", """SELECT c.image_id, c.x, c.y, coalesce(p.r, 7) AS r, coalesce(p.g, 7) AS g, coalesce(p.b, 7) AS b FROM (
+  SELECT image_id, x, EACH[0; h + 1] AS y FROM (SELECT image_id, h, EACH[0; w + 1] AS x FROM {im}) i) c LEFT JOIN {px} p ON p.image_id = c.image_id AND p.x = c.x - 3 AND p.y = c.y - 2""")
+# Against the mirror image without its last row: pixels of one side alone count as missing.
+relational("image_compare", """SELECT coalesce(a.image_id, b.image_id) AS image_id, count(*) AS n, CAST(sum(CASE WHEN a.r IS NULL OR b.r IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN a.r <> b.r OR a.g <> b.g OR a.b <> b.b THEN 1 ELSE 0 END) AS BIGINT) AS differing, max(greatest(abs(a.r - b.r), abs(a.g - b.g), abs(a.b - b.b))) AS furthest
+  FROM (SELECT image_id, x, y, r, g, b FROM {px} WHERE x > 0) a FULL OUTER JOIN (SELECT image_id, w - 1 - x AS x, y, r, g, b FROM {px} WHERE y < h - 1) b ON a.image_id = b.image_id AND a.x = b.x AND a.y = b.y GROUP BY coalesce(a.image_id, b.image_id)""")
 relational("skip_existing", "SELECT a.image_id, a.w FROM (SELECT DISTINCT image_id, w FROM {px}) a LEFT JOIN (SELECT DISTINCT image_id FROM {px} WHERE r = 255 AND h > 5) b ON a.image_id = b.image_id WHERE b.image_id IS NULL")
-relational("frame_names", "SELECT DISTINCT concat('frame_', lpad(CAST(y AS STRING), 3, '0'), '.png') AS name FROM {px}")
+relational("frame_names", "SELECT DISTINCT image_id, frame, concat('image', CAST(image_id AS STRING), '_', CASE WHEN frame < 1000 THEN lpad(CAST(frame AS STRING), 3, '0') ELSE CAST(frame AS STRING) END, '.png') AS name FROM {fr}")
 
 # Resampling.
 relational("resize_area", resample.AREA.replace("DST_W", "3").replace("DST_H", "2"))
 relational("resize_bilinear", resample.BILINEAR.replace("DST_W", "9").replace("DST_H", "7"))
 relational("resize_bicubic", resample.BICUBIC.replace("DST_W", "9").replace("DST_H", "7"))
 relational("fit_dims", resample.FIT)
-relational("chroma_down_2x2", "SELECT image_id, CAST(x DIV 2 AS INT) AS x, CAST(y DIV 2 AS INT) AS y, CAST((sum(g * (CASE WHEN x = w - 1 AND x % 2 = 0 THEN 2 ELSE 1 END) * (CASE WHEN y = h - 1 AND y % 2 = 0 THEN 2 ELSE 1 END)) + 2) DIV 4 AS INT) AS v FROM {px} GROUP BY image_id, x DIV 2, y DIV 2")
-relational("chroma_up_nearest", "SELECT a.image_id, a.x, a.y, b.g AS cb FROM {px} a JOIN {px} b ON a.image_id = b.image_id AND b.x = a.x DIV 2 AND b.y = a.y DIV 2")
+relational("chroma_down_2x2", f"SELECT image_id, CAST(x DIV 2 AS INT) AS x, CAST(y DIV 2 AS INT) AS y, CAST((sum({resample.CB.replace('{p}.', '')} * (CASE WHEN x = w - 1 AND x % 2 = 0 THEN 2 ELSE 1 END) * (CASE WHEN y = h - 1 AND y % 2 = 0 THEN 2 ELSE 1 END)) + 2) DIV 4 AS INT) AS cb FROM {{px}} GROUP BY image_id, x DIV 2, y DIV 2")
+relational("chroma_up_nearest", resample.CHROMA_NEAREST)
 relational("chroma_up_linear", resample.CHROMA_LINEAR)
 
 # Block transforms.
@@ -153,7 +179,30 @@ def _with_alpha(image):
 
 through_codec("png_rgba_roundtrip", lambda image: png.decode(png.encode(_with_alpha(image)), alpha=True)[:, :, [3, 1, 2]])
 through_codec("gif_rgba_mask_roundtrip", lambda image: gif.decode(gif.encode([_with_alpha(image)]))[0][0][:, :, [3, 3, 3]], "CASE WHEN r >= 128 THEN 255 ELSE 0 END AS r, CASE WHEN r >= 128 THEN 255 ELSE 0 END AS g, CASE WHEN r >= 128 THEN 255 ELSE 0 END AS b")
+
+
+def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+
+
 QUERIES["crc32_bytes"] = lambda spark, sf_dir: seeds.table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"), F.length(F.encode("text", "UTF-8")).alias("n_bytes"))
+QUERIES["sha256_bytes"] = lambda spark, sf_dir: document_bytes(spark, sf_dir).select("doc_id", F.sha2("raw", 256).alias("sha256"))
+ORACLES["sha256_bytes"] = "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents"
+
+
+def through_bytes(name: str, through: Callable[[bytes], bytes]) -> None:
+    """Texts compressed and brought back: their hashes must be those of the texts."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(through(x)).hexdigest() for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "sha256"])
+
+    QUERIES[name] = lambda spark, sf_dir: document_bytes(spark, sf_dir).mapInArrow(run, "doc_id long, sha256 string")
+    ORACLES[name] = ORACLES["sha256_bytes"]
+
+
+through_bytes("zlib_roundtrip", lambda raw: zlib.decompress(zlib.compress(raw, 6)))
+through_bytes("lzw_roundtrip", lambda raw: gif.lzw_decode(gif.lzw_encode(raw, 8), 8, len(raw)))
 
 
 # JPEG is lossy: its queries give, per pixel and channel, 1 where the value that comes back is near enough.
@@ -162,6 +211,8 @@ def bounded(name: str, through: Callable, most: int) -> None:
 
 
 bounded("jpeg_444_bounded", lambda image: jpeg.decode(jpeg.encode(image, 100, subsample=False)), 8)
+# Halved colour loses nothing where it is the same all over: gray levels as three channels.
+bounded("jpeg_420_bounded", lambda image: jpeg.decode(jpeg.encode(np.repeat(image[:, :, 2:], 3, axis=2), 100, subsample=True)).astype(int) + (image.astype(int) - image[:, :, 2:]), 8)
 bounded("jpeg_gray_bounded", lambda image: jpeg.decode(jpeg.encode(image[:, :, 0], 100)) + (image - image[:, :, :1]), 4)
 
 
