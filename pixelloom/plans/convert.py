@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.operators import raster
 from pixelloom.sources import images
 
+#: Extensions of files where they aren't the format's name.
+EXTENSIONS = {"jpeg": "jpg"}
+
 
 def applied(rasters: DataFrame, operations: list[str]) -> DataFrame:
     """Operations on decoded rasters, in order; none, and nothing is run. They work on three channels, so alpha is dropped."""
@@ -36,11 +40,28 @@ def applied(rasters: DataFrame, operations: list[str]) -> DataFrame:
     return rasters.mapInArrow(run, rasters.schema)
 
 
-def convert(spark: SparkSession, source: str, out: str, fmt: str = "png", operations: tuple[str, ...] = (), recursive: bool = False, skip_existing: bool = False, gray: bool = False, **options) -> DataFrame:
-    """Writes (path, content) in ``fmt`` to the table ``out`` and returns (status, n). Paths already in ``out`` can be skipped; ``gray`` and ``options`` are those of ``images.encoded``."""
-    files = images.scan(spark, source, recursive)
-    if skip_existing:
-        files = files.join(spark.read.parquet(out).select("path"), "path", "left_anti")
-    rasters = applied(images.decoded(files), list(operations))
-    images.encoded(rasters, fmt, gray, **options).write.mode("append").parquet(out)
-    return rasters.groupBy("status").agg(F.count("*").alias("n"))
+def there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def convert(spark: SparkSession, source: str, out: str, fmt: str = "png", operations: tuple[str, ...] = (), recursive: bool = False, skip_existing: bool = False, gray: bool = False, files: str | None = None, **options) -> DataFrame:
+    """Writes (path, content) in ``fmt`` to the table ``out``, a partition a run, and returns (status, n) of this run.
+
+    Paths that are in ``out`` can be skipped; ``gray`` and ``options`` are those of ``images.encoded_or_not``. Files are read,
+    decoded and encoded once; what fails is counted on the way. With ``files`` the contents go to image files in that folder
+    too, see ``images.saved``.
+    """
+    found = images.scan(spark, source, recursive)
+    if skip_existing and there(spark, out):
+        found = found.join(spark.read.parquet(out).select("path"), "path", "left_anti")
+    run, seen = uuid.uuid4().hex, Observation()
+    rasters = applied(images.decoded(found), list(operations))
+    counted = images.encoded_or_not(rasters, fmt, gray, **options).observe(seen, F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"))
+    counted.where("status = 'ok'").select("path", "content", F.lit(run).alias("run")).write.mode("append").partitionBy("run").parquet(out)
+    told = dict(seen.get)
+    if files is not None and told["ok"]:
+        made = spark.read.parquet(out).where(F.col("run") == run).withColumn("status", F.lit("ok"))
+        saved = {r.status: r.n for r in images.saved(made, files, EXTENSIONS.get(fmt, fmt)).groupBy("status").agg(F.count("*").alias("n")).collect()}
+        told = {"ok": saved.get("ok", 0), "failed": told["failed"] + saved.get("failed", 0)}
+    return spark.createDataFrame([(k, n) for k, n in told.items() if n], "status string, n long")

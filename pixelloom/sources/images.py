@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelloom.codecs import bmp, gif, jpeg, png
@@ -93,27 +95,99 @@ def frames(files: DataFrame) -> DataFrame:
 
 
 def encoded(rasters: DataFrame, fmt: str, gray: bool = False, **options) -> DataFrame:
-    """(path, content): rasters as files of a format; formats without alpha drop it.
+    """(path, content) of those that ``encoded_or_not`` could encode."""
+    return encoded_or_not(rasters, fmt, gray, **options).where("status = 'ok'").select("path", "content")
 
-    With ``gray`` the gray level is stored, in one channel where the format has that. ``options`` go to the encoder, as
-    ``quality`` and ``subsample`` of JPEG.
+
+def encoded_or_not(rasters: DataFrame, fmt: str, gray: bool = False, **options) -> DataFrame:
+    """(path, content, status, error): rasters as files of a format; formats without alpha drop it.
+
+    A raster that can't be encoded, or was none, has no content and an error, and stops nothing. With ``gray`` the gray level
+    is stored, in one channel where the format has that. ``options`` go to the encoder, as ``quality`` and ``subsample`` of
+    JPEG.
     """
     encoder = ENCODERS[fmt]
 
+    def file_of(w: int, h: int, n: int, buf: bytes) -> bytes:
+        image = np.frombuffer(buf, np.uint8).reshape(h, w, n)
+        if gray:
+            image = raster.grayscale(image)
+            image = image[:, :, 0] if fmt in ("bmp", "png", "jpeg") else image
+        elif fmt == "bmp":
+            image = image[:, :, :3]
+        return encoder(image, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[tuple] = []
+            for *shape, status, error in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
+                try:
+                    made.append((file_of(*shape), "ok", None) if status == "ok" else (None, status, error))
+                except Exception as e:
+                    made.append((None, "failed", f"{type(e).__name__}: {e}"))
+            columns = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["path", "content", "status", "error"])
+
+    return rasters.select("path", "width", "height", "channels", "buf", "status", "error").mapInArrow(run, "path string, content binary, status string, error string")
+
+
+def output_names(files: DataFrame, taken: DataFrame, extension: str) -> DataFrame:
+    """``files`` with name: that of the path with another extension, numbered ``name (1)`` and so on where it is taken.
+
+    ``taken`` holds the names in the folder. Files that would share a name are numbered in the order of their paths, from
+    past the highest number in use.
+    """
+    stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
+    numbered = r"^(.*?)( \((\d{1,9})\))?\.[^.]*$"
+    used = taken.where(F.col("name").endswith("." + extension)).select(F.regexp_extract("name", numbered, 1).alias("stem"), F.coalesce(F.expr(r"try_cast(regexp_extract(name, '^(.*?)( \\((\\d{1,9})\\))?\\.[^.]*$', 3) AS INT)"), F.lit(0)).alias("n"))
+    highest = used.groupBy("stem").agg(F.max("n").alias("highest"))
+    placed = files.withColumn("stem", stem).join(highest, "stem", "left")
+    n = F.row_number().over(Window.partitionBy("stem").orderBy("path")) - 1 + F.coalesce(F.col("highest") + 1, F.lit(0))
+    return placed.withColumn("name", F.concat("stem", F.when(n > 0, F.format_string(" (%d)", n)).otherwise(""), F.lit("." + extension))).drop("stem", "highest")
+
+
+def names_in(spark: SparkSession, folder: str) -> DataFrame:
+    """(name) of the files in a folder; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "name string")
+    return spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+def saved(files: DataFrame, folder: str, extension: str) -> DataFrame:
+    """(path, name, status, error): content written as image files into a folder that executors share, none of them overwritten.
+
+    Each is written under a name of its own and then put in its place, so that a task that is run again leaves no half file;
+    a name that is there with the same bytes is its own earlier run. A file that can't be written has an error and stops
+    nothing.
+    """
+    spark = files.sparkSession
+    folder = folder.removeprefix("file://")
+    named = output_names(files.where("status = 'ok'"), names_in(spark, folder), extension).select("path", "name", "content")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
         for batch in batches:
             out = []
-            for w, h, n, buf in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                image = np.frombuffer(buf, np.uint8).reshape(h, w, n)
-                if gray:
-                    image = raster.grayscale(image)
-                    image = image[:, :, 0] if fmt in ("bmp", "png", "jpeg") else image
-                elif fmt == "bmp":
-                    image = image[:, :, :3]
-                out.append(encoder(image, **options))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
-
-    return rasters.where("status = 'ok'").select("path", "width", "height", "channels", "buf").mapInArrow(run, "path string, content binary")
+            for path, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, part = os.path.join(folder, name), os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+                try:
+                    with open(part, "xb") as f:
+                        f.write(content)
+                    try:
+                        os.link(part, at)  # fails where a file is, as a rename doesn't
+                    except FileExistsError:
+                        with open(at, "rb") as f:
+                            if f.read() != content:
+                                raise
+                    finally:
+                        os.unlink(part)
+                    out.append((path, name, "ok", None))
+                except OSError as e:
+                    out.append((path, name, "failed", f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(4)], names=["path", "name", "status", "error"])
+
+    return named.mapInArrow(run, "path string, name string, status string, error string")
 
 
 def round_trip(pixels: DataFrame, through: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

@@ -81,3 +81,32 @@ def test_frames_and_gray(spark, tmp_path):
     assert {r.status: r.n for r in convert(spark, str(tmp_path / "in"), out, "jpeg", gray=True, quality=100).collect()} == {"ok": 2, "failed": 1}
     stored = [jpeg.parse(bytes(r.content)) for r in spark.read.parquet(out).collect()]
     assert [(len(h.components), h.width, h.height) for h in stored] == [(1, 8, 4)] * 2
+
+
+def test_convert_to_files(spark, tmp_path):
+    """Names are those of the sources, numbered where they are taken; nothing is overwritten; encoders' errors stop nothing."""
+    from pixelloom.codecs import bmp, png
+    from pixelloom.plans.convert import convert
+
+    image = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
+    for folder in ("in/a", "in/b"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "x.bmp").write_bytes(bmp.encode(image))
+    (tmp_path / "in/a/y.png").write_bytes(png.encode(image))
+    files, out = tmp_path / "files", str(tmp_path / "out")
+    files.mkdir()
+    (files / "y.png").write_bytes(b"mine")
+    told = convert(spark, str(tmp_path / "in"), out, "png", recursive=True, skip_existing=True, files=str(files))
+    assert [tuple(r) for r in told.collect()] == [("ok", 3)]
+    assert sorted(p.name for p in files.iterdir()) == ["x (1).png", "x.png", "y (1).png", "y.png"]
+    assert (files / "y.png").read_bytes() == b"mine" and (png.decode((files / "x (1).png").read_bytes()) == image).all()
+    assert convert(spark, str(tmp_path / "in"), out, "png", recursive=True, skip_existing=True).count() == 0
+
+    def refuses(image):
+        raise ValueError("no")
+
+    images.register("refused", encoder=refuses)
+    try:
+        assert [tuple(r) for r in convert(spark, str(tmp_path / "in"), str(tmp_path / "none"), "refused", recursive=True).collect()] == [("failed", 3)]
+    finally:
+        del images.ENCODERS["refused"]
