@@ -422,15 +422,27 @@ def parse(data: bytes, scans: bool = True) -> Header:
     return head
 
 
-def plane(head: Header, c: Component) -> np.ndarray:
-    """A component's samples at the size of the image."""
+def doubled(samples: np.ndarray, n: int, axis: int) -> np.ndarray:
+    """Samples of a halved plane at ``n`` places: three parts of the nearest one, one of the next nearest."""
+    at = np.arange(n)
+    near = at // 2
+    far = np.clip(near + np.where(at % 2, 1, -1), 0, (n - 1) // 2)
+    return (samples.take(near, axis) * 192 + samples.take(far, axis) * 64 + 128) >> 8
+
+
+def plane(head: Header, c: Component, linear: bool = False) -> np.ndarray:
+    """A component's samples at the size of the image; those that stand for several pixels repeated, or put between if halved."""
     if c.table not in head.tables:
         raise ValueError("quantisation table missing")
     rows, columns = c.levels.shape[:2]
     found = (c.levels * head.tables[c.table])[..., PLACES].reshape(rows, columns, 8, 8)
     samples = np.clip(np.round(COSINES.T @ found @ COSINES) + 128, 0, 255).astype(np.int32).swapaxes(1, 2).reshape(rows * 8, columns * 8)
     hmax, vmax = max(d.h for d in head.components), max(d.v for d in head.components)
-    return samples[np.arange(head.height) * c.v // vmax][:, np.arange(head.width) * c.h // hmax]
+    if linear and hmax == 2 * c.h:
+        samples = doubled(samples, head.width, 1)
+    else:
+        samples = samples[:, np.arange(head.width) * c.h // hmax]
+    return doubled(samples, head.height, 0) if linear and vmax == 2 * c.v else samples[np.arange(head.height) * c.v // vmax]
 
 
 def colours(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> list[np.ndarray]:
@@ -438,12 +450,12 @@ def colours(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> list[np.ndarray]:
     return [np.clip(v, 0, 255) for v in (y + (91881 * cr >> 16), y - (22554 * cb + 46802 * cr >> 16), y + (116130 * cb >> 16))]
 
 
-def decode(data: bytes, upright: bool = False) -> np.ndarray:
-    """RGB, on request turned as its EXIF segment says. Three components are luma and chroma unless an Adobe segment or the names R, G, B say otherwise; four are inks, stored inverted."""
+def decode(data: bytes, upright: bool = False, linear: bool = False) -> np.ndarray:
+    """RGB, on request turned as its EXIF segment says, and with halved chroma put between linearly. Three components are luma and chroma unless an Adobe segment or the names R, G, B say otherwise; four are inks, stored inverted."""
     head = parse(data)
     if head.components[0].levels is None:
         raise ValueError("no scan")
-    planes = [plane(head, c) for c in head.components]
+    planes = [plane(head, c, linear) for c in head.components]
     if len(planes) == 1:
         planes = planes * 3
     elif len(planes) == 3 and head.adobe != 0 and bytes(c.ident for c in head.components) != b"RGB":

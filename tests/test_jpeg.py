@@ -147,3 +147,23 @@ def test_four_inks(adobe, chroma):
     if adobe == 2:
         inks = [int(v) for v in jpeg.colours(*(np.array(x) for x in inks))]
     assert (got == np.array([(x * 128 + 127) // 255 for x in inks])).all()
+
+
+def test_linear_chroma_is_nearer_on_a_ramp():
+    x, y = np.meshgrid(np.arange(64), np.arange(64))
+    image = np.stack([40 + x * 150 // 63, 50 + y * 140 // 63, 60 + (x + y) * 120 // 126], axis=2).astype(np.uint8)
+    data = jpeg.encode(image, 95, subsample=True)
+    error = [((jpeg.decode(data, linear=linear).astype(int) - image) ** 2).mean() for linear in (False, True)]
+    assert error[1] < error[0] < 60
+    odd = image[:61, :63]
+    assert jpeg.decode(jpeg.encode(odd, 95, subsample=True), linear=True).shape == odd.shape
+    gray = jpeg.encode(image[:, :, 0], 95)
+    assert (jpeg.decode(gray, linear=True) == jpeg.decode(gray)).all()
+
+
+def test_doubling_by_brute_force():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 8):
+        half = rng.integers(0, 256, ((n + 1) // 2, 3))
+        want = [(half[i // 2] * 192 + half[min(max(i // 2 + (1 if i % 2 else -1), 0), (n - 1) // 2)] * 64 + 128) >> 8 for i in range(n)]
+        assert (jpeg.doubled(half, n, 0) == np.array(want)).all()
