@@ -20,14 +20,22 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep. A verdict depends on text, language and source, so equal rows share theirs."""
+    """Rows that the quality rules keep. A verdict depends on text, language and source, so equal rows share theirs.
+
+    Null and empty texts have no words and go; null ids, languages and sources are values like others. Repeated rows stay or
+    go together; further columns stay, whatever their names; an empty table gives no rows.
+    """
     rows = named(docs)
     gone = quality.judge(rows.withColumn("doc_id", F.col(ROW)).drop(ROW)).where("not kept").select(F.col("doc_id").alias(ROW)).distinct()
     return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, that of the least doc_id; rows without words are alone and stay."""
+    """One row of each group of near-duplicates, that of the least doc_id; rows without words are alone and stay.
+
+    Of repeated rows one stays, as they are copies; of rows with equal ids that of the least row hash; a null id stands after
+    all others. Rows of null or empty text all stay. Further columns stay, whatever their names; an empty table gives no rows.
+    """
     rows = named(docs)
     found = minhash.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).where("n_shingles > 0")
     members = written(found.groupBy(F.col("doc_id").alias(ROW), "component_id").agg(F.count("*").alias("copies")), "members")
@@ -41,17 +49,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand elsewhere too."""
+    """Documents without the passages that stand elsewhere too; null texts stay null, see ``suffixes.removed``."""
     return suffixes.removed(docs)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets replaced."""
+    """Documents with secrets replaced; rows without any stay as they are, see ``secrets.redacted``."""
     return secrets.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens; null and empty texts are one end id each, repeated rows are packed each, see ``packing.pack``."""
     return packing.pack(docs, default_vocabulary())
 
 
