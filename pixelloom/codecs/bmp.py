@@ -9,8 +9,8 @@ import numpy as np
 DEFAULT_PPM = 2835
 
 
-def encode(image: np.ndarray, ppm: int = DEFAULT_PPM) -> bytes:
-    """Bottom-up rows of 4-byte multiples: one byte a pixel with a gray palette, or blue, green, red."""
+def encode(image: np.ndarray, ppm: int = DEFAULT_PPM, ppm_y: int | None = None) -> bytes:
+    """Bottom-up rows of 4-byte multiples: one byte a pixel with a gray palette, or blue, green, red. Pixels a metre are the same both ways unless ``ppm_y`` is given."""
     h, w = image.shape[:2]
     gray = image.ndim == 2
     rows = image[::-1] if gray else image[::-1, :, 2::-1]
@@ -19,10 +19,16 @@ def encode(image: np.ndarray, ppm: int = DEFAULT_PPM) -> bytes:
     palette = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(-1, 4) * np.array([1, 1, 1, 0], np.uint8) if gray else np.zeros(0, np.uint8)
     start = 54 + palette.size
     head = struct.pack("<2sIHHI", b"BM", start + body.size, 0, 0, start)
-    head += struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8 if gray else 24, 0, body.size, ppm, ppm, 256 if gray else 0, 0)
+    head += struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8 if gray else 24, 0, body.size, ppm, ppm if ppm_y is None else ppm_y, 256 if gray else 0, 0)
     return head + palette.tobytes() + body.tobytes()
 
 
+def metadata(data: bytes) -> dict:
+    """Pixels a metre across and down, where the file gives them."""
+    x, y = struct.unpack_from("<ii", data, 38) if len(data) >= 54 else (0, 0)
+    return {k: v for k, v in (("ppm", x), ("ppm_y", y)) if v > 0}
+
+
 def scaled(values: np.ndarray, mask: int) -> np.ndarray:
     """A masked field, spread over 0 to 255."""
     if not mask:

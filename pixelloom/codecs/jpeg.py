@@ -231,6 +231,29 @@ def orientation_of(exif: bytes) -> int:
     return 1
 
 
+def set_upright(exif: bytes) -> bytes:
+    """The same EXIF data with orientation 1, where a directory gives one."""
+    order = {b"II": "<", b"MM": ">"}.get(exif[:2])
+    out = bytearray(exif)
+    try:
+        if order and struct.unpack_from(f"{order}H", exif, 2)[0] == 42:
+            start = struct.unpack_from(f"{order}I", exif, 4)[0]
+            for at in range(start + 2, start + 2 + 12 * struct.unpack_from(f"{order}H", exif, start)[0], 12):
+                tag, kind, n = struct.unpack_from(f"{order}HHI", exif, at)
+                if tag == 0x0112 and kind == 3 and n:
+                    struct.pack_into(f"{order}H", out, at + 8, 1)
+                    break
+    except struct.error:
+        pass
+    return bytes(out)
+
+
+def metadata(data: bytes) -> dict:
+    """``exif`` and ``icc`` where the file has them, up to its first scan."""
+    head = parse(data, scans=False)
+    return {k: v for k, v in (("exif", head.exif), ("icc", head.icc)) if v}
+
+
 def read_frame(head: Header, data: bytes) -> None:
     if head.components:
         raise ValueError("more than one frame")

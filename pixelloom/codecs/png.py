@@ -17,15 +17,68 @@ def chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def encode(image: np.ndarray) -> bytes:
-    """Every row is filtered by the row above, in one stream."""
+def parts_of(size: tuple[int, int], interlaced: bool) -> list[tuple[slice, slice]]:
+    """Rows and columns of each pass that has pixels."""
+    passes = [(x, y, dx, dy) for x, y, dx, dy in (PASSES if interlaced else ((0, 0, 1, 1),)) if y < size[0] and x < size[1]]
+    return [(slice(y, None, dy), slice(x, None, dx)) for x, y, dx, dy in passes]
+
+
+def described(exif: bytes, icc: bytes, srgb: bool) -> bytes:
+    """Chunks of metadata that come before the pixels; a profile goes before the mark of sRGB."""
+    out = chunk(b"iCCP", b"ICC Profile\0\0" + zlib.compress(icc)) if icc else chunk(b"sRGB", b"\0") if srgb else b""
+    return out + (chunk(b"eXIf", exif) if exif else b"")
+
+
+def encode(image: np.ndarray, exif: bytes = b"", icc: bytes = b"", srgb: bool = False, interlaced: bool = False) -> bytes:
+    """Every row is filtered by the row above, in one stream; ``exif`` begins with its TIFF header."""
     h, w = image.shape[:2]
     kind = {1: 0, 3: 2, 4: 6}[1 if image.ndim == 2 else image.shape[2]]
-    rows = image.reshape(h, -1).astype(np.uint8)
-    up = rows.copy()
-    up[1:] -= rows[:-1]
-    body = np.concatenate([np.full((h, 1), 2, np.uint8), up], axis=1).tobytes()
-    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body, 6)) + chunk(b"IEND", b"")
+    body = b""
+    for part in parts_of((h, w), interlaced):
+        rows = image[part].astype(np.uint8)
+        rows = rows.reshape(len(rows), -1)
+        up = rows.copy()
+        up[1:] -= rows[:-1]
+        body += np.concatenate([np.full((len(rows), 1), 2, np.uint8), up], axis=1).tobytes()
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, interlaced)) + described(exif, icc, srgb)
+    return SIGNATURE + head + chunk(b"IDAT", zlib.compress(body, 6)) + chunk(b"IEND", b"")
+
+
+def encode_indexed(index: np.ndarray, palette: np.ndarray, opacity: bytes = b"", interlaced: bool = False) -> bytes:
+    """Places in a palette of up to 256 colours, in as few bits as it takes; ``opacity`` is that of its first colours."""
+    h, w = index.shape
+    depth = next(d for d in (1, 2, 4, 8) if len(palette) <= 1 << d)
+    body = b""
+    for part in parts_of((h, w), interlaced):
+        bits = np.unpackbits(index[part].astype(np.uint8)[:, :, None], axis=2)[:, :, 8 - depth :]
+        rows = np.packbits(bits.reshape(len(bits), -1), axis=1)
+        body += np.concatenate([np.zeros((len(rows), 1), np.uint8), rows], axis=1).tobytes()
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, 3, 0, 0, interlaced)) + chunk(b"PLTE", palette.astype(np.uint8).tobytes())
+    return SIGNATURE + head + (chunk(b"tRNS", opacity) if opacity else b"") + chunk(b"IDAT", zlib.compress(body, 6)) + chunk(b"IEND", b"")
+
+
+def metadata(data: bytes) -> dict:
+    """``exif`` from its TIFF header on, ``icc`` inflated, ``srgb``: those that the file has. A broken profile is none."""
+    found: dict = {}
+    at = 8
+    while at + 8 <= len(data):
+        n, kind = struct.unpack_from(">I4s", data, at)
+        part = data[at + 8 : at + 8 + n]
+        at += 12 + n
+        if kind == b"eXIf" and part:
+            found["exif"] = part.removeprefix(b"Exif\0\0")
+        elif kind == b"iCCP" and (name := part.find(b"\0")) >= 0 and part[name + 1 : name + 2] == b"\0":
+            try:
+                found["icc"] = zlib.decompress(part[name + 2 :])
+            except zlib.error:
+                pass
+        elif kind == b"sRGB":
+            found["srgb"] = True
+        elif kind == b"IEND":
+            break
+    if found.get("icc"):
+        found.pop("srgb", None)
+    return {k: v for k, v in found.items() if v}
 
 
 def unfilter(body: np.ndarray, step: int) -> np.ndarray:

@@ -45,20 +45,58 @@ def there(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def convert(spark: SparkSession, source: str, out: str, fmt: str = "png", operations: tuple[str, ...] = (), recursive: bool = False, skip_existing: bool = False, gray: bool = False, files: str | None = None, **options) -> DataFrame:
-    """Writes (path, content) in ``fmt`` to the table ``out``, a partition a run, and returns (status, n) of this run.
+def by_frame(files: DataFrame) -> DataFrame:
+    """Rasters of every frame, under the path of its file with the frame's number; files without animation keep theirs."""
+    found = images.frames(files)
+    several = F.col("fmt").isin(*images.FRAMES) & F.col("name").isNotNull()
+    folder, extension = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), F.regexp_extract("path", r"(\.[^./]*)?$", 1)
+    return found.withColumn("source", F.col("path")).withColumn("path", F.when(several, F.concat(folder, "name", extension)).otherwise(F.col("path"))).drop("frame", "duration_ms", "name")
 
-    Paths that are in ``out`` can be skipped; ``gray`` and ``options`` are those of ``images.encoded_or_not``. Files are read,
+
+def convert(
+    spark: SparkSession,
+    source: str,
+    out: str,
+    fmt: str = "png",
+    operations: tuple[str, ...] = (),
+    recursive: bool = False,
+    skip_existing: bool = False,
+    gray: bool = False,
+    files: str | None = None,
+    keep_metadata: bool = False,
+    frames: str = "first",
+    reading: dict[str, dict] | None = None,
+    partitions: int | None = None,
+    **options,
+) -> DataFrame:
+    """Writes (path, source, content) in ``fmt`` to the table ``out``, a partition a run, and returns (status, n) of this run.
+
+    Sources that are in ``out`` can be skipped; ``gray`` and ``options`` are those of ``images.encoded_or_not``. Files are read,
     decoded and encoded once; what fails is counted on the way. With ``files`` the contents go to image files in that folder
-    too, see ``images.saved``.
+    too, see ``images.saved``. ``keep_metadata`` carries over what both formats can store, the orientation as 1. Of animations
+    ``frames`` takes the "first", "each" as an image of its own under a numbered path, or "all" as an animation, where the
+    format has that; "all" takes no operations, "each" and "all" no metadata. ``reading`` holds options of decoders by format,
+    ``partitions`` deals the files out anew.
     """
+    if frames not in ("first", "each", "all"):
+        raise ValueError(f"unknown choice of frames: {frames}")
+    if frames == "all" and (fmt not in images.ANIMATIONS or operations or gray):
+        raise ValueError("animations go to GIF or WebP, without operations")
+    if frames != "first" and (keep_metadata or reading):
+        raise ValueError("metadata and options of decoders are for first frames")
     found = images.scan(spark, source, recursive)
     if skip_existing and there(spark, out):
-        found = found.join(spark.read.parquet(out).select("path"), "path", "left_anti")
+        found = found.join(spark.read.parquet(out).select(F.col("source").alias("path")), "path", "left_anti")
+    if partitions:
+        found = found.repartition(partitions)
     run, seen = uuid.uuid4().hex, Observation()
-    rasters = applied(images.decoded(found), list(operations))
-    counted = images.encoded_or_not(rasters, fmt, gray, **options).observe(seen, F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"))
-    counted.where("status = 'ok'").select("path", "content", F.lit(run).alias("run")).write.mode("append").partitionBy("run").parquet(out)
+    if frames == "all":
+        made = images.animated(found, fmt, **options)
+    else:
+        rasters = images.decoded(found, keep_metadata, reading) if frames == "first" else by_frame(found)
+        made = images.encoded_or_not(applied(rasters, list(operations)), fmt, gray, **options)
+    counted = made.observe(seen, F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"))
+    counted.where("status = 'ok'").select("path", F.col("source") if "source" in made.columns else F.col("path").alias("source"), "content", F.lit(run).alias("run")).write.mode("append").partitionBy("run").parquet(out)
     told = dict(seen.get)
     if files is not None and told["ok"]:
         made = spark.read.parquet(out).where(F.col("run") == run).withColumn("status", F.lit("ok"))

@@ -11,15 +11,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelloom.codecs import bmp, gif, jpeg, png
+from pixelloom.codecs import bmp, gif, jpeg, png, webp
 from pixelloom.operators import raster
 
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp", "gif")
 #: First bytes by format, in the order in which formats are tried.
 MAGIC = {"jpeg": "FFD8", "png": "89504E470D0A1A0A", "bmp": "424D", "webp": "52494646", "gif": "474946"}
-DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {"png": lambda d: png.decode(d, alpha=True), "bmp": bmp.decode, "gif": lambda d: gif.decode(d, 1)[0][0], "jpeg": lambda d: jpeg.decode(d, upright=True)}
-ENCODERS: dict[str, Callable[..., bytes]] = {"png": png.encode, "bmp": bmp.encode, "gif": lambda image, **options: gif.encode([image], **options), "jpeg": jpeg.encode}
+DECODERS: dict[str, Callable[..., np.ndarray]] = {
+    "png": lambda d, **options: png.decode(d, alpha=True, **options),
+    "bmp": bmp.decode,
+    "webp": webp.decode,
+    "gif": lambda d: gif.decode(d, 1)[0][0],
+    "jpeg": lambda d, **options: jpeg.decode(d, upright=True, **options),
+}
+ENCODERS: dict[str, Callable[..., bytes]] = {"png": png.encode, "bmp": bmp.encode, "webp": webp.encode, "gif": lambda image, **options: gif.encode([image], **options), "jpeg": jpeg.encode}
+#: (canvas, duration in ms) of each frame, and frames put together, of the formats that have animations.
+FRAMES: dict[str, Callable[[bytes], list]] = {"gif": gif.decode, "webp": webp.decode_frames}
+ANIMATIONS: dict[str, Callable[..., bytes]] = {"gif": gif.encode, "webp": webp.animation}
+#: What a format tells besides its pixels, and which of it others can store.
+METADATA: dict[str, Callable[[bytes], dict]] = {"png": png.metadata, "bmp": bmp.metadata, "jpeg": jpeg.metadata}
+STORES = {"png": ("exif", "icc", "srgb"), "jpeg": ("exif", "icc"), "bmp": ("ppm", "ppm_y")}
+META = {"exif": pa.binary(), "icc": pa.binary(), "srgb": pa.bool_(), "ppm": pa.int32(), "ppm_y": pa.int32()}
 RASTER = "path string, fmt string, width int, height int, channels int, buf binary, status string, error string"
+TOLD = "exif binary, icc binary, srgb boolean, ppm int, ppm_y int"
 
 
 def register(fmt: str, decoder: Callable | None = None, encoder: Callable | None = None) -> None:
@@ -47,9 +61,23 @@ def scan(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     return named.select("path", "content", sniffed(F.col("content")).alias("fmt"))
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """Rasters of (path, content, fmt); a file that can't be read gets an error and no raster, and stops nothing."""
-    decoders = dict(DECODERS)
+def told_by(fmt: str, content: bytes) -> dict:
+    """Metadata of a file whose pixels are upright by now; none if it can't be read."""
+    try:
+        found = METADATA[fmt](content) if fmt in METADATA else {}
+    except Exception:
+        return {}
+    return found | {"exif": jpeg.set_upright(found["exif"])} if "exif" in found else found
+
+
+def decoded(files: DataFrame, metadata: bool = False, options: dict[str, dict] | None = None) -> DataFrame:
+    """Rasters of (path, content, fmt); a file that can't be read gets an error and no raster, and stops nothing.
+
+    With ``metadata`` the columns of ``TOLD`` follow: EXIF with orientation 1, as pixels are turned upright, ICC profile, the
+    mark of sRGB and pixels a metre, null where a file doesn't give them. ``options`` go to decoders by format, as
+    ``{"png": {"check": True}, "jpeg": {"linear": True}}``.
+    """
+    decoders, chosen = dict(DECODERS), options or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,14 +86,20 @@ def decoded(files: DataFrame) -> DataFrame:
                 try:
                     if fmt not in decoders:
                         raise ValueError("unknown format" if fmt is None else f"no codec for {fmt}")
-                    image = decoders[fmt](content)
+                    image = decoders[fmt](content, **chosen.get(fmt, {}))
                     rows.append((path, fmt, image.shape[1], image.shape[0], image.shape[2], image.astype(np.uint8).tobytes(), "ok", None))
                 except Exception as e:
                     rows.append((path, fmt, None, None, None, None, "failed", f"{type(e).__name__}: {e}"))
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], names=["path", "fmt", "width", "height", "channels", "buf", "status", "error"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)]
+            names = ["path", "fmt", "width", "height", "channels", "buf", "status", "error"]
+            if metadata:
+                told = [told_by(row[1], content) if row[6] == "ok" else {} for row, content in zip(rows, batch.column(1).to_pylist(), strict=True)]
+                columns += [pa.array([t.get(k) for t in told], kind) for k, kind in META.items()]
+                names += META
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return files.select("path", "content", "fmt").mapInArrow(run, RASTER)
+    return files.select("path", "content", "fmt").mapInArrow(run, f"{RASTER}, {TOLD}" if metadata else RASTER)
 
 
 def frames(files: DataFrame) -> DataFrame:
@@ -83,7 +117,7 @@ def frames(files: DataFrame) -> DataFrame:
                 try:
                     if fmt not in decoders:
                         raise ValueError("unknown format" if fmt is None else f"no codec for {fmt}")
-                    found = gif.decode(content) if fmt == "gif" else [(decoders[fmt](content), 0)]
+                    found = FRAMES[fmt](content) if fmt in FRAMES else [(decoders[fmt](content), 0)]
                     rows = [(path, fmt, k, ms, image.shape[1], image.shape[0], image.shape[2], image.astype(np.uint8).tobytes(), "ok", None) for k, (image, ms) in enumerate(found)]
                 except Exception as e:
                     rows = [(path, fmt, *[None] * 6, "failed", f"{type(e).__name__}: {e}")]
@@ -94,41 +128,68 @@ def frames(files: DataFrame) -> DataFrame:
     return made.withColumn("name", F.concat(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1), F.lit("_"), digits))
 
 
+def animated(files: DataFrame, fmt: str, **options) -> DataFrame:
+    """(path, content, status, error): files (path, content, fmt) as animations of a format that has them, frame by frame as
+    they are shown; files that aren't animated become stills. A file is one task's work from end to end."""
+    join, decoders = ANIMATIONS[fmt], dict(DECODERS)
+
+    def one(content: bytes, kind: str | None) -> bytes:
+        if kind not in decoders:
+            raise ValueError("unknown format" if kind is None else f"no codec for {kind}")
+        found = FRAMES[kind](content) if kind in FRAMES else [(decoders[kind](content), 0)]
+        return join([image for image, _ in found], [ms for _, ms in found], **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[tuple] = []
+            for content, kind in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                try:
+                    made.append((one(content, kind), "ok", None))
+                except Exception as e:
+                    made.append((None, "failed", f"{type(e).__name__}: {e}"))
+            columns = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["path", "content", "status", "error"])
+
+    return files.select("path", "content", "fmt").mapInArrow(run, "path string, content binary, status string, error string")
+
+
 def encoded(rasters: DataFrame, fmt: str, gray: bool = False, **options) -> DataFrame:
     """(path, content) of those that ``encoded_or_not`` could encode."""
     return encoded_or_not(rasters, fmt, gray, **options).where("status = 'ok'").select("path", "content")
 
 
 def encoded_or_not(rasters: DataFrame, fmt: str, gray: bool = False, **options) -> DataFrame:
-    """(path, content, status, error): rasters as files of a format; formats without alpha drop it.
+    """(path, content, status, error), and source where the rasters have it: rasters as files of a format; formats without alpha drop it.
 
     A raster that can't be encoded, or was none, has no content and an error, and stops nothing. With ``gray`` the gray level
     is stored, in one channel where the format has that. ``options`` go to the encoder, as ``quality`` and ``subsample`` of
-    JPEG.
+    JPEG. Metadata that the rasters carry, and that the format can store, goes into the file, but not with ``gray``.
     """
     encoder = ENCODERS[fmt]
+    stored = [] if gray else [k for k in STORES.get(fmt, ()) if k in rasters.columns]
+    origin = ["source"] if "source" in rasters.columns else []
 
-    def file_of(w: int, h: int, n: int, buf: bytes) -> bytes:
+    def file_of(told: dict, w: int, h: int, n: int, buf: bytes) -> bytes:
         image = np.frombuffer(buf, np.uint8).reshape(h, w, n)
         if gray:
             image = raster.grayscale(image)
             image = image[:, :, 0] if fmt in ("bmp", "png", "jpeg") else image
         elif fmt == "bmp":
             image = image[:, :, :3]
-        return encoder(image, **options)
+        return encoder(image, **{k: v for k, v in told.items() if v is not None}, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: list[tuple] = []
-            for *shape, status, error in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
+            for *shape, status, error, told in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), batch.select(stored).to_pylist() if stored else [{}] * len(batch), strict=True):
                 try:
-                    made.append((file_of(*shape), "ok", None) if status == "ok" else (None, status, error))
+                    made.append((file_of(told, *shape), "ok", None) if status == "ok" else (None, status, error))
                 except Exception as e:
                     made.append((None, "failed", f"{type(e).__name__}: {e}"))
             columns = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["path", "content", "status", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *(batch.column(c) for c in origin)], names=["path", "content", "status", "error", *origin])
 
-    return rasters.select("path", "width", "height", "channels", "buf", "status", "error").mapInArrow(run, "path string, content binary, status string, error string")
+    return rasters.select("path", "width", "height", "channels", "buf", "status", "error", *stored, *origin).mapInArrow(run, "path string, content binary, status string, error string" + ", source string" * len(origin))
 
 
 def output_names(files: DataFrame, taken: DataFrame, extension: str) -> DataFrame:
