@@ -67,6 +67,17 @@ def table_at(base: tuple[int, ...], quality: int) -> np.ndarray:
     return np.clip((np.array(base) * share + 50) // 100, 1, 255)
 
 
+@dataclass
+class Component:
+    ident: int
+    h: int
+    v: int
+    table: int
+    levels: np.ndarray | None = None
+    width: int = 0
+    height: int = 0
+
+
 # Encoder.
 
 
@@ -89,20 +100,53 @@ def magnitude(v: int) -> tuple[int, str]:
     return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
 
 
-def block_bits(levels: np.ndarray, before: int, dc: dict[int, str], ac: dict[int, str]) -> str:
-    n, bits = magnitude(int(levels[0]) - before)
-    out, last = [dc[n], bits], 0
-    for k in (np.flatnonzero(levels[1:]) + 1).tolist():
+def dc_bits(value: int, before: int, dc: dict[int, str]) -> str:
+    n, bits = magnitude(value - before)
+    return dc[n] + bits
+
+
+def ac_bits(levels: np.ndarray, first: int, final: int, ac: dict[int, str]) -> str:
+    """The levels at places ``first`` to ``final`` of a block, with an end mark where the last are zero."""
+    out, last = [], first - 1
+    for k in (np.flatnonzero(levels[first : final + 1]) + first).tolist():
         run = k - last - 1
         out.append(ac[0xF0] * (run // 16))
         n, bits = magnitude(int(levels[k]))
         out += (ac[run % 16 << 4 | n], bits)
         last = k
-    if last < 63:
+    if last < final:
         out.append(ac[0])
     return "".join(out)
 
 
+def packed(out: list[str]) -> bytes:
+    bits = "".join(out)
+    bits += "1" * (-len(bits) % 8)
+    return int(bits or "0", 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+
+
+#: Scans of the progressive form: first and last place, bits that came before, bits that are left. Lower bits of DC come last.
+PROGRESSION = ((0, 0, 0, 1), (1, 5, 0, 0), (6, 63, 0, 0), (0, 0, 1, 0))
+
+
+def scan_bytes(parts: list[Component], chosen: list[int], words: dict, first: int, final: int, high: int, low: int) -> bytes:
+    """One scan with its header, over the blocks of the chosen components."""
+    out, before = [], [0] * len(chosen)
+    for unit in units([parts[i] for i in chosen]):
+        for i, y, x in unit:
+            one, table = parts[chosen[i]].levels[y, x], min(chosen[i], 1)
+            dc = int(one[0]) >> low
+            if first == 0 and high:
+                out.append(str(dc & 1))
+            elif first == 0:
+                out.append(dc_bits(dc, before[i], words[0, table]))
+                before[i] = dc
+            if final:
+                out.append(ac_bits(one, max(first, 1), final, words[1, table]))
+    head = bytes([len(chosen)]) + b"".join(bytes([i + 1, min(i, 1) * 17]) for i in chosen) + bytes([first, final, high << 4 | low])
+    return segment(0xDA, head) + packed(out)
+
+
 def segment(marker: int, data: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(data) + 2) + data
 
@@ -118,7 +162,7 @@ def planes_of(image: np.ndarray, subsample: bool) -> list[np.ndarray]:
     return out
 
 
-def encode(image: np.ndarray, quality: int = 75, subsample: bool = True, exif: bytes = b"", icc: bytes = b"") -> bytes:
+def encode(image: np.ndarray, quality: int = 75, subsample: bool = True, exif: bytes = b"", icc: bytes = b"", progressive: bool = False) -> bytes:
     """Gray of two dimensions or RGB (further channels are dropped); ``exif`` begins with its TIFF header."""
     h, w = image.shape[:2]
     if not 0 < h < 65536 or not 0 < w < 65536:
@@ -129,44 +173,30 @@ def encode(image: np.ndarray, quality: int = 75, subsample: bool = True, exif: b
     factors = [factor, 1, 1][: len(planes)]
     tables = [table_at(LUMA, quality), table_at(CHROMA, quality)][: 1 if gray else 2]
     mcu_rows, mcu_columns = -(-h // (8 * factor)), -(-w // (8 * factor))
-    levels = [quantised(blocks_of(p, mcu_rows * f, mcu_columns * f), tables[min(i, 1)]) for i, (p, f) in enumerate(zip(planes, factors, strict=True))]
+    parts = []
+    for i, (p, f) in enumerate(zip(planes, factors, strict=True)):
+        levels = quantised(blocks_of(p, mcu_rows * f, mcu_columns * f), tables[min(i, 1)])
+        parts.append(Component(i + 1, f, f, min(i, 1), levels, p.shape[1], p.shape[0]))
     words = {key: {s: format(c, f"0{n}b") for s, c, n in codes(*spec)} for key, spec in HUFFMAN.items()}
-    out, before = [], [0] * len(planes)
-    for y in range(mcu_rows):
-        for x in range(mcu_columns):
-            for i, f in enumerate(factors):
-                for one in levels[i][y * f : y * f + f, x * f : x * f + f].reshape(-1, 64):
-                    out.append(block_bits(one, before[i], words[0, min(i, 1)], words[1, min(i, 1)]))
-                    before[i] = int(one[0])
-    bits = "".join(out)
-    bits += "1" * (-len(bits) % 8)
-    body = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    every = list(range(len(parts)))
+    if progressive:
+        body = b"".join(scan_bytes(parts, chosen, words, *scan) for scan in PROGRESSION for chosen in ([[i] for i in every] if scan[0] else [every]))
+    else:
+        body = scan_bytes(parts, every, words, 0, 63, 0, 0)
     head = b"\xff\xd8" + segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
     if exif:
         head += segment(0xE1, b"Exif\0\0" + exif)
-    parts = [icc[k : k + 65519] for k in range(0, len(icc), 65519)]
-    head += b"".join(segment(0xE2, b"ICC_PROFILE\0" + bytes([k, len(parts)]) + p) for k, p in enumerate(parts, 1))
+    profile = [icc[k : k + 65519] for k in range(0, len(icc), 65519)]
+    head += b"".join(segment(0xE2, b"ICC_PROFILE\0" + bytes([k, len(profile)]) + p) for k, p in enumerate(profile, 1))
     head += b"".join(segment(0xDB, bytes([i]) + t[ZIGZAG].astype(np.uint8).tobytes()) for i, t in enumerate(tables))
-    head += segment(0xC0, struct.pack(">BHHB", 8, h, w, len(planes)) + b"".join(bytes([i + 1, f * 17, min(i, 1)]) for i, f in enumerate(factors)))
+    head += segment(0xC2 if progressive else 0xC0, struct.pack(">BHHB", 8, h, w, len(planes)) + b"".join(bytes([i + 1, f * 17, min(i, 1)]) for i, f in enumerate(factors)))
     head += b"".join(segment(0xC4, bytes([kind << 4 | i]) + lengths + symbols) for (kind, i), (lengths, symbols) in HUFFMAN.items() if i < len(tables))
-    scan = bytes([len(planes)]) + b"".join(bytes([i + 1, min(i, 1) * 17]) for i in range(len(planes))) + b"\0\x3f\0"
-    return head + segment(0xDA, scan) + body + b"\xff\xd9"
+    return head + body + b"\xff\xd9"
 
 
 # Decoder.
 
 
-@dataclass
-class Component:
-    ident: int
-    h: int
-    v: int
-    table: int
-    levels: np.ndarray | None = None
-    width: int = 0
-    height: int = 0
-
-
 @dataclass
 class Header:
     width: int = 0
@@ -468,6 +498,15 @@ def plane(head: Header, c: Component, linear: bool = False) -> np.ndarray:
     return doubled(samples, head.height, 0) if linear and vmax == 2 * c.v else samples[np.arange(head.height) * c.v // vmax]
 
 
+def ordered(components: list[Component]) -> list[Component]:
+    """Components by the names 1, 2, 3, 4, or R, G, B, or C, M, Y, K, if all are there; else as they come."""
+    named, n = {c.ident: c for c in components}, len(components)
+    for names in (bytes(range(1, n + 1)), {3: b"RGB", 4: b"CMYK"}.get(n, b"")):
+        if names and all(i in named for i in names):
+            return [named[i] for i in names]
+    return components
+
+
 def colours(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> list[np.ndarray]:
     cb, cr = cb - 128, cr - 128
     return [np.clip(v, 0, 255) for v in (y + (91881 * cr >> 16), y - (22554 * cb + 46802 * cr >> 16), y + (116130 * cb >> 16))]
@@ -478,10 +517,10 @@ def decode(data: bytes, upright: bool = False, linear: bool = False) -> np.ndarr
     head = parse(data)
     if head.components[0].levels is None:
         raise ValueError("no scan")
-    planes = [plane(head, c, linear) for c in head.components]
+    planes = [plane(head, c, linear) for c in ordered(head.components)]
     if len(planes) == 1:
         planes = planes * 3
-    elif len(planes) == 3 and head.adobe != 0 and bytes(c.ident for c in head.components) != b"RGB":
+    elif len(planes) == 3 and head.adobe != 0 and {c.ident for c in head.components} != set(b"RGB"):
         planes = colours(*planes)
     elif len(planes) == 4:
         inks = colours(*planes[:3]) if head.adobe == 2 else planes[:3]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import seeds
-from pixelloom.codecs import bmp, gif, jpeg, png
+from pixelloom.codecs import bmp, gif, jpeg, png, quantize, webp
 from pixelloom.operators import color, dct, geometry, resample
 from pixelloom.sources import images
 
@@ -95,6 +95,13 @@ relational("four_channel_guess", f"""SELECT image_id, m0, m1, m2, m3, d1, d2, yc
     SELECT s.image_id, m0, m1, m2, m3, {_mean("abs(s.g - m1)")} AS d1, {_mean("abs(s.b - m2)")} AS d2 FROM {SAMPLED} s JOIN (
       SELECT image_id, {_mean("r")} AS m0, {_mean("g")} AS m1, {_mean("b")} AS m2, {_mean("a")} AS m3 FROM {SAMPLED} t GROUP BY image_id) m ON s.image_id = m.image_id GROUP BY s.image_id, m0, m1, m2, m3) d) e""")
 
+# Boxes of colour, here the halves of each channel together: how much variance they hold, as its whole-number numerator, and the
+# box with most.
+BOXES = "SELECT image_id, box, n, CAST(n * sq - sr * sr - sg * sg - sb * sb AS BIGINT) AS spread FROM (SELECT image_id, CAST(r5 DIV 16 * 4 + g5 DIV 16 * 2 + b5 DIV 16 AS INT) AS box, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("n", "sr", "sg", "sb", "sq")) + f" FROM ({CELLS}) c GROUP BY image_id, CAST(r5 DIV 16 * 4 + g5 DIV 16 * 2 + b5 DIV 16 AS INT)) m"
+relational("box_variance", BOXES)
+relational("widest_box", f"SELECT image_id, box, n, spread FROM (SELECT image_id, box, n, spread, row_number() OVER (PARTITION BY image_id ORDER BY CAST(spread AS DOUBLE) / n DESC, box) AS place FROM ({BOXES}) q) p WHERE place = 1")
+relational("resize_dispatch", "SELECT image_id, w, h, CASE WHEN w = 9 AND h = 7 THEN 'none' WHEN w >= 9 AND h >= 7 THEN 'area' ELSE 'bicubic' END AS way FROM {im}")
+
 # Windows.
 UP, LEFT = "coalesce(lag(v) OVER (PARTITION BY image_id, c, x ORDER BY y), 0)", "coalesce(lag(v) OVER (PARTITION BY image_id, c, y ORDER BY x), 0)"
 relational("png_up_filter", f"SELECT image_id, c, x, y, (v - {UP} + 256) % 256 AS f FROM {{pc}}")
@@ -119,6 +126,7 @@ NEAREST = """SELECT r5, g5, b5, CAST(min(d * 64 + i) % 64 AS INT) AS idx FROM (
   SELECT r5, g5, b5, i, (8 * r5 + 4 - 85 * (i % 4)) * (8 * r5 + 4 - 85 * (i % 4)) + (8 * g5 + 4 - 85 * (i DIV 4 % 4)) * (8 * g5 + 4 - 85 * (i DIV 4 % 4)) + (8 * b5 + 4 - 85 * (i DIV 16)) * (8 * b5 + 4 - 85 * (i DIV 16)) AS d
   FROM (SELECT r5, g5, b5, EACH[0; 63] AS i FROM (SELECT DISTINCT r >> 3 AS r5, g >> 3 AS g5, b >> 3 AS b5 FROM {px}) c) e) t GROUP BY r5, g5, b5"""
 relational("nearest_palette", NEAREST)
+relational("plane_interleave", "SELECT p.image_id, p.x, p.y, p.v AS r, q.v AS g, s.v AS b FROM {pc} p JOIN {pc} q ON p.image_id = q.image_id AND p.x = q.x AND p.y = q.y JOIN {pc} s ON p.image_id = s.image_id AND p.x = s.x AND p.y = s.y WHERE p.c = 0 AND q.c = 1 AND s.c = 2")
 relational("lut_apply", f"SELECT p.image_id, p.x, p.y, q.idx, CAST(85 * (q.idx % 4) AS INT) AS r, CAST(85 * (q.idx DIV 4 % 4) AS INT) AS g, CAST(85 * (q.idx DIV 16) AS INT) AS b FROM {{px}} p JOIN ({NEAREST}) q ON p.r >> 3 = q.r5 AND p.g >> 3 = q.g5 AND p.b >> 3 = q.b5")
 relational("edge_replicate", dct.EDGE_REPLICATE)
 # The image as a frame at (3, 2) of a canvas two larger each way: what lies beyond is cut off, what isn't painted is background.
@@ -160,6 +168,22 @@ through_codec("bmp24_roundtrip", lambda image: bmp.decode(bmp.encode(image)))
 through_codec("bmp8_roundtrip", lambda image: bmp.decode(bmp.encode(image[:, :, 0])), "r, r AS g, r AS b")
 through_codec("png_rgb_roundtrip", lambda image: png.decode(png.encode(image), check=True))
 through_codec("png_gray_roundtrip", lambda image: png.decode(png.encode(image[:, :, 1])), "g AS r, g, g AS b")
+through_codec("png_adam7_decode", lambda image: png.decode(png.encode(image, interlaced=True), check=True))
+
+
+def _indexed(colours: int, interlaced: bool) -> Callable:
+    """Images of (x + 2 y) modulo a number of colours, by palette."""
+
+    def through(image: np.ndarray) -> np.ndarray:
+        y, x = np.indices(image.shape[:2])
+        palette = np.stack([np.arange(colours) * k % 256 for k in (1, 7, 31)], axis=1)
+        return png.decode(png.encode_indexed((x + 2 * y) % colours, palette, interlaced=interlaced), check=True)
+
+    return through
+
+
+for _n in (2, 4, 11, 37):
+    through_codec(f"png_palette{_n}_decode", _indexed(_n, _n == 4), f"CAST((x + 2 * y) % {_n} AS INT) AS r, CAST((x + 2 * y) % {_n} * 7 % 256 AS INT) AS g, CAST((x + 2 * y) % {_n} * 31 % 256 AS INT) AS b")
 through_codec("gif_rgb_roundtrip", lambda image: gif.decode(gif.encode([image]))[0][0])
 through_codec("gif_anim_roundtrip", lambda image: gif.decode(gif.encode([image[::-1], image], [20, 40]))[1][0])
 
@@ -216,6 +240,25 @@ bounded("jpeg_420_bounded", lambda image: jpeg.decode(jpeg.encode(np.repeat(imag
 bounded("jpeg_gray_bounded", lambda image: jpeg.decode(jpeg.encode(image[:, :, 0], 100)) + (image - image[:, :, :1]), 4)
 
 
+bounded("jpeg_progressive_bounded", lambda image: jpeg.decode(jpeg.encode(image, 100, subsample=False, progressive=True)), 8)
+
+
+def _dithered(image: np.ndarray) -> np.ndarray:
+    """The corners of colour space, by error diffusion: 1 in a channel whose mean over the image is within what the edges lose."""
+    corners = np.array([[255 * (i >> k & 1) for k in (2, 1, 0)] for i in range(8)], np.uint8)
+    far = corners[quantize.dithered(corners, image)].astype(int).sum(axis=(0, 1)) - image.astype(int).sum(axis=(0, 1))
+    return image.astype(int) + 9 * (np.abs(far) > 128 * sum(image.shape[:2]))
+
+
+bounded("dithering_mean_bounded", _dithered, 8)
+# WebP, where the library can be loaded: lossless stills, transparent pixels apart, and animations; lossy ones by the mean.
+if webp.available():
+    through_codec("webp_lossless_roundtrip", lambda image: webp.decode(webp.encode(image, lossless=True)))
+    through_codec("webp_anim_roundtrip", lambda image: webp.decode_frames(webp.animation([image[::-1], image], [20, 40], lossless=True))[1][0])
+    through_codec("webp_alpha_roundtrip", lambda image: webp.decode(webp.encode(_with_alpha(image), lossless=True))[:, :, [3, 3, 3]], "r, r AS g, r AS b")
+    bounded("webp_lossy_bounded", lambda image: webp.decode(webp.encode(np.repeat(image[:, :, 2:], 3, axis=2), 100))[:, :, :3].astype(int) + (image.astype(int) - image[:, :, 2:]), 16)
+
+
 def _turned(image: np.ndarray) -> np.ndarray:
     """Stored on its side with orientation 6, read upright."""
     exif = b"II*\0\x08\0\0\0\1\0\x12\1\3\0\1\0\0\0\6\0\0\0\0\0\0\0"

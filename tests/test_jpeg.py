@@ -59,6 +59,40 @@ def test_metadata():
     assert [jpeg.orientation_of(x) for x in (b"", b"II", b"II*\0\xff\xff\0\0", exif[:12])] == [1] * 4
 
 
+@pytest.mark.parametrize("size", [(1, 1), (7, 19), (33, 18)])
+@pytest.mark.parametrize("subsample", [False, True, None])
+def test_progressive_equals_baseline(size, subsample):
+    image = rng.integers(0, 256, (*size, 3), dtype=np.uint8)
+    options = {"subsample": bool(subsample)}
+    image = image[:, :, 0] if subsample is None else image
+    data = jpeg.encode(image, 80, progressive=True, **options)
+    assert jpeg.parse(data, scans=False).progressive
+    assert (jpeg.decode(data) == jpeg.decode(jpeg.encode(image, 80, **options))).all()
+
+
+def test_jvm_reads_progressive(spark, tmp_path):
+    data = jpeg.encode(ramp(19, 26), 90, False, progressive=True)
+    (tmp_path / "p.jpg").write_bytes(data)
+    read = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.File(str(tmp_path / "p.jpg")))
+    pixels = np.array([[read.getRGB(x, y) & 0xFFFFFF for x in range(26)] for y in range(19)])
+    near(np.stack([pixels >> 16, pixels >> 8 & 255, pixels & 255], axis=2), jpeg.decode(data), 4, 3)
+
+
+def test_components_out_of_order():
+    """Planes stored as 3, 1, 2 are read as 1, 2, 3; unknown names stay in their order."""
+    image = ramp(8, 8)
+    data = jpeg.encode(image, 100, subsample=False)
+    at = data.index(b"\xff\xc0") + 10
+    scan = data.index(b"\xff\xda") + 5
+    frame = [data[at + 3 * k : at + 3 * k + 3] for k in range(3)]
+    stored = data[:at] + frame[1] + frame[2] + frame[0] + data[at + 9 :]
+    assert (jpeg.decode(stored) == jpeg.decode(data)).all()
+    renamed = bytearray(data)
+    for k in range(3):
+        renamed[at + 3 * k] = renamed[scan + 2 * k] = 40 + k
+    assert (jpeg.decode(bytes(renamed)) == jpeg.decode(data)).all()
+
+
 def test_restarts():
     one = b"\xff\xd8" + jpeg.segment(0xDB, b"\0" + bytes([1]) * 64) + jpeg.segment(0xC0, struct.pack(">BHHB", 8, 16, 8, 1) + b"\1\x11\0")
     one += b"".join(jpeg.segment(0xC4, bytes([kind << 4]) + bytes([1]) + bytes(15) + b"\0") for kind in (0, 1))
