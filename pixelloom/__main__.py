@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dithering", action="store_true", help="for GIF")
     p.add_argument("--frames", choices=["first", "each", "all"], default="first", help="of animations")
     p.add_argument("--linear-chroma", action="store_true", help="halved colour of JPEG files is put between, not repeated")
+    p.add_argument("--idct", choices=["int", "float"], default="int", help="the inverse transform for JPEG files")
     p.add_argument("--check-crc", action="store_true", help="of the chunks of PNG files")
     p.add_argument("--parallel", type=int, help="number of partitions")
     for flag in ("gray", "recursive", "skip-existing", "keep-metadata"):
@@ -48,8 +49,9 @@ def encoder_options(said: argparse.Namespace) -> dict:
 
 def reader_options(said: argparse.Namespace) -> dict[str, dict]:
     options: dict[str, dict] = {}
-    if said.linear_chroma:
-        options["jpeg"] = {"linear": True}
+    jpeg = {k: v for k, v, given in (("linear", True, said.linear_chroma), ("integer", False, said.idct == "float")) if given}
+    if jpeg:
+        options["jpeg"] = jpeg
     if said.check_crc:
         options["png"] = {"check": True}
     return options

@@ -12,13 +12,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from pixelloom.operators.dct import LUMA
+from pixelloom.operators.dct import INTEGER_BASIS, LUMA
 from pixelloom.operators.raster import oriented
 
 #: More pixels than this aren't decoded, whatever a header says.
 MOST_PIXELS = 1 << 28
 ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
 PLACES = np.argsort(ZIGZAG)
+WHOLE = np.array(INTEGER_BASIS, np.int64)
 COSINES = np.array([[(0.5 if u else 0.125**0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
 
 # Fixed values of the specification: the chrominance table, and for the Huffman tables the number of codes of each length and the symbols.
@@ -88,10 +89,28 @@ def blocks_of(plane: np.ndarray, rows: int, columns: int) -> np.ndarray:
     return full.reshape(rows, 8, columns, 8).swapaxes(1, 2)
 
 
-def quantised(blocks: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Levels in zig-zag order."""
-    found = COSINES @ (blocks - 128.0) @ COSINES.T / table.reshape(8, 8)
-    return np.clip(np.sign(found) * np.floor(np.abs(found) + 0.5), -1023, 1023).astype(int).reshape(*blocks.shape[:2], 64)[..., ZIGZAG]
+def rounded(v: np.ndarray, shift: int) -> np.ndarray:
+    return (v + (1 << (shift - 1))) >> shift
+
+
+def quantised(blocks: np.ndarray, table: np.ndarray, integer: bool = True) -> np.ndarray:
+    """Levels in zig-zag order: by whole numbers, rows first, as the queries have it, or by exact cosines."""
+    if integer:
+        found = rounded(WHOLE @ rounded((blocks.astype(np.int64) - 128) @ WHOLE.T, 11), 15)
+        levels = np.sign(found) * rounded(np.abs(found) * (1048576 // (8 * table.reshape(8, 8).astype(np.int64))), 20)
+    else:
+        found = COSINES @ (blocks - 128.0) @ COSINES.T / table.reshape(8, 8)
+        levels = np.sign(found) * np.floor(np.abs(found) + 0.5)
+    return np.clip(levels, -1023, 1023).astype(int).reshape(*blocks.shape[:2], 64)[..., ZIGZAG]
+
+
+def samples_of(found: np.ndarray, integer: bool = True) -> np.ndarray:
+    """Blocks of samples, 0 to 255, of dequantised blocks."""
+    if integer:
+        back = rounded(WHOLE.T @ rounded(found.astype(np.int64) @ WHOLE, 11), 18)
+    else:
+        back = np.round(COSINES.T @ found @ COSINES)
+    return np.clip(back + 128, 0, 255).astype(np.int32)
 
 
 def magnitude(v: int) -> tuple[int, str]:
@@ -162,8 +181,8 @@ def planes_of(image: np.ndarray, subsample: bool) -> list[np.ndarray]:
     return out
 
 
-def encode(image: np.ndarray, quality: int = 75, subsample: bool = True, exif: bytes = b"", icc: bytes = b"", progressive: bool = False) -> bytes:
-    """Gray of two dimensions or RGB (further channels are dropped); ``exif`` begins with its TIFF header."""
+def encode(image: np.ndarray, quality: int = 75, subsample: bool = True, exif: bytes = b"", icc: bytes = b"", progressive: bool = False, integer: bool = True) -> bytes:
+    """Gray of two dimensions or RGB (further channels are dropped); ``exif`` begins with its TIFF header, ``integer`` is that of ``quantised``."""
     h, w = image.shape[:2]
     if not 0 < h < 65536 or not 0 < w < 65536:
         raise ValueError("size not between 1 and 65535")
@@ -175,7 +194,7 @@ def encode(image: np.ndarray, quality: int = 75, subsample: bool = True, exif: b
     mcu_rows, mcu_columns = -(-h // (8 * factor)), -(-w // (8 * factor))
     parts = []
     for i, (p, f) in enumerate(zip(planes, factors, strict=True)):
-        levels = quantised(blocks_of(p, mcu_rows * f, mcu_columns * f), tables[min(i, 1)])
+        levels = quantised(blocks_of(p, mcu_rows * f, mcu_columns * f), tables[min(i, 1)], integer)
         parts.append(Component(i + 1, f, f, min(i, 1), levels, p.shape[1], p.shape[0]))
     words = {key: {s: format(c, f"0{n}b") for s, c, n in codes(*spec)} for key, spec in HUFFMAN.items()}
     every = list(range(len(parts)))
@@ -483,13 +502,13 @@ def doubled(samples: np.ndarray, n: int, axis: int) -> np.ndarray:
     return (samples.take(near, axis) * 192 + samples.take(far, axis) * 64 + 128) >> 8
 
 
-def plane(head: Header, c: Component, linear: bool = False) -> np.ndarray:
+def plane(head: Header, c: Component, linear: bool = False, integer: bool = True) -> np.ndarray:
     """A component's samples at the size of the image; those that stand for several pixels repeated, or put between if halved."""
     if c.table not in head.tables:
         raise ValueError("quantisation table missing")
     rows, columns = c.levels.shape[:2]
     found = (c.levels * head.tables[c.table])[..., PLACES].reshape(rows, columns, 8, 8)
-    samples = np.clip(np.round(COSINES.T @ found @ COSINES) + 128, 0, 255).astype(np.int32).swapaxes(1, 2).reshape(rows * 8, columns * 8)
+    samples = samples_of(found, integer).swapaxes(1, 2).reshape(rows * 8, columns * 8)
     hmax, vmax = max(d.h for d in head.components), max(d.v for d in head.components)
     if linear and hmax == 2 * c.h:
         samples = doubled(samples, head.width, 1)
@@ -512,12 +531,12 @@ def colours(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> list[np.ndarray]:
     return [np.clip(v, 0, 255) for v in (y + (91881 * cr >> 16), y - (22554 * cb + 46802 * cr >> 16), y + (116130 * cb >> 16))]
 
 
-def decode(data: bytes, upright: bool = False, linear: bool = False) -> np.ndarray:
-    """RGB, on request turned as its EXIF segment says, and with halved chroma put between linearly. Three components are luma and chroma unless an Adobe segment or the names R, G, B say otherwise; four are inks, stored inverted."""
+def decode(data: bytes, upright: bool = False, linear: bool = False, integer: bool = True) -> np.ndarray:
+    """RGB, on request turned as its EXIF segment says, with halved chroma put between linearly, and by exact cosines instead of whole numbers. Three components are luma and chroma unless an Adobe segment or the names R, G, B say otherwise; four are inks, stored inverted."""
     head = parse(data)
     if head.components[0].levels is None:
         raise ValueError("no scan")
-    planes = [plane(head, c, linear) for c in ordered(head.components)]
+    planes = [plane(head, c, linear, integer) for c in ordered(head.components)]
     if len(planes) == 1:
         planes = planes * 3
     elif len(planes) == 3 and head.adobe != 0 and {c.ident for c in head.components} != set(b"RGB"):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import seeds
 from pixelloom.codecs import bmp, gif, jpeg, png, quantize, webp
-from pixelloom.operators import color, dct, geometry, resample
+from pixelloom.operators import color, dct, geometry, raster, resample
 from pixelloom.sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,6 +235,9 @@ def bounded(name: str, through: Callable, most: int) -> None:
 
 
 bounded("jpeg_444_bounded", lambda image: jpeg.decode(jpeg.encode(image, 100, subsample=False)), 8)
+# Gray levels at quality 75 are those of the transforms as queries, sample by sample.
+through_codec("jpeg_gray_integer", lambda image: jpeg.decode(jpeg.encode(raster.grayscale(image)[:, :, 0], 75)))
+ORACLES["jpeg_gray_integer"] = seeds.GRADIENT_SQL + "SELECT s.image_id, CAST(col * 8 + x AS INT) AS x, CAST(line * 8 + y AS INT) AS y, v AS r, v AS g, v AS b FROM (" + re.sub(r"\{(\w\w)\}", r"\1", duck(dct.IDCT_INTEGER)) + ") s JOIN im ON im.image_id = s.image_id WHERE col * 8 + x < w AND line * 8 + y < h"
 # Halved colour loses nothing where it is the same all over: gray levels as three channels.
 bounded("jpeg_420_bounded", lambda image: jpeg.decode(jpeg.encode(np.repeat(image[:, :, 2:], 3, axis=2), 100, subsample=True)).astype(int) + (image.astype(int) - image[:, :, 2:]), 8)
 bounded("jpeg_gray_bounded", lambda image: jpeg.decode(jpeg.encode(image[:, :, 0], 100)) + (image - image[:, :, :1]), 4)

@@ -93,6 +93,13 @@ def test_components_out_of_order():
     assert (jpeg.decode(bytes(renamed)) == jpeg.decode(data)).all()
 
 
+def test_exact_cosines_are_near_whole_numbers():
+    image = ramp(20, 30)
+    whole, exact = jpeg.encode(image, 95, False), jpeg.encode(image, 95, False, integer=False)
+    near(jpeg.decode(whole), jpeg.decode(whole, integer=False), 4, 1)
+    near(jpeg.decode(exact, integer=False), image, 16, 3)
+
+
 def test_restarts():
     one = b"\xff\xd8" + jpeg.segment(0xDB, b"\0" + bytes([1]) * 64) + jpeg.segment(0xC0, struct.pack(">BHHB", 8, 16, 8, 1) + b"\1\x11\0")
     one += b"".join(jpeg.segment(0xC4, bytes([kind << 4]) + bytes([1]) + bytes(15) + b"\0") for kind in (0, 1))
