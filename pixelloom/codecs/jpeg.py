@@ -546,3 +546,35 @@ def decode(data: bytes, upright: bool = False, linear: bool = False, integer: bo
         planes = [(p * planes[3] + 127) // 255 for p in inks]
     image = np.stack(planes, axis=2).astype(np.uint8)
     return oriented(image, head.orientation) if upright else image
+
+
+class Feed:
+    """The bytes of one file as they come, and where it ends: after its end mark, passed segment by segment."""
+
+    marker = re.compile(rb"\xff+([^\x00\xff])")
+
+    def __init__(self) -> None:
+        self.data, self.at = bytearray(), 0
+
+    def add(self, part: bytes) -> int | None:
+        self.data += part
+        while found := self.marker.search(self.data, self.at):
+            kind, at = found[1][0], found.end()
+            if kind == 0xD9:
+                return at
+            if kind != 0x01 and not 0xD0 <= kind <= 0xD8:
+                if at + 2 > len(self.data) or at + (size := struct.unpack_from(">H", self.data, at)[0]) > len(self.data):
+                    self.at = found.start()
+                    return None
+                at += size
+            self.at = at
+        self.at = max(self.at, len(self.data.rstrip(b"\xff")))
+        return None
+
+
+def decode_stream(stream, block: int = 1 << 16, **options) -> np.ndarray:
+    """``decode`` of what a stream that can't be sought gives, read block by block up to the end of the first file."""
+    feed, end = Feed(), None
+    while end is None and (part := stream.read(block)):
+        end = feed.add(part)
+    return decode(bytes(feed.data[:end]), **options)

@@ -8,6 +8,7 @@ their pixels, ``pc``, those by channel, and ``fr``, the pixels of animations by
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Callable
@@ -246,6 +247,15 @@ bounded("jpeg_gray_bounded", lambda image: jpeg.decode(jpeg.encode(image[:, :, 0
 bounded("jpeg_progressive_bounded", lambda image: jpeg.decode(jpeg.encode(image, 100, subsample=False, progressive=True)), 8)
 
 
+def _streamed(image: np.ndarray) -> np.ndarray:
+    """Read in blocks of 7 bytes with other bytes behind it, against the array: what differs is added to the image."""
+    data = jpeg.encode(image, 90, exif=b"MM\xff\xd9" * 9, progressive=True)
+    return image + (jpeg.decode_stream(io.BytesIO(data + b"more"), 7).astype(int) - jpeg.decode(data))
+
+
+bounded("jpeg_stream_equals_array", _streamed, 0)
+
+
 def _dithered(image: np.ndarray) -> np.ndarray:
     """The corners of colour space, by error diffusion: 1 in a channel whose mean over the image is within what the edges lose."""
     corners = np.array([[255 * (i >> k & 1) for k in (2, 1, 0)] for i in range(8)], np.uint8)

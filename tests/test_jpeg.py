@@ -100,6 +100,19 @@ def test_exact_cosines_are_near_whole_numbers():
     near(jpeg.decode(exact, integer=False), image, 16, 3)
 
 
+@pytest.mark.parametrize("block", [1, 2, 13, 1 << 16])
+def test_stream(block):
+    import io
+
+    image = rng.integers(0, 256, (30, 20, 3), dtype=np.uint8)
+    for progressive in (False, True):
+        data = jpeg.encode(image, 95, exif=b"\xff\xd9" * 20, icc=b"\xff\xd8\xff" * 30_000, progressive=progressive)
+        stream = io.BytesIO(data + jpeg.encode(image[:5]))
+        assert (jpeg.decode_stream(stream, block) == jpeg.decode(data)).all() and stream.tell() < len(data) + block
+    with pytest.raises(ValueError):
+        jpeg.decode_stream(io.BytesIO(data[:-500]), block)
+
+
 def test_restarts():
     one = b"\xff\xd8" + jpeg.segment(0xDB, b"\0" + bytes([1]) * 64) + jpeg.segment(0xC0, struct.pack(">BHHB", 8, 16, 8, 1) + b"\1\x11\0")
     one += b"".join(jpeg.segment(0xC4, bytes([kind << 4]) + bytes([1]) + bytes(15) + b"\0") for kind in (0, 1))
