@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,21 +33,48 @@ def gradient_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALPHA = "CASE image_id % 3 WHEN 0 THEN 255 WHEN 1 THEN CASE WHEN x < w DIV 2 THEN 0 ELSE 255 END ELSE CASE WHEN (x + y) % 3 = 0 THEN 100 ELSE 200 END END"
 
 
-def gradient_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pixels_of(images: DataFrame) -> DataFrame:
     """Gradient fixture: red along x, green along y, blue their mean; alpha as ALPHA says."""
-    p = explode_grid(gradient_images(spark, sf_dir))
+    p = explode_grid(images)
     p = p.withColumns({"r": F.expr("CAST(x * 255 DIV (w - 1) AS INT)"), "g": F.expr("CAST(y * 255 DIV (h - 1) AS INT)")})
     return p.withColumns({"b": F.expr("CAST((r + g) DIV 2 AS INT)"), "a": F.expr(ALPHA)})
 
 
-def gradient_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gradient_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels_of(gradient_images(spark, sf_dir))
+
+
+def planes(image_id: np.ndarray, w: int, h: int) -> np.ndarray:
+    """The pixels of images of one size as whole numbers by (channel, image, y, x), channels as in ``pixels_of``."""
+    y, x = np.indices((h, w))
+    r, g = x * 255 // (w - 1), y * 255 // (h - 1)
+    kinds = np.stack([np.full((h, w), 255), np.where(x < w // 2, 0, 255), np.where((x + y) % 3 == 0, 100, 200)])
+    shape = (len(image_id), h, w)
+    kind = np.where(np.fmod(image_id, 3) < 0, 2, np.fmod(image_id, 3))
+    return np.stack([*(np.broadcast_to(c, shape) for c in (r, g, (r + g) // 2)), kinds[kind]])
+
+
+def told_apart(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Images that alone have their id and are two pixels wide and high at least, and the others: few or none, as ids are keys.
+
+    Only the images are dealt out by id, not their pixels, into a fixed number of parts: their pixels are many times what the
+    engine takes them for, so parts must not be joined because they look small.
+    """
+    conf = images.sparkSession
+    parts = max(int(conf.conf.get("spark.sql.shuffle.partitions")), conf.sparkContext.defaultParallelism)
+    counted = images.repartition(parts, "image_id").withColumn("copies", F.count("*").over(Window.partitionBy("image_id")))
+    alone = F.coalesce(F.expr("image_id IS NOT NULL AND copies = 1 AND w >= 2 AND h >= 2"), F.lit(False))
+    return counted.where(alone).drop("copies"), counted.where(~alone).drop("copies")
+
+
+def channels_of(pixels: DataFrame) -> DataFrame:
     """The pixels by channel: c from 0 to 2, v."""
-    return gradient_pixels(spark, sf_dir).select("image_id", "w", "h", "x", "y", F.posexplode(F.array("r", "g", "b")).alias("c", "v"))
+    return pixels.select("image_id", "w", "h", "x", "y", F.posexplode(F.array("r", "g", "b")).alias("c", "v"))
 
 
-def gradient_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames_of(pixels: DataFrame) -> DataFrame:
     """Animations of one to four frames: red moves on by 20 a frame, and a pattern of pixels that moves along is transparent."""
-    p = gradient_pixels(spark, sf_dir).withColumn("frame", F.explode(F.expr("sequence(0, CAST(image_id % 4 AS INT))")))
+    p = pixels.withColumn("frame", F.explode(F.expr("sequence(0, CAST(image_id % 4 AS INT))")))
     return p.select("image_id", "frame", "w", "h", "x", "y", F.expr("(r + 20 * frame) % 256").alias("r"), "g", "b", F.expr("(x + y + frame) % 3 <> 0").alias("visible"))
 
 
