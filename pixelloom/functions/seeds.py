@@ -54,15 +54,16 @@ def planes(image_id: np.ndarray, w: int, h: int) -> np.ndarray:
     return np.stack([*(np.broadcast_to(c, shape) for c in (r, g, (r + g) // 2)), kinds[kind]])
 
 
+def dealt(images: DataFrame) -> DataFrame:
+    """Images dealt out by id, not their pixels, into a fixed number of parts: their pixels are many times what the engine takes
+    them for, so parts must not be joined because they look small."""
+    spark = images.sparkSession
+    return images.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "image_id")
+
+
 def told_apart(images: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Images that alone have their id and are two pixels wide and high at least, and the others: few or none, as ids are keys.
-
-    Only the images are dealt out by id, not their pixels, into a fixed number of parts: their pixels are many times what the
-    engine takes them for, so parts must not be joined because they look small.
-    """
-    conf = images.sparkSession
-    parts = max(int(conf.conf.get("spark.sql.shuffle.partitions")), conf.sparkContext.defaultParallelism)
-    counted = images.repartition(parts, "image_id").withColumn("copies", F.count("*").over(Window.partitionBy("image_id")))
+    """Images that alone have their id and are two pixels wide and high at least, and the others: few or none, as ids are keys."""
+    counted = dealt(images).withColumn("copies", F.count("*").over(Window.partitionBy("image_id")))
     alone = F.coalesce(F.expr("image_id IS NOT NULL AND copies = 1 AND w >= 2 AND h >= 2"), F.lit(False))
     return counted.where(alone).drop("copies"), counted.where(~alone).drop("copies")
 

@@ -260,7 +260,7 @@ def round_trip(pixels: DataFrame, through: Callable[[np.ndarray], np.ndarray]) -
             for image_id, w, h, *planes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 got = through(np.stack([np.array(p, np.uint8) for p in planes], axis=1).reshape(h, w, 3)).reshape(h * w, -1)
                 at = np.arange(h * w, dtype=np.int32)
-                columns = [pa.array(np.full(h * w, image_id)), pa.array(at % w), pa.array(at // w), *(pa.array(got[:, i].astype(np.int32)) for i in range(3))]
+                columns = [pa.array([image_id] * (h * w), pa.int64()), pa.array(at % w), pa.array(at // w), *(pa.array(got[:, i].astype(np.int32)) for i in range(3))]
                 yield pa.RecordBatch.from_arrays(columns, names=["image_id", "x", "y", "r", "g", "b"])
 
     return images.mapInArrow(run, "image_id long, x int, y int, r int, g int, b int")

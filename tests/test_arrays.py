@@ -1,8 +1,10 @@
 """Operators of whole images: the rows of their texts, also for images that share an id or have none, and no pixels at the driver."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from pixelloom.codecs import jpeg
 from pixelloom.functions import seeds
 from pixelloom.plans import catalog
 
@@ -38,7 +40,7 @@ def odd(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", WHOLE)
+@pytest.mark.parametrize("name", [*WHOLE, "jpeg_stream_equals_array"])
 def test_odd_images_as_the_oracle_has_them(spark, odd, name):
     con = duckdb.connect()
     con.sql(f"create view part as select * from '{odd}/part.parquet/*.parquet'")
@@ -70,8 +72,12 @@ def test_planes_are_the_pixels(spark):
     found = {}
     for p in seeds.gradient_pixels(spark, DATA).where("image_id < 60").collect():
         found[p.image_id, p.w, p.h, p.y, p.x] = [p.r, p.g, p.b, p.a]
-    import numpy as np
-
     for image_id, w, h in {k[:3] for k in found}:
         v = seeds.planes(np.array([image_id]), w, h)[:, 0]
         assert all(v[:, y, x].tolist() == found[image_id, w, h, y, x] for y in range(h) for x in range(w))
+
+
+def test_huffman_tables_are_kept_between_files():
+    """Making the tables of an image of the queries took over half of the time of reading it."""
+    found = [jpeg.parse(jpeg.encode(np.full((8, 8, 3), v, np.uint8))).huffman for v in (7, 200)]
+    assert found[0].keys() == found[1].keys() == {0, 1, 16, 17} and all(found[0][k] is found[1][k] for k in found[0])
